@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import cleaning, matching, profiling, shaping  # noqa: F401
+from . import cleaning, matching, profiling, records, shaping  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

@@ -81,7 +81,7 @@ LABELS = "l as (select p_name as label, min(p_partkey) as ord from part group by
 
 @query("h5_relevant_any_word", f"""
     with {LABELS},
-    h as (select doc_id, ord, label from documents, l where len(list_filter(string_split(label, ' '), w -> contains(lower(text), w))) > 0),
+    h as (select doc_id, ord, label from documents, l where len(list_filter(string_split(label, ' '), lambda w: contains(lower(text), w))) > 0),
     f as (select ord, label from l order by ord limit 5)
     select doc_id, ord, label, 'http://l/' || ord::varchar as uri from h
     union all select doc_id, ord, label, 'http://l/' || ord::varchar from f,
@@ -138,12 +138,9 @@ def h11(t):
 
 
 @query("h12_display_label", """
-    select p_partkey, p_type as segment, coalesce('Label ' || r_name, 'ty Pe' || p_type) as display
-    from (select p_partkey, case when p_size % 2 = 0 then 'tyPe' || p_type else 'R' || (p_size % 5)::varchar end as p_type,
-                 case when p_size % 2 = 1 then p_size % 5 end as k, p_type as raw from part)
-    left join region on r_regionkey = k
-    where k is not null
-    union all select p_partkey, 'tyPe' || p_type, 'ty Pe' || p_type from part where p_size % 2 = 0""")
+    select p_partkey, 'R' || (p_size % 5)::varchar as segment, 'Label ' || r_name as display
+    from part join region on r_regionkey = p_size % 5 where p_size % 2 = 1
+    union all select p_partkey, 'tyPe' || p_type, 'ty Pe ' || p_type from part where p_size % 2 = 0""")
 def h12(t):
     dims = t.region.select(F.concat(F.lit("R"), F.col("r_regionkey")).alias("code"), F.concat(F.lit("Label "), "r_name").alias("label"))
     segment = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("tyPe"), "p_type")).otherwise(F.concat(F.lit("R"), F.col("p_size") % 5))
@@ -183,10 +180,10 @@ def h7(t):
 
 @query("i6_relative_cut", CENTROIDS + """
     select vec_id, 'c' || label::varchar as code from (select *, min(dist) over (partition by vec_id) as best from k where rank <= 5)
-    where dist <= best * 1.2""")
+    where dist <= best * 1.02""")
 def i6(t):
     hits = N.nearest(vectors(t), centroids(t), "vec_id", 5)
-    return N.relative_cut(hits, ["vec_id"]).select("vec_id", "code")
+    return N.relative_cut(hits, ["vec_id"], 1.02).select("vec_id", "code")
 
 
 @query("v5_similarity_match", CENTROIDS + """

@@ -1,6 +1,6 @@
 """Record shaping, sampling, ranking and set queries."""
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Window, functions as F
 
 from ..operators import sampling as M, shape
 from .registry import query
@@ -37,7 +37,7 @@ def b1_struct(t):
     select page_id, '["' || page_id::varchar || '", "a: b,c"]' as cell from pages""")
 def b2(t):
     df = t.pages.select("page_id", F.array(F.col("page_id").cast("string"), F.lit("a: b,c")).alias("cell"))
-    return df.select("page_id", shape.flatten_records(df.select("cell")).columns and shape.cell_text(F.col("cell"), df.schema["cell"].dataType).alias("cell"))
+    return shape.flatten_records(df).withColumn("page_id", F.col("page_id").cast("bigint"))
 
 
 @query("b3_scalar_text", """
@@ -156,8 +156,6 @@ def i2(t):
 def i3(t):
     order = LINE_KEYS[1:]
     first = M.first_rows(t.lineitem.select(*LINE_KEYS), ["l_orderkey"], order, 2)
-    from pyspark.sql import Window
-
     w = Window.partitionBy("l_orderkey").orderBy(*order)
     return first.withColumn("n", F.row_number().over(w).cast("bigint"))
 
@@ -214,14 +212,9 @@ def i11(t):
     return M.latest_value(t.events, ["user_id"], F.col("props"), F.col("event_id"))
 
 
-@query("i12_sorted_codes", """
-    select row_number() over (order by n_name) as place, n_name from nation""")
+@query("i12_sorted_codes", "select distinct p_name, p_brand from part order by p_name, p_brand")
 def i12(t):
-    return M.number_rows(
-        t.nation.withColumn("k", F.lit(1)).withColumn("ord", F.col("n_nationkey")), ["k"], "ord", 4, "_p"
-    ).groupBy("k").agg(F.array_sort(F.collect_list("n_name")).alias("names")).select(
-        F.posexplode("names").alias("p", "n_name")
-    ).select((F.col("p") + 1).cast("bigint").alias("place"), "n_name")
+    return t.part.select("p_name", "p_brand").distinct().orderBy("p_name", "p_brand")
 
 
 @query("i13_first_entries", "select n_nationkey as ord, n_name as label from nation order by n_nationkey limit 5")
@@ -238,12 +231,10 @@ def j1(t):
 
 
 @query("j2_expected_minus_present", """
-    select c_custkey as k from customer except select o_custkey from orders""")
+    select c_custkey as k from customer except select o_custkey from orders where o_orderpriority = '1-URGENT'""")
 def j2(t):
-    from pyspark.sql import DataFrame
-
-    keys: DataFrame = t.customer.select(F.col("c_custkey").alias("k"))
-    return keys.join(t.orders.select(F.col("o_custkey").alias("k")), "k", "left_anti")
+    keys = t.customer.select(F.col("c_custkey").alias("k"))
+    return keys.join(t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k")), "k", "left_anti")
 
 
 @query("j3_distinct_uris", """
@@ -266,6 +257,3 @@ def j4(t):
 def j6(t):
     have = F.array(F.lit("a"), F.lit("language"), F.lit("b"), "o_orderstatus")
     return t.orders.select("o_orderkey", F.concat_ws("|", F.array_except(have, F.array(F.lit("language")))).alias("rest"))
-
-
-__all__ = ["T"]

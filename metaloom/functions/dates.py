@@ -7,7 +7,7 @@ import datetime as dt
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from .text import MISSING_TOKENS, strip
+from .text import MISSING_TOKENS, bind, strip
 
 # Texts that are never dates (compared in lower case).
 NON_DATE_TOKENS = [
@@ -45,11 +45,6 @@ _NAMED = [
 _MAIL = rf"(?i)^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), (\d{{1,2}} {_NAMES} \d{{4}}{_DAY_TIME})(?: (?:UTC|GMT))?$"
 
 
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once per row, however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _formatted(x: Column, pattern: str) -> Column:
     return F.try_to_timestamp(x, F.lit(pattern)).cast(_NTZ)
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import bind
+
 BLOCK_ROWS = 2_000
 BROADCAST_BLOCKS = 16
 SALTS = 64
@@ -56,25 +58,20 @@ def display_label(values: DataFrame, dims: DataFrame, segment: str) -> DataFrame
 
 # ── dictionary blocks ────────────────────────────────────────────────────────
 
-def dictionary_blocks(dims: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
-    """The dictionary as (block, entries) rows of about BLOCK_ROWS entries each.
-
-    One small count decides the number of blocks, so the array of a block stays
-    bounded however large the dictionary grows.
-    """
-    blocks = max(1, -(-dims.count() // BLOCK_ROWS))
-    key = F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int") if blocks > 1 else F.lit(0)
-    packed = dims.groupBy(key.alias("block")).agg(F.collect_list(F.struct(*columns)).alias("entries"))
-    return packed, blocks
+def block_count(dims: DataFrame) -> int:
+    """Number of blocks; one small count decides it."""
+    return max(1, -(-dims.count() // BLOCK_ROWS))
 
 
-def with_blocks(texts: DataFrame, dims: DataFrame, columns: list[str]) -> DataFrame:
-    """Each text next to each dictionary block; one block for a usual dictionary.
+def with_blocks(texts: DataFrame, dims: DataFrame, columns: list[str], blocks: int) -> DataFrame:
+    """Each text next to each block of the dictionary as an ``entries`` array.
 
-    Up to BROADCAST_BLOCKS blocks (the count proves the size) are broadcast. More
-    are shuffled, salted so that a block does not become one task.
+    A usual dictionary is one block. Up to BROADCAST_BLOCKS blocks (the count
+    proves the size) are broadcast. More are shuffled, salted so that no block
+    becomes one task.
     """
-    packed, blocks = dictionary_blocks(dims, columns)
+    key = F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int") if blocks > 1 else F.lit(0)
+    packed = dims.groupBy(key.alias("block")).agg(F.collect_list(F.struct(*columns)).alias("entries"))
     if blocks == 1:
         spread = texts.withColumn("block", F.lit(0))
     else:
@@ -91,38 +88,39 @@ def words_of(label: Column, first: int | None = None) -> Column:
     return F.slice(words, 1, first) if first else words
 
 
+def label_entry(e: Column) -> Column:
+    return F.struct(e["ord"].alias("ord"), e["label"].alias("label"), e["uri"].alias("uri"))
+
+
 def relevant_labels(
-    texts: DataFrame, dims: DataFrame, text: str, mode: str = "any_word", first_words: int | None = None
+    texts: DataFrame, dims: DataFrame, key: str, text: str, mode: str = "any_word",
+    first_words: int | None = None, fallback: DataFrame | None = None,
 ) -> DataFrame:
-    """Labels that the text mentions, one row per (text row, label).
+    """``(key, ord, label, uri)`` of the labels that a text mentions.
 
     ``any_word`` keeps a label when one of its words occurs anywhere in the text,
-    ``whole`` when the complete label does. Containment, not token equality.
-    """
-    lowered = texts.withColumn("_t", F.lower(text))
-
-    def hit(e: Column) -> Column:
-        if mode == "whole":
-            return F.col("_t").contains(e["label"])
-        return F.exists(words_of(e["label"], first_words), lambda w: F.col("_t").contains(w))
-
-    met = with_blocks(lowered, dims.select("ord", "label", "uri"), ["ord", "label", "uri"])
-    return met.withColumn("entries", F.filter("entries", hit)).drop("_t", text).select(
-        "*", F.inline("entries")
-    ).drop("entries")
-
-
-def with_fallback(hits: DataFrame, texts: DataFrame, key: str, fallback: DataFrame) -> DataFrame:
-    """Rows of the fallback dictionary for texts without any hit.
-
-    The fallback is a handful of rows, packed into one array that an uncorrelated
-    scalar subquery delivers to the rows that need it.
+    ``whole`` when the complete label does: containment, not token equality. Each
+    distinct word of a dictionary block is looked for once per text. Texts without
+    any label get the rows of ``fallback``, a handful packed by a scalar subquery.
     """
-    packed = fallback.agg(F.array_sort(F.collect_list(F.struct("ord", "label", "uri"))).alias("entries"))
-    lonely = texts.select(key).join(hits.select(key).distinct(), key, "left_anti")
-    return hits.select(key, "ord", "label", "uri").unionByName(
-        lonely.select(key, F.inline(packed.scalar()))
+    words = words_of(F.col("label"), first_words) if mode == "any_word" else F.array("label")
+    entries = dims.select("ord", "label", "uri", words.alias("words"))
+    lowered = texts.select(key, F.lower(text).alias("_t"))
+    blocks = block_count(dims)
+    met = with_blocks(lowered, entries, ["ord", "label", "uri", "words"], blocks)
+    vocabulary = F.array_distinct(F.flatten(F.transform("entries", lambda e: e["words"])))
+    found = bind(
+        F.filter(vocabulary, lambda w: F.col("_t").contains(w)),
+        lambda seen: F.filter("entries", lambda e: F.arrays_overlap(e["words"], seen)),
     )
+    # One row per block of a text; with one block the list is final already.
+    lists = met.select(key, F.transform(found, label_entry).alias("hits"))
+    if blocks > 1:
+        lists = lists.groupBy(key).agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    if fallback is not None:
+        packed = fallback.agg(F.array_sort(F.collect_list(F.struct("ord", "label", "uri"))).alias("p")).scalar()
+        lists = lists.withColumn("hits", F.when(F.size("hits") == 0, packed).otherwise(F.col("hits")))
+    return lists.select(key, F.inline("hits"))
 
 
 def first_entries(dims: DataFrame, n: int = 5) -> DataFrame:
@@ -132,13 +130,14 @@ def first_entries(dims: DataFrame, n: int = 5) -> DataFrame:
 
 def expand_hints(texts: DataFrame, hints: DataFrame, text: str) -> DataFrame:
     """Hints whose word occurs in the text: all of them and the first by order."""
-    met = with_blocks(texts, hints.select("ord", "word", "hint"), ["ord", "word", "hint"])
+    blocks = block_count(hints)
+    met = with_blocks(texts, hints.select("ord", "word", "hint"), ["ord", "word", "hint"], blocks)
     hits = F.filter("entries", lambda e: F.lower(F.col(text)).contains(e["word"]))
     keys = texts.columns
-    per = met.withColumn("_hits", hits).drop("entries")
-    # Blocks of one text meet again here; with one block the grouping is trivial.
-    folded = per.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("_hits"))).alias("_h"))
-    return folded.select(
+    per = met.withColumn("_h", F.array_sort(hits)).drop("entries").where((F.size("_h") > 0) | F.lit(blocks > 1))
+    if blocks > 1:
+        per = per.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("_h"))).alias("_h"))
+    return per.where(F.size("_h") > 0).select(
         *keys,
         F.transform("_h", lambda e: e["hint"]).alias("hints"),
         F.try_element_at("_h", F.lit(1))["hint"].alias("first_hint"),
@@ -155,7 +154,7 @@ def help_entry(fields: DataFrame, guide: DataFrame, field: str = "field") -> Dat
     names = fields.select(F.col(field).alias("_f")).distinct()
     exact = names.join(guide.select(F.col("name").alias("_f"), "label"), "_f", "left")
     rest = exact.where(F.col("label").isNull()).select("_f")
-    met = with_blocks(rest, guide, ["ord", "name", "label"])
+    met = with_blocks(rest, guide, ["ord", "name", "label"], block_count(guide))
     near = met.select(
         "_f",
         F.array_min(

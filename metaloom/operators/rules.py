@@ -332,3 +332,49 @@ def output_regressions(outputs: DataFrame, expected: DataFrame, non_empty: list[
         .when(kind_of(F.col("value")) != F.col("kind"), "wrong type")
     )
     return joined.select("dataset_id", "field", verdict.alias("verdict")).where("verdict is not null")
+
+
+# ── schema texts for forms ───────────────────────────────────────────────────
+
+# Access rights offered in the form; label prefixes of opening hours.
+ACCESS_CHOICES = ["PUBLIC", "RESTRICTED", "NON_PUBLIC"]
+SPECIAL_HOURS = "Horario especial – "
+USUAL_HOURS = "Horario habitual – "
+
+
+def choices_in(choices: Column, lang: str = "es") -> Column:
+    """``array<struct<value,label map>>`` to value and label in one language."""
+
+    def one(c: Column) -> Column:
+        label = F.coalesce(F.try_element_at(c["label"], F.lit(lang)), F.try_element_at(c["label"], F.lit("es")), c["value"])
+        return F.struct(c["value"].alias("value"), label.alias("label"))
+
+    return F.transform(choices, one)
+
+
+def access_choices(choices: Column) -> Column:
+    """Only the access rights that the form offers, by last segment."""
+    return F.filter(choices, lambda c: F.element_at(F.split(c["value"], "/"), -1).isin(ACCESS_CHOICES))
+
+
+def subfield_listing(subfields: Column) -> Column:
+    """Name, label and obligation of each part; opening hours get a prefix."""
+
+    def one(s: Column) -> Column:
+        name = s["field_name"]
+        label = F.coalesce(s["label"], name)
+        shown = (
+            F.when(name.startswith("special_opening_hours"), F.concat(F.lit(SPECIAL_HOURS), label))
+            .when(name.startswith("opening_hours"), F.concat(F.lit(USUAL_HOURS), label))
+            .otherwise(label)
+        )
+        return F.struct(name.alias("field_name"), shown.alias("label"), F.coalesce(s["required"], F.lit(False)).alias("required"))
+
+    return F.transform(subfields, one)
+
+
+def block_listing(blocks: DataFrame) -> DataFrame:
+    """Each form block with its fields in order; a block is a short fixed list."""
+    return blocks.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("ord", "field"))).alias("f")).select(
+        "name", F.transform("f", lambda e: e["field"]).alias("fields")
+    )

@@ -88,8 +88,7 @@ LABELS = "l as (select p_name as label, min(p_partkey) as ord from part group by
         (select doc_id from documents where doc_id not in (select doc_id from h))""")
 def h5(t):
     labels, texts = part_labels(t), t.documents.select("doc_id", "text")
-    hits = L.relevant_labels(texts, labels, "text")
-    return L.with_fallback(hits, texts, "doc_id", L.first_entries(labels))
+    return L.relevant_labels(texts, labels, "doc_id", "text", fallback=L.first_entries(labels))
 
 
 @query("h5_relevant_whole_label", """
@@ -98,7 +97,7 @@ def h5(t):
 def h5_whole(t):
     labels = t.part.select(F.lower("p_type").alias("label")).distinct().withColumns({"ord": F.lit(0), "uri": F.col("label")})
     texts = t.part.select("p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("text"))
-    return L.relevant_labels(texts, labels, "text", "whole").select("p_partkey", F.upper("label").alias("label"))
+    return L.relevant_labels(texts, labels, "p_partkey", "text", "whole").select("p_partkey", F.upper("label").alias("label"))
 
 
 @query("h6_hint_expansion", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import bind
 from .assemble import json_is_filled
 from .lookup import help_entry
 
@@ -129,31 +130,36 @@ def object_problems(value: Column, field: Column, tag: Column) -> Column:
     is_object = F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
     sub_specs = F.coalesce(F.col("subfields"), F.array().cast(f"array<{SUBFIELD}>"))
 
-    def per_item(item: Column, i: Column) -> Column:
-        fields = F.try_variant_get(item, "$", "map<string,variant>")
-        bad = problem(
-            fields.isNull(), "object",
-            message(tag, F.concat(field, F.lit("["), i.cast("string"), F.lit("]")), OBJECT_TEXT),
-        )
-
-        def per_sub(s: Column) -> Column:
-            x = text_of(F.try_element_at(fields, s["name"]))
-            given = F.coalesce(x != "", F.lit(False))
+    def per_sub(fields: Column):
+        def check(s: Column) -> Column:
             head = F.concat(
                 F.when(s["required"], F.lit("[OBLIG] [")).otherwise(F.lit("[OPT] [")), field, F.lit("] "),
                 F.coalesce(s["label"], s["name"]), F.lit(" "),
             )
-            digits = F.length(F.regexp_replace(x, "[^0-9]", ""))
-            return F.coalesce(
-                problem(given & (s["type"] == "email") & ~x.rlike(EMAIL), "email", F.concat(head, F.lit(EMAIL_TEXT)), s["name"], True),
-                problem(given & (s["type"] == "url") & ~x.rlike(SUB_URL), "url", F.concat(head, F.lit(URL_TEXT)), s["name"], True),
-                problem(
-                    given & (s["type"] == "telephone") & (~x.rlike(PHONE) | (digits < PHONE_DIGITS)),
-                    "telephone", F.concat(head, F.lit(PHONE_TEXT)), s["name"], True,
-                ),
-            )
 
-        return F.when(bad.isNotNull(), F.array(bad)).otherwise(F.transform(sub_specs, per_sub))
+            def finding(x: Column) -> Column:
+                short = F.length(F.regexp_replace(x, "[^0-9]", "")) < PHONE_DIGITS
+                tests = [
+                    ("email", ~x.rlike(EMAIL), EMAIL_TEXT),
+                    ("url", ~x.rlike(SUB_URL), URL_TEXT),
+                    ("telephone", ~x.rlike(PHONE) | short, PHONE_TEXT),
+                ]
+                return F.coalesce(*[
+                    problem((x != "") & (s["type"] == kind) & bad, kind, F.concat(head, F.lit(text)), s["name"], True)
+                    for kind, bad, text in tests
+                ])
+
+            return bind(text_of(F.try_element_at(fields, s["name"])), finding)
+
+        return check
+
+    def per_item(item: Column, i: Column) -> Column:
+        where = F.concat(field, F.lit("["), i.cast("string"), F.lit("]"))
+        bad = F.array(problem(F.lit(True), "object", message(tag, where, OBJECT_TEXT)))
+        return bind(
+            F.try_variant_get(item, "$", "map<string,variant>"),
+            lambda fields: F.when(fields.isNull(), bad).otherwise(F.transform(sub_specs, per_sub(fields))),
+        )
 
     shape = problem(~(is_list | is_object), "object", message(tag, field, OBJECT_TEXT))
     return F.when(shape.isNotNull(), F.array(shape)).otherwise(F.flatten(F.transform(items, per_item)))

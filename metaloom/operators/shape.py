@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.dsl import quoted
 from ..functions.text import cell_text, space_json_text, strip
 
-MAX_DEPTH = 12
-ENTRY = "array<struct<key:string,value:variant>>"
+MAX_DEPTH = 32
 VARIANT_MAP = "map<string,variant>"
 
 
@@ -64,32 +63,59 @@ def variant_text(v: Column) -> Column:
     )
 
 
+def is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", VARIANT_MAP).isNotNull()
+
+
 def variant_entries(v: Column) -> Column:
     return F.map_entries(F.try_variant_get(v, "$", VARIANT_MAP))
 
 
-def flatten_entries(entries: Column, depth: int = MAX_DEPTH) -> Column:
-    """Open nested objects to dotted keys, level by level inside the row."""
+def cell(key: Column, v: Column, more: Column) -> Column:
+    """One entry on the way down: still a value to open, or already text."""
+    return F.struct(
+        key.alias("key"), F.when(more, v).alias("value"), F.when(~more, variant_text(v)).alias("text")
+    )
 
-    def open_one(e: Column) -> Column:
-        children = F.transform(
-            variant_entries(e["value"]),
-            lambda c: F.struct(F.concat(e["key"], F.lit("."), c["key"]).alias("key"), c["value"].alias("value")),
-        )
-        return F.coalesce(children, F.array(e))
 
-    for _ in range(depth):
-        entries = F.flatten(F.transform(entries, open_one))
-    return entries
+def open_cells(cells: Column, children, depth: int) -> Column:
+    """Open nested values level by level inside the row.
+
+    A fold over the levels, so the plan has one step whatever the depth; once no
+    value is left to open, the remaining levels cost one look at the cells. Values
+    below the depth become JSON text.
+    """
+
+    def level(acc: Column, _: Column) -> Column:
+        opened = F.flatten(F.transform(acc, lambda c: F.when(c["value"].isNull(), F.array(c)).otherwise(children(c))))
+        return F.when(F.exists(acc, lambda c: c["value"].isNotNull()), opened).otherwise(acc)
+
+    folded = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), cells, level)
+    return F.transform(
+        folded,
+        lambda c: F.struct(c["key"].alias("key"), F.coalesce(c["text"], variant_text(c["value"])).alias("value")),
+    )
+
+
+def object_cells(entries: Column, prefix: Column | None = None) -> Column:
+    """Cells of (key, value) entries, keys extended by a dotted prefix."""
+
+    def one(e: Column) -> Column:
+        key = e["key"] if prefix is None else F.concat(prefix, F.lit("."), e["key"])
+        return cell(key, e["value"], is_object(e["value"]))
+
+    return F.transform(entries, one)
+
+
+def flatten_entries(entries: Column, depth: int = MAX_DEPTH) -> Column:
+    """(dotted key, text) pairs of nested entries, null cells left out."""
+    flat = open_cells(object_cells(entries), lambda c: object_cells(variant_entries(c["value"]), c["key"]), depth)
+    return F.filter(flat, lambda e: e["value"].isNotNull())
 
 
 def flatten_object(v: Column, depth: int = MAX_DEPTH) -> Column:
     """JSON object to ``map<path, text>`` without null cells."""
-    leaves = F.transform(
-        flatten_entries(variant_entries(v), depth),
-        lambda e: F.struct(e["key"].alias("key"), variant_text(e["value"]).alias("value")),
-    )
-    return F.map_from_entries(F.filter(leaves, lambda e: e["value"].isNotNull()))
+    return F.map_from_entries(flatten_entries(variant_entries(v), depth))
 
 
 def path_samples(v: Column, depth: int = MAX_DEPTH) -> Column:
@@ -99,29 +125,26 @@ def path_samples(v: Column, depth: int = MAX_DEPTH) -> Column:
     scalars by its first item; blanks are left out.
     """
 
-    def open_one(e: Column) -> Column:
-        items = F.try_variant_get(e["value"], "$", "array<variant>")
+    def one(prefix: Column | None, suffix: str):
+        def named(e: Column) -> Column:
+            key = e["key"] if prefix is None else F.concat(prefix, F.lit(suffix), e["key"])
+            nested = is_object(e["value"]) | F.try_variant_get(e["value"], "$", "array<variant>").isNotNull()
+            return cell(key, e["value"], nested)
+
+        return named
+
+    def children(c: Column) -> Column:
+        items = F.try_variant_get(c["value"], "$", "array<variant>")
         first = F.try_element_at(items, F.lit(1))
-        children = F.coalesce(
-            F.transform(
-                variant_entries(e["value"]),
-                lambda c: F.struct(F.concat(e["key"], F.lit("."), c["key"]).alias("key"), c["value"].alias("value")),
-            ),
-            F.transform(
-                variant_entries(first),
-                lambda c: F.struct(F.concat(e["key"], F.lit("[]."), c["key"]).alias("key"), c["value"].alias("value")),
-            ),
-            F.when(items.isNotNull() & (F.size(items) == 0), F.array().cast(ENTRY)),
-            F.when(items.isNotNull(), F.array(F.struct(e["key"].alias("key"), first.alias("value")))),
+        scalar = F.filter(F.array(first), lambda i: i.isNotNull())
+        return F.coalesce(
+            F.transform(variant_entries(c["value"]), one(c["key"], ".")),
+            F.transform(variant_entries(first), one(c["key"], "[].")),
+            F.transform(scalar, lambda i: cell(c["key"], i, F.lit(False))),
         )
-        return F.coalesce(children, F.array(e))
 
-    entries = variant_entries(v)
-    for _ in range(depth):
-        entries = F.flatten(F.transform(entries, open_one))
-    texts = F.transform(
-        entries, lambda e: F.struct(e["key"].alias("path"), strip(variant_text(e["value"])).alias("sample"))
-    )
+    flat = open_cells(F.transform(variant_entries(v), one(None, "")), children, depth)
+    texts = F.transform(flat, lambda e: F.struct(e["key"].alias("path"), strip(e["value"]).alias("sample")))
     return F.filter(texts, lambda e: F.coalesce(F.length(e["sample"]), F.lit(0)) > 0)
 
 

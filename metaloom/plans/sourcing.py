@@ -146,11 +146,11 @@ def a5(t):
 
 
 @query("a6_ndjson_file", """
-    select event_id::varchar as id, props::json->>'k' as k from events where event_id % 10 <> 0""")
+    select event_id::varchar as id, props::json->>'k' as k from events where event_id % 10 <> 5""")
 def a6(t):
     path = shared_dir(t.spark, "ndjson")
     good = F.concat(F.lit('{"id":'), "event_id", F.lit(',"p":'), "props", F.lit("}"))
-    line = F.when(F.col("event_id") % 10 != 0, good).when(F.col("event_id") % 20 == 0, "[1]").otherwise('{"broken": ')
+    line = F.when(F.col("event_id") % 10 != 5, good).when(F.col("event_id") % 20 == 5, "[1]").otherwise('{"broken": ')
     t.events.select(F.explode(F.array(line, F.lit(""))).alias("value")).write.text(path)
     rows = J.read_json(t.spark, path)
     return rows.select(F.col("fields")["id"].alias("id"), F.col("fields")["p.k"].alias("k"))
@@ -181,7 +181,8 @@ def wrapped(t):
     union all select doc_id, '2', 'lists', 5.0 from c where m = 2""")
 def a7_candidates(t):
     found = J.candidates(wrapped(t))
-    return found.select("doc_id", F.array_join(F.transform("order", lambda p: p.cast("string")), ".").alias("place"), "kind", "score")
+    place = F.array_join(F.transform("path", lambda p: p["pos"].cast("string")), ".")
+    return found.select("doc_id", place.alias("place"), "kind", "score")
 
 
 @query("a7_unwrap", """

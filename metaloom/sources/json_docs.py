@@ -1,8 +1,7 @@
 """JSON documents and line-delimited JSON to flat records.
 
-A document whose records are nested somewhere inside is searched level by level:
-every list or object becomes a candidate row, candidates are scored in their own
-row, and only the winner of a document is opened again.
+A document whose records are nested somewhere inside is searched within its own
+row: a fold over the levels scores every list and object, the best one is opened.
 """
 
 from __future__ import annotations
@@ -69,24 +68,29 @@ def ordered_children(v: Column, raw: Column) -> Column:
 
     A variant sorts object keys; the raw text of the node keeps the written order.
     """
-    fields, items = as_fields(v), as_items(v)
-    raw_fields = F.from_json(raw, "map<string,string>")
-    raw_items = F.from_json(raw, "array<string>")
-    of_object = F.transform(
-        F.json_object_keys(raw),
-        lambda k, i: F.struct(
-            k.alias("key"), i.cast("int").alias("pos"), F.try_element_at(fields, k).alias("value"),
-            F.try_element_at(raw_fields, k).alias("raw"),
-        ),
+    parts = F.struct(
+        as_fields(v).alias("fields"), as_items(v).alias("items"), F.json_object_keys(raw).alias("keys"),
+        F.from_json(raw, "map<string,string>").alias("raw_fields"), F.from_json(raw, "array<string>").alias("raw_items"),
     )
-    of_list = F.transform(
-        items,
-        lambda x, i: F.struct(
-            F.lit(None).cast("string").alias("key"), i.cast("int").alias("pos"), x.alias("value"),
-            F.try_element_at(raw_items, i.cast("int") + 1).alias("raw"),
-        ),
-    )
-    return F.when(fields.isNotNull(), of_object).otherwise(of_list).cast(f"array<{CANDIDATE_NODE}>")
+
+    def children(p: Column) -> Column:
+        of_object = F.transform(
+            p["keys"],
+            lambda k, i: F.struct(
+                k.alias("key"), i.cast("int").alias("pos"), F.try_element_at(p["fields"], k).alias("value"),
+                F.try_element_at(p["raw_fields"], k).alias("raw"),
+            ),
+        )
+        of_list = F.transform(
+            p["items"],
+            lambda x, i: F.struct(
+                F.lit(None).cast("string").alias("key"), i.cast("int").alias("pos"), x.alias("value"),
+                F.try_element_at(p["raw_items"], i.cast("int") + 1).alias("raw"),
+            ),
+        )
+        return F.when(p["fields"].isNotNull(), of_object).otherwise(of_list).cast(f"array<{CANDIDATE_NODE}>")
+
+    return bind(parts, children)
 
 
 def is_container(v: Column) -> Column:
@@ -134,46 +138,74 @@ def candidate(v: Column, skip_numeric: bool) -> Column:
     )
 
 
-def candidates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = SEARCH_DEPTH, skip_numeric: bool = False
-) -> DataFrame:
-    """``(key, path, order, kind, score)`` of every record set down to ``depth``.
+PATH = "array<struct<key:string,pos:int>>"
+FOUND = f"array<struct<path:{PATH},place:string,kind:string,score:double>>"
+FRONTIER = f"array<struct<v:variant,raw:string,path:{PATH}>>"
 
-    ``path`` holds the steps from the root, ``order`` their positions: comparing
-    ``order`` gives the depth-first order of the document.
+
+def search(v: Column, raw: Column, depth: int = SEARCH_DEPTH, skip_numeric: bool = False) -> Column:
+    """Every record set of a document down to ``depth``, found inside its row.
+
+    A fold over the levels carries the containers of one level and the record sets
+    met so far, so a document is walked once and nothing is shuffled. ``place`` is
+    the position path in fixed width: its text order is document order.
     """
+
+    def below(n: Column) -> Column:
+        inner = F.filter(ordered_children(n["v"], n["raw"]), lambda c: is_container(c["value"]))
+        return F.transform(
+            inner,
+            lambda c: F.struct(
+                c["value"].alias("v"), c["raw"].alias("raw"),
+                F.concat(n["path"], F.array(F.struct(c["key"].alias("key"), c["pos"].alias("pos")))).alias("path"),
+            ),
+        )
+
+    def judged(n: Column) -> Column:
+        place = F.array_join(F.transform(n["path"], lambda s: F.lpad(s["pos"].cast("string"), 10, "0")), ".")
+        return bind(
+            candidate(n["v"], skip_numeric),
+            lambda c: F.when(
+                c.isNotNull(),
+                F.struct(n["path"].alias("path"), place.alias("place"), c["kind"].alias("kind"), c["score"].alias("score")),
+            ),
+        )
+
+    def level(acc: Column, _: Column) -> Column:
+        hits = F.filter(F.transform(acc["frontier"], judged), lambda h: h.isNotNull())
+        deeper = F.struct(
+            F.flatten(F.transform(acc["frontier"], below)).cast(FRONTIER).alias("frontier"),
+            F.concat(acc["found"], hits.cast(FOUND)).alias("found"),
+        )
+        return F.when(F.size(acc["frontier"]) > 0, deeper).otherwise(acc)
+
+    root = F.struct(v.alias("v"), raw.alias("raw"), F.array().cast(PATH).alias("path"))
+    start = F.struct(
+        F.when(is_container(v), F.array(root)).otherwise(F.array()).cast(FRONTIER).alias("frontier"),
+        F.array().cast(FOUND).alias("found"),
+    )
+    return F.aggregate(F.sequence(F.lit(0), F.lit(depth)), start, level)["found"]
+
+
+def parsed(docs: DataFrame, key: str, text: str) -> DataFrame:
     clean = without_bom(F.col(text))
-    step = "array<struct<key:string,pos:int>>"
-    level = docs.select(
-        key, F.try_parse_json(clean).alias("v"), clean.alias("raw"),
-        F.array().cast(step).alias("path"),
-    ).where(is_container(F.col("v")))
-    found = None
-    for d in range(depth + 1):
-        rows = level.select(key, "path", candidate(F.col("v"), skip_numeric).alias("c")).where("c is not null")
-        rows = rows.select(key, "path", F.transform("path", lambda s: s["pos"]).alias("order"), "c.kind", "c.score")
-        found = rows if found is None else found.unionByName(rows)
-        if d < depth:
-            level = (
-                level.select(key, "path", F.explode(ordered_children(F.col("v"), F.col("raw"))).alias("n"))
-                .where(is_container(F.col("n.value")))
-                .select(
-                    key, F.col("n.value").alias("v"), F.col("n.raw").alias("raw"),
-                    F.concat("path", F.array(F.struct(F.col("n.key").alias("key"), F.col("n.pos").alias("pos")))).alias("path"),
-                )
-            )
-    return found
+    return docs.select(key, F.try_parse_json(clean).alias("v"), clean.alias("raw"))
 
 
-def best_candidate(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Highest score per document, the first in document order among equals.
+def candidates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = SEARCH_DEPTH, skip_numeric: bool = False
+) -> DataFrame:
+    """``(key, path, place, kind, score)`` of every record set of each document."""
+    rows = parsed(docs, key, text)
+    return rows.select(key, F.inline(search(F.col("v"), F.col("raw"), depth, skip_numeric)))
 
-    A plain aggregation over small rows: the documents themselves do not move.
-    """
-    # Positions as fixed-width text, so that text order is array order.
-    place = F.array_join(F.transform("order", lambda p: F.lpad(p.cast("string"), 10, "0")), ".")
-    ranked = found.withColumn("_r", F.struct((-F.col("score")).alias("s"), place.alias("o"), "kind", "path", "score"))
-    return ranked.groupBy(key).agg(F.min("_r").alias("b")).select(key, "b.kind", "b.path", "b.score")
+
+def best_candidate(found: Column) -> Column:
+    """Highest score, first in document order among equals."""
+    ranked = F.transform(
+        found, lambda c: F.struct((-c["score"]).alias("s"), c["place"].alias("place"), c["kind"].alias("kind"), c["path"].alias("path"))
+    )
+    return F.array_min(ranked)
 
 
 def node_at(v: Column, path: Column) -> Column:
@@ -208,13 +240,15 @@ def header_names(parent: Column, parent_raw: Column, own_key: Column, width: Col
         given = [F.nullif(F.try_variant_get(F.try_element_at(m, F.lit(k)), "$", "string"), F.lit("")) for k in ("id", "name", "key", "label")]
         return F.coalesce(text, *given)
 
-    fields = as_fields(parent)
-    siblings = F.filter(F.json_object_keys(parent_raw), lambda k: k != own_key)
-    lists = F.filter(
-        F.transform(siblings, lambda k: F.transform(as_items(F.try_element_at(fields, k)), name)),
-        lambda names: names.isNotNull() & (F.size(names) == width) & F.forall(names, lambda n: n.isNotNull()),
-    )
-    return F.try_element_at(lists, F.lit(1))
+    def first_fit(fields: Column) -> Column:
+        siblings = F.filter(F.json_object_keys(parent_raw), lambda k: k != own_key)
+        names = F.transform(siblings, lambda k: F.transform(as_items(F.try_element_at(fields, k)), name))
+        fits = F.filter(
+            names, lambda n: n.isNotNull() & (F.size(n) == width) & F.forall(n, lambda one: one.isNotNull())
+        )
+        return F.try_element_at(fits, F.lit(1))
+
+    return bind(as_fields(parent), first_fit)
 
 
 def list_rows(node: Column, headers: Column) -> Column:
@@ -229,10 +263,7 @@ def list_rows(node: Column, headers: Column) -> Column:
                 c.alias("value"),
             ),
         )
-        leaves = F.transform(
-            flatten_entries(named), lambda e: F.struct(e["key"].alias("key"), variant_text(e["value"]).alias("value"))
-        )
-        return F.map_from_entries(F.filter(leaves, lambda e: e["value"].isNotNull()))
+        return F.map_from_entries(flatten_entries(named))
 
     return F.transform(as_items(node), row)
 
@@ -249,32 +280,29 @@ def keyed_rows(node: Column) -> Column:
 def unwrap(
     docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = SEARCH_DEPTH, skip_numeric: bool = False
 ) -> DataFrame:
-    """``(key, fields)`` records of wrapped documents.
+    """``(key, fields)`` records of wrapped documents, in one pass without a shuffle.
 
-    Documents without a candidate are one record themselves.
+    Documents without a record set are one record themselves.
     """
-    best = best_candidate(candidates(docs, key, text, depth, skip_numeric), key)
-    clean = without_bom(F.col(text))
-    found = docs.select(key, F.try_parse_json(clean).alias("v"), clean.alias("raw")).join(best, key, "left")
-    up = F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))
-    located = found.where("kind is not null").select(
-        key, "kind", "path", node_at(F.col("v"), F.col("path")).alias("node"),
-        node_at(F.col("v"), up).alias("parent"), raw_at(F.col("raw"), up).alias("parent_raw"),
-    )
-    objects = located.where("kind = 'objects'").select(
-        key, F.explode(F.transform(as_items(F.col("node")), flatten_object)).alias("fields")
-    )
-    keyed = located.where("kind = 'keyed'").select(key, F.explode(keyed_rows(F.col("node"))).alias("fields"))
-    width = F.size(as_items(as_items(F.col("node"))[0]))
-    own = F.try_element_at(F.col("path"), F.lit(-1))["key"]
-    named = located.where("kind = 'lists'").withColumn(
-        "headers", header_names(F.col("parent"), F.col("parent_raw"), own, width)
+    rows = parsed(docs, key, text).where(as_fields(F.col("v")).isNotNull())
+    chosen = rows.withColumn("best", best_candidate(search(F.col("v"), F.col("raw"), depth, skip_numeric)))
+    path = F.coalesce(F.col("best.path"), F.array().cast(PATH))
+    up = F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0)))
+    located = chosen.select(
+        key, F.col("best.kind").alias("kind"), F.try_element_at(path, F.lit(-1))["key"].alias("own"),
+        node_at(F.col("v"), path).alias("node"), node_at(F.col("v"), up).alias("parent"),
+        F.when(F.col("best.kind") == "lists", raw_at(F.col("raw"), up)).alias("parent_raw"),
     )
-    lists = named.select(key, F.explode(list_rows(F.col("node"), F.col("headers"))).alias("fields"))
-    single = found.where(F.col("kind").isNull() & as_fields(F.col("v")).isNotNull()).select(
-        key, flatten_object(F.col("v")).alias("fields")
+    node = F.col("node")
+    width = F.size(as_items(as_items(node)[0]))
+    headers = header_names(F.col("parent"), F.col("parent_raw"), F.col("own"), width)
+    records = (
+        F.when(F.col("kind") == "objects", F.transform(as_items(node), lambda x: flatten_object(x)))
+        .when(F.col("kind") == "keyed", keyed_rows(node))
+        .when(F.col("kind") == "lists", bind(headers, lambda names: list_rows(node, names)))
+        .otherwise(F.array(flatten_object(node)))
     )
-    return objects.unionByName(keyed).unionByName(lists).unionByName(single)
+    return located.select(key, F.explode(records).alias("fields"))
 
 
 def document_records(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -149,19 +149,18 @@ def is_date_share(hits: Column, seen: Column, share: float = DATE_SHARE, min_hit
 _CLOCK = r"(?:[T ]\d{1,2}:.*)?$"
 
 
-def datetime_part_of_text(c: Column, part: str, dayfirst: bool) -> Column:
-    """Year, month or day of a text in mixed formats; month-first unless told otherwise."""
+def parse_mixed(c: Column, dayfirst: bool) -> Column:
+    """Timestamp of a text in mixed formats; month-first unless told otherwise."""
 
     def parsed(x: Column) -> Column:
         day = F.regexp_extract(x, r"^[0-9/.-]+", 0)
-        ts = (
+        return (
             F.when(x.rlike(r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}" + _CLOCK), F.replace(day, F.lit("/"), F.lit("-")).try_cast(_NTZ))
             .when(x.rlike(r"^\d{1,2}[-/.]\d{1,2}[-/.]\d{4}" + _CLOCK), day_month_order(day, dayfirst))
             .when(x.rlike(r"^\d{8}$"), _reordered(x, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"))
             .when(x.rlike(r"^\d{4}$"), x.try_cast(_NTZ))
             .otherwise(parse_explicit(x))
         )
-        return datetime_part(ts, part)
 
     return bind(F.regexp_replace(strip(c), r"\s+", " "), parsed)
 

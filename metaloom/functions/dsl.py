@@ -8,9 +8,10 @@ step, bad parameter) compiles to ``None``: it is unresolved, as a failing chain
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -24,11 +25,20 @@ class Unresolved(Exception):
 
 @dataclass
 class Cell:
-    """A column under construction together with its type."""
+    """A column under construction together with its type.
+
+    ``number`` is the numeric column a text was printed from, ``instant`` the
+    timestamp a date part was taken from, ``trace`` what names that timestamp. They
+    let later steps skip a round trip through text.
+    """
 
     col: Column
     dtype: T.DataType
     digits_only: bool = False
+    number: Column | None = None
+    instant: Column | None = None
+    trace: str = ""
+    part: str = ""
 
     @property
     def text(self) -> Column:
@@ -89,7 +99,7 @@ def _to_string(cell: Cell, params: dict, df: DataFrame) -> Cell:
     if isinstance(cell.dtype, T.BooleanType):
         return _string(cell.col.cast("int").cast("string"))
     if cell.numeric:
-        return _string(number_text(cell.col))
+        return Cell(number_text(cell.col), T.StringType(), number=to_number(cell.col, cell.dtype))
     x = strip(cell.text)
     whole = F.when(x.endswith(".0"), x.try_cast("double"))
     tidy = F.when(whole.isNotNull(), number_text(whole)).otherwise(x)
@@ -141,6 +151,8 @@ def to_number(c: Column, dtype: T.DataType) -> Column:
 
 @step("to_numeric")
 def _to_numeric(cell: Cell, params: dict, df: DataFrame) -> Cell:
+    if cell.number is not None:
+        return Cell(cell.number, T.DoubleType())
     return Cell(to_number(cell.col, cell.dtype), T.DoubleType())
 
 
@@ -148,12 +160,17 @@ def _to_numeric(cell: Cell, params: dict, df: DataFrame) -> Cell:
 def _to_datetime_part(cell: Cell, params: dict, df: DataFrame) -> Cell:
     part = params.get("part", "year")
     if part not in ("year", "month", "day"):
-        return cell
+        return replace(cell)
     if isinstance(cell.dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return _string(dates.datetime_part(cell.col, part), True)
-    if cell.numeric:  # a bare number is nanoseconds since the epoch
-        return _string(dates.datetime_part(F.timestamp_micros(F.floor(cell.col / 1000).cast("bigint")), part), True)
-    return _string(dates.datetime_part_of_text(cell.text, part, bool(params.get("dayfirst", False))), True)
+        instant = cell.col
+    elif cell.numeric:  # a bare number is nanoseconds since the epoch
+        instant = F.timestamp_micros(F.floor(cell.col / 1000).cast("bigint"))
+    else:
+        instant = dates.parse_mixed(cell.text, bool(params.get("dayfirst", False)))
+    return Cell(
+        dates.datetime_part(instant, part), T.StringType(), digits_only=True, instant=instant, part=part,
+        trace=json.dumps([cell.trace, bool(params.get("dayfirst", False))]),
+    )
 
 
 @step("replace")
@@ -250,7 +267,7 @@ def start_cell(df: DataFrame, mapping: dict) -> Cell | None:
         columns = [mapping["column"]]
     if not columns or columns[0] not in df.columns:
         return None
-    return Cell(F.col(quoted(columns[0])), df.schema[columns[0]].dataType)
+    return Cell(F.col(quoted(columns[0])), df.schema[columns[0]].dataType, trace=columns[0])
 
 
 def compile_mapping(df: DataFrame, mapping: dict) -> Cell | None:
@@ -265,7 +282,9 @@ def compile_mapping(df: DataFrame, mapping: dict) -> Cell | None:
         if op is None:
             return None
         try:
+            trace = json.dumps([cell.trace, item], sort_keys=True, default=str)
             cell = op(cell, item.get("params") or {}, df)
+            cell.trace = cell.trace if cell.instant is not None else trace
         except (Unresolved, TypeError, ValueError, AttributeError):
             return None
     return cell

@@ -84,7 +84,8 @@ def cell_text(c: Column, dtype: T.DataType) -> Column:
         return c
     if isinstance(dtype, FLOATING):
         d = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
-        return F.when(is_whole(d), F.concat(whole_text(d), F.lit(".0"))).otherwise(float_text(d))
+        usual = (F.abs(d) >= 1e-3) & (F.abs(d) < 1e7)  # most cells: the engine's own text
+        return F.when(usual, d.cast("string")).when(is_whole(d), F.concat(whole_text(d), F.lit(".0"))).otherwise(float_text(d))
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return timestamp_text(c)
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):

@@ -9,7 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import ends_non_public, is_non_public  # noqa: F401
+from ..functions.scalars import (
+    ARRAY_FIELDS, SEMICOLON_FIELDS, is_non_public, language_list, language_text_list, next_version,
+    next_version_history, text_to_array,
+)
+from ..functions.text import is_whole, whole_text
 from .sampling import number_rows
 from .shape import json_string
 
@@ -113,6 +117,74 @@ def static_fields(datasets: DataFrame, overrides: DataFrame, run_time: str) -> D
     )
 
 
+def version_fields(datasets: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Next version and extended history of each dataset from its prefilled record."""
+    given = overrides.where(F.col("field").isin(MANAGED_FIELDS)).groupBy("dataset_id").agg(
+        F.max(F.when(F.col("field") == "version", F.col("value"))).alias("v"),
+        F.max(F.when(F.col("field") == "has_version", F.col("value"))).alias("h"),
+    )
+    joined = datasets.select("dataset_id").join(given, "dataset_id", "left")
+    text = F.try_variant_get(F.try_parse_json("v"), "$", "string")
+    listed = F.from_json("h", "array<string>")
+    history = F.when(F.col("h").isNull() | listed.isNotNull(), F.to_json(next_version_history(listed))).otherwise(F.col("h"))
+    rows = F.array(
+        F.struct(F.lit("version").alias("field"), json_string(next_version(text)).alias("value")),
+        F.struct(F.lit("has_version").alias("field"), history.alias("value")),
+    )
+    return joined.select("dataset_id", F.inline(rows))
+
+
+def file_fields(facts: DataFrame) -> DataFrame:
+    """``(dataset_id, mimetype, format, size, hash, hash_algorithm)`` rows as fields."""
+    rows = F.array(*[
+        F.struct(F.lit(f).alias("field"), (F.col(f).cast("string") if f == "size" else json_string(F.col(f))).alias("value"))
+        for f in ("mimetype", "format", "size", "hash", "hash_algorithm")
+    ])
+    return facts.select("dataset_id", F.inline(rows)).where("value is not null")
+
+
+def statistics_fields(stats: DataFrame) -> DataFrame:
+    """Statistics rows ``(dataset_id, …)`` as record fields; unresolved ones are null."""
+    span = F.struct(F.col("coverage_start").alias("start"), F.col("coverage_end").alias("end"))
+    values = {
+        "number_of_records": F.col("number_of_records").cast("string"),
+        "number_of_unique_individuals": F.col("number_of_unique_individuals").cast("string"),
+        "min_typical_age": number_json(F.col("min_typical_age")),
+        "max_typical_age": number_json(F.col("max_typical_age")),
+        "temporal_coverage": F.when(F.col("coverage_start").isNotNull(), F.to_json(span)),
+    }
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in values.items()])
+    return stats.select("dataset_id", F.inline(rows))
+
+
+def number_json(x: Column) -> Column:
+    """Whole numbers without a fraction."""
+    return F.when(is_whole(x), whole_text(x)).otherwise(x.cast("string"))
+
+
+def normalize_arrays(values: DataFrame) -> DataFrame:
+    """Fields that must be lists become lists; languages become authority uris.
+
+    A text splits at ``;`` for keywords and is wrapped otherwise; anything else
+    that is no list becomes the empty list.
+    """
+    v = F.try_parse_json("value")
+    items = F.try_variant_get(v, "$", "array<variant>")
+    text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    words = F.filter(F.transform(items, lambda i: F.try_variant_get(i, "$", "string")), lambda w: w.isNotNull())
+    empty = F.lit("[]")
+    language = F.coalesce(F.to_json(language_list(words)), F.to_json(language_text_list(text)), F.col("value"))
+    keyword = F.when(items.isNotNull(), F.col("value")).otherwise(F.coalesce(F.to_json(text_to_array("keyword", text)), empty))
+    other = F.when(items.isNotNull(), F.col("value")).otherwise(F.coalesce(F.to_json(text_to_array("purpose", text)), empty))
+    field = F.col("field")
+    plain = [f for f in ARRAY_FIELDS if f != "language" and f not in SEMICOLON_FIELDS]
+    fixed = (
+        F.when(field == "language", language).when(field.isin(SEMICOLON_FIELDS), keyword)
+        .when(field.isin(plain), other).otherwise(F.col("value"))
+    )
+    return values.withColumn("value", fixed)
+
+
 def derived_names(values: DataFrame, overrides: DataFrame) -> DataFrame:
     """``description`` from notes and ``name`` from title: a prefilled source wins over
     the model's, a prefilled target needs nothing."""
@@ -172,35 +244,31 @@ def conditional_fields(values: DataFrame, fixed_uri: str) -> DataFrame:
 def finalize(values: DataFrame) -> DataFrame:
     """Nest the distribution fields of records that have an access url.
 
-    A distribution holds at most 16 fields, so its object is built from a bounded
-    group; the other fields pass through.
+    Other fields pass through untouched. One aggregation per dataset gathers the at
+    most 16 distribution fields and the legislation, which every record gets.
     """
-    moved = F.col("field").isin(DISTRIBUTION_FIELDS)
     law = "applicable_legislation"
-    rest = values.where(~moved & (F.col("field") != "distribution"))
-    laws = values.groupBy("dataset_id").agg(
-        F.max(F.when((F.col("field") == law) & json_is_filled(F.col("value")), F.col("value"))).alias("law"),
-        F.count_if((F.col("field") == "access_url") & json_is_filled(F.col("value"))).alias("urls"),
-    ).select("dataset_id", F.coalesce("law", F.lit(DEFAULT_LEGISLATION)).alias("law"), "urls")
-    parts = values.where(moved & json_is_filled(F.col("value"))).groupBy("dataset_id").agg(
-        F.array_sort(F.collect_list(F.struct("field", "value"))).alias("parts")
+    moved = F.col("field").isin(DISTRIBUTION_FIELDS)
+    filled = json_is_filled(F.col("value"))
+    rest = values.where(~moved & ~F.col("field").isin(law, "distribution"))
+    grouped = values.groupBy("dataset_id").agg(
+        F.array_sort(F.collect_list(F.when(moved & filled, F.struct("field", "value")))).alias("parts"),
+        F.coalesce(F.max(F.when((F.col("field") == law) & filled, F.col("value"))), F.lit(DEFAULT_LEGISLATION)).alias("law"),
+        F.max(F.when(F.col("field") == "distribution", F.struct("value"))).alias("held"),
     )
     members = F.transform("parts", lambda e: F.concat(json_string(e["field"]), F.lit(":"), e["value"]))
     with_law = F.concat(members, F.array(F.concat(F.lit(f'"{law}":'), F.col("law"))))
-    nested = (
-        laws.where(F.col("urls") > 0).join(parts, "dataset_id")
-        .select(
-            "dataset_id", F.lit("distribution").alias("field"),
-            F.concat(F.lit("[{"), F.concat_ws(",", with_law), F.lit("}]")).alias("value"),
-        )
-    )
-    kept_distribution = values.where(F.col("field") == "distribution").join(
-        nested.select("dataset_id"), "dataset_id", "left_anti"
-    )
-    law_rows = laws.select("dataset_id", F.lit(law).alias("field"), F.col("law").alias("value"))
-    return (
-        rest.where(F.col("field") != law).unionByName(law_rows).unionByName(nested).unionByName(kept_distribution)
+    nested = F.concat(F.lit("[{"), F.concat_ws(",", with_law), F.lit("}]"))
+    has_url = F.exists("parts", lambda e: e["field"] == "access_url")
+
+    def row(field: str, value: Column) -> Column:
+        return F.struct(F.lit(field).alias("field"), value.alias("value"))
+
+    distribution = F.when(has_url, row("distribution", nested)).when(
+        F.col("held").isNotNull(), row("distribution", F.col("held.value"))
     )
+    rows = F.filter(F.array(row(law, F.col("law")), distribution), lambda r: r.isNotNull())
+    return rest.select("dataset_id", "field", "value").unionByName(grouped.select("dataset_id", F.inline(rows)))
 
 
 def contract(values: DataFrame, datasets: DataFrame, fields: list[str]) -> DataFrame:

@@ -2,10 +2,9 @@
 
 Equi joins carry no hint: the optimizer broadcasts a dictionary below its size
 threshold and falls back to a shuffle join with skew handling above it.
-Containment and prefix matches work on blocks of the dictionary: each block is
-one row that holds a bounded array, texts meet the blocks through an equi join
-on the block number and the test runs inside the row. No pair is emitted that
-does not match.
+Containment and prefix matches work on blocks of the dictionary: a block is a
+bounded array next to the text and the test runs inside the row. No pair is
+emitted that does not match.
 """
 
 from __future__ import annotations
@@ -66,16 +65,16 @@ def block_count(dims: DataFrame) -> int:
 def with_blocks(texts: DataFrame, dims: DataFrame, columns: list[str], blocks: int) -> DataFrame:
     """Each text next to each block of the dictionary as an ``entries`` array.
 
-    A usual dictionary is one block. Up to BROADCAST_BLOCKS blocks (the count
-    proves the size) are broadcast. More are shuffled, salted so that no block
-    becomes one task.
+    A usual dictionary is one block, delivered by an uncorrelated scalar subquery
+    without any join. Up to BROADCAST_BLOCKS blocks (the count proves the size) are
+    broadcast to an equi join. More are shuffled, salted so that no block becomes
+    one task.
     """
-    key = F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int") if blocks > 1 else F.lit(0)
-    packed = dims.groupBy(key.alias("block")).agg(F.collect_list(F.struct(*columns)).alias("entries"))
+    entries = F.collect_list(F.struct(*columns)).alias("entries")
     if blocks == 1:
-        spread = texts.withColumn("block", F.lit(0))
-    else:
-        spread = texts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return texts.withColumn("entries", dims.agg(entries).scalar())
+    packed = dims.groupBy(F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int").alias("block")).agg(entries)
+    spread = texts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     if blocks <= BROADCAST_BLOCKS:
         return spread.join(F.broadcast(packed), "block").drop("block")
     salted = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -110,7 +109,7 @@ def relevant_labels(
     met = with_blocks(lowered, entries, ["ord", "label", "uri", "words"], blocks)
     vocabulary = F.array_distinct(F.flatten(F.transform("entries", lambda e: e["words"])))
     found = bind(
-        F.filter(vocabulary, lambda w: F.col("_t").contains(w)),
+        bind(F.col("_t"), lambda body: F.filter(vocabulary, lambda w: body.contains(w))),
         lambda seen: F.filter("entries", lambda e: F.arrays_overlap(e["words"], seen)),
     )
     # One row per block of a text; with one block the list is final already.
@@ -132,7 +131,7 @@ def expand_hints(texts: DataFrame, hints: DataFrame, text: str) -> DataFrame:
     """Hints whose word occurs in the text: all of them and the first by order."""
     blocks = block_count(hints)
     met = with_blocks(texts, hints.select("ord", "word", "hint"), ["ord", "word", "hint"], blocks)
-    hits = F.filter("entries", lambda e: F.lower(F.col(text)).contains(e["word"]))
+    hits = bind(F.lower(F.col(text)), lambda body: F.filter("entries", lambda e: body.contains(e["word"])))
     keys = texts.columns
     per = met.withColumn("_h", F.array_sort(hits)).drop("entries").where((F.size("_h") > 0) | F.lit(blocks > 1))
     if blocks > 1:

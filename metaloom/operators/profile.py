@@ -65,6 +65,20 @@ def date_part(df: DataFrame, part: dict | None) -> Cell | None:
     return compile_mapping(df, part) if part else None
 
 
+def shared_instant(cells: dict[str, Cell | None]) -> Column | None:
+    """The one timestamp whose own year, month and day the parts are, cut to the finest part.
+
+    Joining such parts and parsing the text again would give the same day.
+    """
+    given = {p: c for p, c in cells.items() if c is not None}
+    finest = {1: ["year"], 2: ["year", "month"], 3: ["year", "month", "day"]}[len(given)]
+    same = len({c.trace for c in given.values()}) == 1 and all(c.instant is not None for c in given.values())
+    if not same or sorted(given) != sorted(finest) or any(c.part != p for p, c in given.items()):
+        return None
+    day = F.to_date(given["year"].instant)
+    return (day if finest[-1] == "day" else F.trunc(day, finest[-1])).cast("timestamp_ntz")
+
+
 def date_series(df: DataFrame, mapping: dict, fuzzy: bool = True, today: dt.date | None = None) -> Column | None:
     """Timestamp column of a ``{year, month, day}`` mapping, ``None`` without a year.
 
@@ -74,6 +88,9 @@ def date_series(df: DataFrame, mapping: dict, fuzzy: bool = True, today: dt.date
     cells = {p: date_part(df, mapping.get(p)) for p in ("year", "month", "day")}
     if cells["year"] is None:
         return None
+    instant = shared_instant(cells)
+    if instant is not None:
+        return instant
     texts = {p: None if c is None else cell_text(c.col, c.dtype) for p, c in cells.items()}
     joined = dates.join_parts(texts["year"], texts["month"], texts["day"])
     if all(c is None or c.digits_only for c in cells.values()):

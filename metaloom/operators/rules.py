@@ -241,26 +241,31 @@ def missing_required(datasets: DataFrame, values: DataFrame, findings: DataFrame
 
 
 def validity(datasets: DataFrame, values: DataFrame, findings: DataFrame, missing: DataFrame, fields: DataFrame) -> DataFrame:
-    """Verdict and completeness counters per record; ``fields(ord, field, required)``."""
-    totals = fields.agg(F.count_if("required").alias("r"), F.count_if(~F.col("required")).alias("o"))
+    """Verdict and completeness counters per record; ``fields(ord, field, required)``.
+
+    All inputs are reduced to counters and added up in one aggregation.
+    """
+    names = ["filled_required", "filled_optional", "errors", "missing"]
+
+    def counted(rows: DataFrame, **given: Column) -> DataFrame:
+        return rows.select("dataset_id", *[given.get(n, F.lit(0)).cast("bigint").alias(n) for n in names])
+
     filled = values.where(json_is_filled(F.col("value"))).join(fields.select("field", "required"), "field")
-    counts = filled.groupBy("dataset_id").agg(
-        F.count_if("required").alias("filled_required"), F.count_if(~F.col("required")).alias("filled_optional")
+    parts = (
+        counted(datasets)
+        .unionByName(counted(
+            filled, filled_required=F.col("required").cast("int"), filled_optional=(~F.col("required")).cast("int")
+        ))
+        .unionByName(counted(findings, errors=F.lit(1)))
+        .unionByName(counted(missing, missing=F.lit(1)))
     )
-    errors = findings.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("errors"))
-    gaps = missing.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("missing"))
-    zero = F.lit(0).cast("bigint")
-    out = datasets.select("dataset_id")
-    for part in (counts, errors, gaps):
-        out = out.join(part, "dataset_id", "left")
-    return out.select(
+    sums = parts.groupBy("dataset_id").agg(*[F.sum(n).alias(n) for n in names])
+    totals = fields.agg(F.count_if("required").alias("r"), F.count_if(~F.col("required")).alias("o"))
+    return sums.select(
         "dataset_id",
-        ((F.coalesce("errors", zero) == 0) & (F.coalesce("missing", zero) == 0)).alias("valid"),
-        F.coalesce("errors", zero).alias("errors"),
-        F.coalesce("missing", zero).alias("missing"),
-        F.coalesce("filled_required", zero).alias("filled_required"),
+        ((F.col("errors") == 0) & (F.col("missing") == 0)).alias("valid"),
+        *names,
         totals.select("r").scalar().alias("total_required"),
-        F.coalesce("filled_optional", zero).alias("filled_optional"),
         totals.select("o").scalar().alias("total_optional"),
     )
 

@@ -34,19 +34,24 @@ def flatten_records(df: DataFrame) -> DataFrame:
     return df.select(*[cell_text(c, t).alias(p) for p, c, t in leaf_columns(df)])
 
 
-def field_map(df: DataFrame, exclude: list[str] = ()) -> Column:
-    """One map per record, null cells left out."""
+def field_pairs(df: DataFrame, exclude: list[str] = ()) -> Column:
+    """(key, value) pairs of a record, null cells left out."""
     pairs = [
         F.struct(F.lit(p).alias("key"), cell_text(c, t).alias("value"))
         for p, c, t in leaf_columns(df) if p not in exclude
     ]
-    return F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["value"].isNotNull()))
+    return F.filter(F.array(*pairs), lambda e: e["value"].isNotNull())
+
+
+def field_map(df: DataFrame, exclude: list[str] = ()) -> Column:
+    """One map per record, null cells left out."""
+    return F.map_from_entries(field_pairs(df, exclude))
 
 
 def long_fields(df: DataFrame, key: str, dataset: str = "dataset_id") -> DataFrame:
     """(dataset_id, field, value) rows of the non-null cells, without a shuffle."""
-    fields = field_map(df, exclude=[key])
-    return df.select(F.col(key).alias(dataset), F.explode(fields).alias("field", "value"))
+    rows = df.select(F.col(key).alias(dataset), F.inline(field_pairs(df, exclude=[key])))
+    return rows.withColumnRenamed("key", "field")
 
 
 # ── open JSON records ────────────────────────────────────────────────────────

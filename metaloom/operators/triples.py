@@ -267,16 +267,25 @@ _LINE = (
 )
 
 
+# Groups of a matching line, the literal last because it may hold any character.
+_SPREAD = "\u0002" + "\u0001".join(f"${i}" for i in (1, 2, 3, 4, 5, 7, 8, 6))
+
+
 def parse_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Triples of N-Triples lines; comments, blank and broken lines are left out."""
-    x = F.col(column)
-    g = lambda i: F.nullif(F.regexp_extract(x, _LINE, i), F.lit(""))
-    literal = x.rlike(r'^\s*(?:<[^>]*>|_:\S+)\s+<[^>]*>\s+"')
-    return lines.where(x.rlike(_LINE)).select(
-        F.coalesce(g(1), g(2)).alias("s"),
-        g(3).alias("p"),
-        F.when(literal, unescape_literal(F.regexp_extract(x, _LINE, 6))).otherwise(F.coalesce(g(4), g(5))).alias("o"),
-        F.when(literal, "literal").when(g(5).isNotNull(), "blank").otherwise("uri").alias("o_kind"),
-        g(7).alias("lang"),
-        g(8).alias("datatype"),
+    """Triples of N-Triples lines; comments, blank and broken lines are left out.
+
+    One regular expression pass per line spreads its groups, a split picks them up.
+    """
+    spread = F.regexp_replace(F.col(column), _LINE, _SPREAD)
+    groups = lines.select(F.when(spread.startswith("\u0002"), F.split(F.substring(spread, 2, 1 << 30), "\u0001", 8)).alias("g"))
+    g = lambda i: F.nullif(F.col("g")[i], F.lit(""))
+    uri, node = g(3), g(4)
+    literal = uri.isNull() & node.isNull()
+    return groups.where("g is not null").select(
+        F.coalesce(g(0), g(1)).alias("s"),
+        g(2).alias("p"),
+        F.when(literal, unescape_literal(F.col("g")[7])).otherwise(F.coalesce(uri, node)).alias("o"),
+        F.when(literal, "literal").when(node.isNotNull(), "blank").otherwise("uri").alias("o_kind"),
+        g(5).alias("lang"),
+        g(6).alias("datatype"),
     )

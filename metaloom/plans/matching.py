@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import lookup as L, nearest as N, spatial
+from ..session import spread
 from .registry import query
 
 
@@ -87,7 +88,7 @@ LABELS = "l as (select p_name as label, min(p_partkey) as ord from part group by
     union all select doc_id, ord, label, 'http://l/' || ord::varchar from f,
         (select doc_id from documents where doc_id not in (select doc_id from h))""")
 def h5(t):
-    labels, texts = part_labels(t), t.documents.select("doc_id", "text")
+    labels, texts = part_labels(t), spread(t.documents.select("doc_id", "text"))
     return L.relevant_labels(texts, labels, "doc_id", "text", fallback=L.first_entries(labels))
 
 
@@ -225,20 +226,25 @@ def g11(t):
            coalesce(uris, 'http://publications.europa.eu/resource/authority/country/ESP') as uris
     from orders left join u on dataset_id = o_orderkey""")
 def v6(t):
-    ord_ = (F.col("l_linenumber") * 1000000 + F.col("l_suppkey")).alias("ord")
-    named = (
-        t.lineitem.where("l_returnflag <> 'R'")
-        .join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    # Places of a supplier are looked up once per supplier, not once per line.
+    supplier_places = L.place_uris(
+        t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(F.col("l_orderkey").alias("dataset_id"), ord_, F.inline(F.array(
+        .select("s_suppkey", F.inline(F.array(
             F.struct(F.lit("provinces").alias("level"), F.col("n_name").alias("name")),
             F.struct(F.lit("continents").alias("level"), F.col("r_name").alias("name")),
-        )))
+        ))),
+        gazetteer(t),
+    ).select("s_suppkey", "level", "uri")
+    named = t.lineitem.where("l_returnflag <> 'R'").join(
+        supplier_places, F.col("l_suppkey") == F.col("s_suppkey")
+    ).select(
+        F.col("l_orderkey").alias("dataset_id"), "level", "uri",
+        (F.col("l_linenumber") * 1000000 + F.col("l_suppkey")).alias("ord"),
     )
     places = gazetteer(t)
     out = spatial.coverage_uris(
-        L.place_uris(named, places), spatial.level_sizes(places),
+        named, spatial.level_sizes(places),
         t.orders.select(F.col("o_orderkey").alias("dataset_id")), "dataset_id",
     )
     return out.select("dataset_id", F.concat_ws("|", "uris").alias("uris"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions.dsl import compile_mapping
 from ..operators import profile as P
+from ..session import spread
 from .registry import query
 
 
@@ -157,7 +158,7 @@ def e1(t):
     }
     cells = F.array(*[F.struct(F.lit(n).alias("style"), x.alias("text")) for n, x in texts.items()])
     return (
-        t.orders.select("o_orderkey", F.inline(cells))
+        spread(t.orders).select("o_orderkey", F.inline(cells))
         .select("o_orderkey", "style", F.date_format(dates.parse_explicit(F.col("text")), "yyyy-MM-dd").alias("parsed"))
     )
 

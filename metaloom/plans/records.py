@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import answers as N, assemble as A, profile as P, rules as R, triples as X, usage as U
 from ..operators.shape import json_string
+from ..session import spread
 from .registry import query
 
 
@@ -289,7 +290,7 @@ def k_validate(t):
       select doc_id, unnest(string_split_regex(text, '\s+')) as word from documents)
     where contains(word, '@') and regexp_full_match(word, '[^@\s]+@[^@\s]+\.[^@\s]+')""")
 def k4(t):
-    words = t.documents.select(F.col("doc_id").alias("dataset_id"), F.explode(F.split("text", r"(?U)\s+")).alias("value"))
+    words = spread(t.documents).select(F.col("doc_id").alias("dataset_id"), F.explode(F.split("text", r"(?U)\s+")).alias("value"))
     return words.where(F.col("value").contains("@") & F.col("value").rlike(R.EMAIL))
 
 
@@ -465,7 +466,7 @@ def m7(t):
     select doc_id, 'http://d/' || doc_id::varchar as s, md5(text) as digest, 'literal' as o_kind, lang from documents""")
 def m7_back(t):
     s = F.concat(F.lit("http://d/"), F.col("doc_id"))
-    rows = t.documents.select(F.inline(F.array(X.triple(s, X.DCT + "description", F.col("text"), "literal", F.col("lang")))))
+    rows = spread(t.documents).select(F.inline(F.array(X.triple(s, X.DCT + "description", F.col("text"), "literal", F.col("lang")))))
     back = X.parse_ntriples(X.ntriples(rows))
     return back.select(
         F.regexp_extract("s", r"(\d+)$", 1).cast("bigint").alias("doc_id"), "s", F.md5("o").alias("digest"), "o_kind", "lang"
@@ -699,3 +700,81 @@ def o3(t):
 @query("g10_active_sessions", "select count(distinct user_id) as active_sessions from events")
 def g10(t):
     return U.active_sessions(calls(t))
+
+
+# ── whole records ────────────────────────────────────────────────────────────
+
+@query("l0_whole_record", """
+    with s as (select 'orders' as dataset_id, count(*) as n, count(distinct o_custkey) as u, min(o_totalprice) as lo, max(o_totalprice) as hi,
+               strftime(min(o_orderdate), '%Y-%m-%d') as a, strftime(max(o_orderdate), '%Y-%m-%d') as b from orders
+               union all select 'lineitem', count(*), count(distinct l_partkey), min(l_quantity), max(l_quantity),
+               strftime(min(l_shipdate), '%Y-%m-%d'), strftime(max(l_shipdate), '%Y-%m-%d') from lineitem),
+    f as (
+      select dataset_id, 'number_of_records' as field, n::varchar as value from s
+      union all select dataset_id, 'number_of_unique_individuals', u::varchar from s
+      union all select dataset_id, 'min_typical_age', case when lo = floor(lo) then lo::bigint::varchar else lo::varchar end from s
+      union all select dataset_id, 'max_typical_age', case when hi = floor(hi) then hi::bigint::varchar else hi::varchar end from s
+      union all select dataset_id, 'temporal_coverage', '{"start":"' || a || '","end":"' || b || '"}' from s
+      union all select dataset_id, 'issued', '"2024-01-02T03:04:05.006Z"' from s
+      union all select dataset_id, 'modified', '"2024-01-02T03:04:05.006Z"' from s
+      union all select dataset_id, 'theme', '["http://publications.europa.eu/resource/authority/data-theme/HEAL"]' from s
+      union all select dataset_id, 'legal_basis', '{"description":"RGPD","source":"https://www.boe.es/doue/2016/119/L00001-00088.pdf"}' from s
+      union all select dataset_id, 'applicable_legislation', '[{"uri":"http://data.europa.eu/eli/reg/2016/679/oj","label":"GDPR"},{"uri":"http://data.europa.eu/eli/reg/2025/327/oj","label":"Reglamento EHDS"}]' from s
+      union all select dataset_id, 'version', case dataset_id when 'orders' then '"3.0"' else '"1.0"' end from s
+      union all select dataset_id, 'has_version', case dataset_id when 'orders' then '["1.0","2.0","3.0"]' else '["1.0"]' end from s
+      union all select dataset_id, 'title', '"T ' || dataset_id || '"' from s
+      union all select dataset_id, 'name', '"T ' || dataset_id || '"' from s
+      union all select dataset_id, 'language', '["http://publications.europa.eu/resource/authority/language/SPA"]' from s
+      union all select dataset_id, 'keyword', case dataset_id when 'orders' then '["x","y"]' else '["k"]' end from s)
+    select * from f""")
+def l0(t):
+    """Records of two datasets: statistics, defaults, answers and overrides merged."""
+    from .. import catalogue as C
+    from .profiling import LINEITEM, ORDERS
+
+    stats = None
+    for name, structure in (("orders", ORDERS), ("lineitem", LINEITEM)):
+        part = C.statistics(t.spark, name, t.path(name), structure)
+        stats = part if stats is None else stats.unionByName(part)
+    datasets = stats.select("dataset_id").distinct()
+
+    def fields(rows, **values):
+        pairs = [F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in values.items()]
+        return rows.select("dataset_id", F.inline(F.array(*pairs)))
+
+    answers = fields(
+        datasets, title=F.concat(F.lit('"T '), "dataset_id", F.lit('"')), title_en_tmpt=F.lit('"E"'),
+        language=F.lit('["spa"," "]'), keyword=F.lit('["k"]'),
+    )
+    overrides = fields(
+        datasets.where("dataset_id = 'orders'"), keyword=F.lit('"x; y"'), version=F.lit('"2"'),
+        has_version=F.lit('["2.0","1.0"]'), name=F.lit('""'),
+    )
+    return C.assemble(datasets, stats, "2024-01-02T03:04:05.006Z", answers=answers, overrides=overrides)
+
+
+@query("l1_normalize_arrays", """
+    select o_orderkey as dataset_id, 'keyword' as field, case o_custkey % 3 when 0 then '["a","b"]' when 1 then '["a"]' else '[]' end as value from orders
+    union all select o_orderkey, 'purpose', case o_custkey % 3 when 0 then '["a; b"]' when 1 then '["a"]' else '[]' end from orders
+    union all select o_orderkey, 'title', case o_custkey % 3 when 0 then '"a; b"' when 1 then '["a"]' else 'null' end from orders""")
+def l1_arrays(t):
+    m = F.col("o_custkey") % 3
+    v = F.when(m == 0, '"a; b"').when(m == 1, '["a"]').otherwise("null")
+    return A.normalize_arrays(order_fields(t, ("keyword", v), ("purpose", v), ("title", v)))
+
+
+@query("h13_rule_join", """
+    select c_custkey as dataset_id, f.field, f.type, f.required from customer,
+      (values ('title', 'text', true), ('name', 'slug', false), ('tags', 'list', false), ('mail', 'email', false), ('site', 'url', false),
+              ('hdab', 'list_object', true)) f(field, type, required)""")
+def h13(t):
+    rules = rule_table(t).select("field", "type", "required")
+    return customer_record(t).join(rules, "field").select("dataset_id", "field", "type", "required")
+
+
+@query("e8_iso_millis", """
+    select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((microsecond(ts) % 1000000 // 1000)::varchar, 3, '0') || 'Z' as stamp from events""")
+def e8(t):
+    from ..functions.dates import iso_millis
+
+    return t.events.select("event_id", iso_millis(F.col("ts")).alias("stamp"))

@@ -3,6 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from ..operators import sampling as M, shape
+from ..session import spread
 from .registry import query
 
 LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -17,7 +18,7 @@ def b1(t):
         F.lit('{"meta":{"type":"'), "event_type", F.lit('","none":null,"deep":'), "props",
         F.lit('},"tags":["x",'), "props", F.lit("]}"),
     ))
-    m = t.events.select("event_id", shape.flatten_object(doc).alias("m"))
+    m = spread(t.events).select("event_id", shape.flatten_object(doc).alias("m"))
     return m.select("event_id", *[F.col("m")[k].alias(k) for k in ("meta.type", "meta.deep.k", "tags")])
 
 
@@ -66,7 +67,7 @@ def b6(t):
         F.lit('{"type":" '), "event_type", F.lit(' ","blank":"  ","none":[],"rows":['), "props",
         F.lit(',{"z":1}],"first":["a","b"]}'),
     ))
-    return t.events.select("event_id", F.inline(shape.path_samples(doc, 3)))
+    return spread(t.events).select("event_id", F.inline(shape.path_samples(doc)))
 
 
 INVENTORY_SQL = """

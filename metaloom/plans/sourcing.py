@@ -6,7 +6,7 @@ from ..functions import scalars as S
 from ..operators import nearest, profile as P, rules as R, shape, triples as X
 from ..operators.answers import registry_rows, vocabulary_summary
 from ..operators.assemble import finalize
-from ..session import shared_dir
+from ..session import shared_dir, spread
 from ..sources import delimited as D, files as FS, grid, json_docs as J, sinks, vocabularies as V, xml_docs as XM
 from .cleaning import WS
 from .profiling import LINEITEM, steps
@@ -39,7 +39,7 @@ def a2(t):
            case when list_max(sc) = 0 then ',' when sc[1] = list_max(sc) then ';' when sc[2] = list_max(sc) then ','
                 when sc[3] = list_max(sc) then chr(9) else '|' end as delimiter from s""")
 def a3(t):
-    lines = t.documents.select("doc_id", D.first_lines(F.col("text")).alias("lines"))
+    lines = spread(t.documents).select("doc_id", D.first_lines(F.col("text")).alias("lines"))
     names = ["semicolon", "comma", "tab", "bar"]
     return lines.select(
         "doc_id",
@@ -141,7 +141,7 @@ def f8(t):
     union all select event_id, 'a.b', '["x", 1]' from events""")
 def a5(t):
     text = F.concat(F.lit("﻿ ["), "props", F.lit(',"'), "event_type", F.lit('",{"a":{"b":["x",1],"c":null}}]'))
-    rows = J.array_records(t.events.select(F.col("event_id").alias("doc_id"), text.alias("text")))
+    rows = J.array_records(spread(t.events).select(F.col("event_id").alias("doc_id"), text.alias("text")))
     return rows.select("doc_id", F.explode("fields").alias("field", "value"))
 
 
@@ -169,7 +169,7 @@ def wrapped(t):
     )
     single = F.concat(F.lit('{"id":'), k, F.lit(',"in":{"name":"'), name, F.lit('"},"tags":["t"]}'))
     text = F.when(k % 4 == 0, objects).when(k % 4 == 1, keyed).when(k % 4 == 2, lists).otherwise(single)
-    return t.customer.select(k.alias("doc_id"), text.alias("text"))
+    return spread(t.customer).select(k.alias("doc_id"), text.alias("text"))
 
 
 @query("a7_candidates", """
@@ -218,7 +218,7 @@ def a6_layouts(t):
         .when(m == 1, F.concat("props", F.lit("\n"), "props", F.lit("\nnot json\n")))
         .otherwise(F.concat(F.lit('{"rows":['), "props", F.lit("]}")))
     )
-    rows = J.document_records(t.events.select(F.col("event_id").alias("doc_id"), text.alias("text")))
+    rows = J.document_records(spread(t.events).select(F.col("event_id").alias("doc_id"), text.alias("text")))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("records"))
 
 

@@ -30,7 +30,7 @@ _ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?:[T ]\d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,6})?Z?)?$
 _DAY_MONTH = (
     rf"^\d{{1,2}}(?:/\d{{1,2}}/\d{{4}}(?:{_DAY_TIME})?|-\d{{1,2}}-\d{{4}}|\.\d{{1,2}}\.\d{{4}})$"
 )
-_THREE = r"^(\d+)[/.-](\d+)[/.-](\d+)(.*)$"
+_THREE = r"^(\d+)\.(\d+)\.(\d+)$"
 _COMPACT = r"^(\d{4})(1[0-2]|0[1-9]|[1-9])(3[01]|[12]\d|0[1-9]|[1-9])$"
 _YEAR_MONTH = r"^(\d{4})[-/](\d{1,2})$"
 _MONTH_YEAR = r"^(\d{1,2})/(\d{4})$"
@@ -53,10 +53,25 @@ def _reordered(x: Column, pattern: str, order: str) -> Column:
     return F.regexp_replace(x, pattern, order).try_cast(_NTZ)
 
 
-def day_month_order(x: Column, dayfirst: bool) -> Column:
-    """Numeric day and month in the preferred order, the other order when that is no date."""
-    day, month = _reordered(x, _THREE, "$3-$2-$1$4"), _reordered(x, _THREE, "$3-$1-$2$4")
-    return F.coalesce(day, month) if dayfirst else F.coalesce(month, day)
+def day_month_order(day: Column, time: Column | None, dayfirst: bool) -> Column:
+    """``1/2/2020`` in the preferred order of day and month, in the other order when
+    that is no date. Plain text functions: this runs for every row of a column."""
+    dashed = F.translate(day, "/.", "--")
+    first, second, year = (F.split_part(dashed, F.lit("-"), F.lit(i)) for i in (1, 2, 3))
+
+    def joined(month: Column, dom: Column) -> Column:
+        date = F.concat(year, F.lit("-"), month, F.lit("-"), dom)
+        return (date if time is None else F.concat(date, time)).try_cast(_NTZ)
+
+    day_first, month_first = joined(second, first), joined(first, second)
+    return F.coalesce(day_first, month_first) if dayfirst else F.coalesce(month_first, day_first)
+
+
+def single_spaced(c: Column) -> Column:
+    """Trimmed text with inner runs of whitespace as one blank; most cells have none."""
+    return bind(
+        strip(c), lambda x: F.when(x.rlike(r"\s\s|[\t\n\r\f]"), F.regexp_replace(x, r"\s+", " ")).otherwise(x)
+    )
 
 
 def not_a_date_trimmed(x: Column) -> Column:
@@ -80,8 +95,9 @@ def parse_explicit(c: Column) -> Column:
         out = (
             F.when(x.rlike(_ISO), x.try_cast(_NTZ))
             .when(not_a_date_trimmed(x), F.lit(None).cast(_NTZ))
-            .when(x.rlike(_DAY_MONTH), F.when(x.contains("."), _reordered(x, _THREE, "$3-$2-$1$4"))
-                  .otherwise(day_month_order(x, True)))
+            .when(~x.rlike(r"\d{4}"), F.lit(None).cast(_NTZ))  # every shape below names a full year
+            .when(x.rlike(_DAY_MONTH), F.when(x.contains("."), _reordered(x, _THREE, "$3-$2-$1"))
+                  .otherwise(day_month_order(F.split_part(x, F.lit(" "), F.lit(1)), F.regexp_extract(x, " .*$", 0), True)))
             .when(x.rlike(_COMPACT), _reordered(x, _COMPACT, "$1-$2-$3"))
             .when(x.rlike(_YEAR_MONTH), _reordered(x, _YEAR_MONTH, "$1-$2-1"))
             .when(x.rlike(_MONTH_YEAR), _reordered(x, _MONTH_YEAR, "$2-$1-1"))
@@ -90,7 +106,7 @@ def parse_explicit(c: Column) -> Column:
             out = out.when(x.rlike(guard), _formatted(x, pattern))
         return out.when(x.rlike(_MAIL), _formatted(F.regexp_extract(x, _MAIL, 1), "d [MMMM][MMM] yyyy H:m:s"))
 
-    return bind(F.regexp_replace(strip(c), r"\s+", " "), shapes)
+    return bind(single_spaced(c), shapes)
 
 
 def fuzzy_parser(today: dt.date):
@@ -146,23 +162,25 @@ def is_date_share(hits: Column, seen: Column, share: float = DATE_SHARE, min_hit
     return (seen > 0) & (hits >= min_hits) & (hits >= share * seen)
 
 
-_CLOCK = r"(?:[T ]\d{1,2}:.*)?$"
+_DAY = r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?:[T ]\d{1,2}:.*)?$"
 
 
 def parse_mixed(c: Column, dayfirst: bool) -> Column:
     """Timestamp of a text in mixed formats; month-first unless told otherwise."""
 
     def parsed(x: Column) -> Column:
-        day = F.regexp_extract(x, r"^[0-9/.-]+", 0)
-        return (
-            F.when(x.rlike(r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}" + _CLOCK), F.replace(day, F.lit("/"), F.lit("-")).try_cast(_NTZ))
-            .when(x.rlike(r"^\d{1,2}[-/.]\d{1,2}[-/.]\d{4}" + _CLOCK), day_month_order(day, dayfirst))
-            .when(x.rlike(r"^\d{8}$"), _reordered(x, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"))
-            .when(x.rlike(r"^\d{4}$"), x.try_cast(_NTZ))
-            .otherwise(parse_explicit(x))
-        )
-
-    return bind(F.regexp_replace(strip(c), r"\s+", " "), parsed)
+        def by_day(day: Column) -> Column:
+            return (
+                F.when(day.rlike(r"^\d{4}"), F.translate(day, "/", "-").try_cast(_NTZ))
+                .when(day != "", day_month_order(day, None, dayfirst))
+                .when(x.rlike(r"^\d{8}$"), _reordered(x, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"))
+                .when(x.rlike(r"^\d{4}$"), x.try_cast(_NTZ))
+                .otherwise(parse_explicit(x))
+            )
+
+        return bind(F.regexp_extract(x, _DAY, 1), by_day)
+
+    return bind(single_spaced(c), parsed)
 
 
 def datetime_part(ts: Column, part: str) -> Column:

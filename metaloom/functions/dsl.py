@@ -27,15 +27,16 @@ class Unresolved(Exception):
 class Cell:
     """A column under construction together with its type.
 
-    ``number`` is the numeric column a text was printed from, ``instant`` the
-    timestamp a date part was taken from, ``trace`` what names that timestamp. They
-    let later steps skip a round trip through text.
+    ``number`` and ``stamp`` are the numeric or time column a text was printed from,
+    ``instant`` is the timestamp a date part was taken from, ``trace`` what names
+    that timestamp. They let later steps skip a round trip through text.
     """
 
     col: Column
     dtype: T.DataType
     digits_only: bool = False
     number: Column | None = None
+    stamp: Column | None = None
     instant: Column | None = None
     trace: str = ""
     part: str = ""
@@ -49,6 +50,7 @@ class Cell:
         return isinstance(self.dtype, FLOATING + INTEGRAL + (T.DecimalType,))
 
 
+TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 STEPS: dict[str, Callable[[Cell, dict, DataFrame], Cell]] = {}
 
 # Larger substitution tables are joined instead of becoming literals of the plan.
@@ -100,6 +102,8 @@ def _to_string(cell: Cell, params: dict, df: DataFrame) -> Cell:
         return _string(cell.col.cast("int").cast("string"))
     if cell.numeric:
         return Cell(number_text(cell.col), T.StringType(), number=to_number(cell.col, cell.dtype))
+    if isinstance(cell.dtype, TIMES):
+        return Cell(cell.text, T.StringType(), stamp=cell.col)
     x = strip(cell.text)
     whole = F.when(x.endswith(".0"), x.try_cast("double"))
     tidy = F.when(whole.isNotNull(), number_text(whole)).otherwise(x)
@@ -161,8 +165,10 @@ def _to_datetime_part(cell: Cell, params: dict, df: DataFrame) -> Cell:
     part = params.get("part", "year")
     if part not in ("year", "month", "day"):
         return replace(cell)
-    if isinstance(cell.dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+    if isinstance(cell.dtype, TIMES):
         instant = cell.col
+    elif cell.stamp is not None:
+        instant = cell.stamp
     elif cell.numeric:  # a bare number is nanoseconds since the epoch
         instant = F.timestamp_micros(F.floor(cell.col / 1000).cast("bigint"))
     else:

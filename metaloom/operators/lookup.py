@@ -62,8 +62,9 @@ def block_count(dims: DataFrame) -> int:
     return max(1, -(-dims.count() // BLOCK_ROWS))
 
 
-def with_blocks(texts: DataFrame, dims: DataFrame, columns: list[str], blocks: int) -> DataFrame:
-    """Each text next to each block of the dictionary as an ``entries`` array.
+def with_blocks(texts: DataFrame, dims: DataFrame, columns: list[str], blocks: int, shape=None) -> DataFrame:
+    """Each text next to each block of the dictionary as an ``entries`` array, or as
+    what ``shape(entries)`` makes of it once per block.
 
     A usual dictionary is one block, delivered by an uncorrelated scalar subquery
     without any join. Up to BROADCAST_BLOCKS blocks (the count proves the size) are
@@ -71,9 +72,11 @@ def with_blocks(texts: DataFrame, dims: DataFrame, columns: list[str], blocks: i
     one task.
     """
     entries = F.collect_list(F.struct(*columns)).alias("entries")
+    made = (shape(F.col("entries")) if shape else F.col("entries")).alias("entries")
     if blocks == 1:
-        return texts.withColumn("entries", dims.agg(entries).scalar())
-    packed = dims.groupBy(F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int").alias("block")).agg(entries)
+        return texts.withColumn("entries", dims.agg(entries).select(made).scalar())
+    key = F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int").alias("block")
+    packed = dims.groupBy(key).agg(entries).select("block", made)
     spread = texts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     if blocks <= BROADCAST_BLOCKS:
         return spread.join(F.broadcast(packed), "block").drop("block")
@@ -87,6 +90,22 @@ def words_of(label: Column, first: int | None = None) -> Column:
     return F.slice(words, 1, first) if first else words
 
 
+def indexed_labels(entries: Column) -> Column:
+    """Distinct words of a block and its labels with the places of their words."""
+
+    def labels(words: Column) -> Column:
+        return F.transform(
+            entries,
+            lambda e: F.struct(
+                e["ord"].alias("ord"), e["label"].alias("label"), e["uri"].alias("uri"),
+                F.transform(e["words"], lambda w: (F.array_position(words, w) - 1).cast("int")).alias("places"),
+            ),
+        )
+
+    distinct = F.array_distinct(F.flatten(F.transform(entries, lambda e: e["words"])))
+    return bind(distinct, lambda words: F.struct(words.alias("words"), labels(words).alias("labels")))
+
+
 def label_entry(e: Column) -> Column:
     return F.struct(e["ord"].alias("ord"), e["label"].alias("label"), e["uri"].alias("uri"))
 
@@ -106,11 +125,11 @@ def relevant_labels(
     entries = dims.select("ord", "label", "uri", words.alias("words"))
     lowered = texts.select(key, F.lower(text).alias("_t"))
     blocks = block_count(dims)
-    met = with_blocks(lowered, entries, ["ord", "label", "uri", "words"], blocks)
-    vocabulary = F.array_distinct(F.flatten(F.transform("entries", lambda e: e["words"])))
+    met = with_blocks(lowered, entries, ["ord", "label", "uri", "words"], blocks, indexed_labels)
+    # Which words occur, then which labels own one of them: places, not texts, are compared.
+    occurs = bind(F.col("_t"), lambda body: F.transform("entries.words", lambda w: body.contains(w)))
     found = bind(
-        bind(F.col("_t"), lambda body: F.filter(vocabulary, lambda w: body.contains(w))),
-        lambda seen: F.filter("entries", lambda e: F.arrays_overlap(e["words"], seen)),
+        occurs, lambda seen: F.filter("entries.labels", lambda e: F.exists(e["places"], lambda i: F.get(seen, i)))
     )
     # One row per block of a text; with one block the list is final already.
     lists = met.select(key, F.transform(found, label_entry).alias("hits"))

@@ -68,10 +68,15 @@ def ordered_children(v: Column, raw: Column) -> Column:
 
     A variant sorts object keys; the raw text of the node keeps the written order.
     """
-    parts = F.struct(
-        as_fields(v).alias("fields"), as_items(v).alias("items"), F.json_object_keys(raw).alias("keys"),
-        F.from_json(raw, "map<string,string>").alias("raw_fields"), F.from_json(raw, "array<string>").alias("raw_items"),
-    )
+    def read(n: Column) -> Column:
+        # The raw text is parsed as what the node is; the other reading would only fail.
+        named = n["fields"].isNotNull()
+        return F.struct(
+            n["fields"].alias("fields"), n["items"].alias("items"),
+            F.when(named, F.json_object_keys(raw)).alias("keys"),
+            F.when(named, F.from_json(raw, "map<string,string>")).alias("raw_fields"),
+            F.when(~named, F.from_json(raw, "array<string>")).alias("raw_items"),
+        )
 
     def children(p: Column) -> Column:
         of_object = F.transform(
@@ -90,7 +95,8 @@ def ordered_children(v: Column, raw: Column) -> Column:
         )
         return F.when(p["fields"].isNotNull(), of_object).otherwise(of_list).cast(f"array<{CANDIDATE_NODE}>")
 
-    return bind(parts, children)
+    node = F.struct(as_fields(v).alias("fields"), as_items(v).alias("items"))
+    return bind(bind(node, read), children)
 
 
 def is_container(v: Column) -> Column:
@@ -108,33 +114,39 @@ def candidate(v: Column, skip_numeric: bool) -> Column:
     def scored(kind: str, score: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), score.cast("double").alias("score"))
 
-    def judge(node: Column) -> Column:
-        is_object = node["fields"].isNotNull()
-        maps = F.transform(node["members"], as_fields)
-        key_sets = F.transform(maps, lambda m: F.array_sort(F.map_keys(m)))
-        rows = F.transform(node["members"], as_items)
-        all_maps = F.forall(maps, lambda m: m.isNotNull())
-        all_rows = F.forall(rows, lambda r: r.isNotNull())
-        many = F.size(node["members"])
+    def judge(n: Column) -> Column:
+        all_maps = F.forall(n["maps"], lambda m: m.isNotNull())
+        all_rows = F.forall(n["rows"], lambda r: r.isNotNull())
+        key_sets = F.transform(n["maps"], lambda m: F.array_sort(F.map_keys(m)))
+        many = F.size(n["maps"])
         if skip_numeric:
-            numeric = F.forall(
-                node["members"],
-                lambda m: F.schema_of_variant(m).rlike(r"^ARRAY<(BIGINT|DOUBLE|DECIMAL\(.*\))>$"),
-            )
-            all_rows = all_rows & ~numeric
+            all_rows = all_rows & ~n["numeric"]
         return (
             F.when(
-                is_object & (many >= 2) & all_maps & (F.size(F.array_distinct(key_sets)) == 1),
-                scored("keyed", many * F.size(key_sets[0])),
+                n["is_object"] & (many >= 2) & all_maps & (F.size(F.array_distinct(key_sets)) == 1),
+                scored("keyed", many * F.size(n["maps"][0])),
             )
-            .when(is_object | (many == 0), F.lit(None).cast("struct<kind:string,score:double>"))
-            .when(all_maps, scored("objects", sized(node["members"], F.transform(maps, lambda m: F.size(m)))))
-            .when(all_rows, scored("lists", sized(node["members"], F.transform(rows, lambda r: F.size(r)))))
+            .when(n["is_object"] | (many == 0), F.lit(None).cast("struct<kind:string,score:double>"))
+            .when(all_maps, scored("objects", sized(n["maps"], F.transform(n["maps"], lambda m: F.size(m)))))
+            .when(all_rows, scored("lists", sized(n["rows"], F.transform(n["rows"], lambda r: F.size(r)))))
         )
 
+    def opened(node: Column) -> Column:
+        parts = [
+            node["fields"].isNotNull().alias("is_object"),
+            F.transform(node["members"], as_fields).alias("maps"),
+            F.transform(node["members"], as_items).alias("rows"),
+        ]
+        if skip_numeric:
+            number_list = r"^ARRAY<(BIGINT|DOUBLE|DECIMAL\(.*\))>$"
+            parts.append(
+                F.forall(node["members"], lambda m: F.schema_of_variant(m).rlike(number_list)).alias("numeric")
+            )
+        return bind(F.struct(*parts), judge)
+
     fields = as_fields(v)
     return bind(
-        F.struct(fields.alias("fields"), F.coalesce(as_items(v), F.map_values(fields)).alias("members")), judge
+        F.struct(fields.alias("fields"), F.coalesce(as_items(v), F.map_values(fields)).alias("members")), opened
     )
 
 

@@ -57,14 +57,19 @@ def day_month_order(day: Column, time: Column | None, dayfirst: bool) -> Column:
     """``1/2/2020`` in the preferred order of day and month, in the other order when
     that is no date. Plain text functions: this runs for every row of a column."""
     dashed = F.translate(day, "/.", "--")
-    first, second, year = (F.split_part(dashed, F.lit("-"), F.lit(i)) for i in (1, 2, 3))
+    first = F.substring_index(dashed, "-", 1)
+    second = F.substring_index(F.substring_index(dashed, "-", 2), "-", -1)
+    year = F.substring_index(dashed, "-", -1)
 
     def joined(month: Column, dom: Column) -> Column:
         date = F.concat(year, F.lit("-"), month, F.lit("-"), dom)
         return (date if time is None else F.concat(date, time)).try_cast(_NTZ)
 
     day_first, month_first = joined(second, first), joined(first, second)
-    return F.coalesce(day_first, month_first) if dayfirst else F.coalesce(month_first, day_first)
+    # A number above 12 is no month: the impossible order is not even tried.
+    if dayfirst:
+        return F.when(second.try_cast("int") > 12, month_first).otherwise(F.coalesce(day_first, month_first))
+    return F.when(first.try_cast("int") > 12, day_first).otherwise(F.coalesce(month_first, day_first))
 
 
 def single_spaced(c: Column) -> Column:

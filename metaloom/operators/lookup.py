@@ -135,10 +135,13 @@ def relevant_labels(
     lists = met.select(key, F.transform(found, label_entry).alias("hits"))
     if blocks > 1:
         lists = lists.groupBy(key).agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    hits = F.col("hits")
     if fallback is not None:
         packed = fallback.agg(F.array_sort(F.collect_list(F.struct("ord", "label", "uri"))).alias("p")).scalar()
-        lists = lists.withColumn("hits", F.when(F.size("hits") == 0, packed).otherwise(F.col("hits")))
-    return lists.select(key, F.inline("hits"))
+        hits = F.when(F.size(hits) == 0, packed).otherwise(hits)
+    # An outer generator: the inner one would have its size test pushed below this
+    # projection and the matching done twice.
+    return lists.select(key, F.inline_outer(hits)).where("ord is not null")
 
 
 def first_entries(dims: DataFrame, n: int = 5) -> DataFrame:

@@ -156,7 +156,8 @@ def nearest(
         found = scan_matrix(queries, vocab, key, n, by, metric)
     else:
         found = scan_blocks(queries, vocab, key, n, by, metric, rows)
-    return found.select(key, *by, F.inline("best"))
+    # Outer, so that no size test is inferred that would run the search a second time.
+    return found.select(key, *by, F.inline_outer("best")).where("code is not null")
 
 
 def relative_cut(hits: DataFrame, key: list[str], factor: float = RELATIVE_CUT) -> DataFrame:

@@ -39,13 +39,13 @@ def coverage_uris(
     folded = hits.groupBy(key, "level", "uri").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
     rank = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col("level"))
     sized = folded.join(sizes, "level").withColumn("level_rank", rank)
+    totals = [F.sum(F.when(F.col("level_rank") == i + 1, F.col("n"))) for i in range(len(levels))]
     lists = sized.groupBy(key).agg(
-        F.collect_list(F.struct("level_rank", "first", "uri", "n", "size")).alias("h")
+        F.collect_list(F.struct("level_rank", "first", "uri", "size")).alias("h"), F.array(*totals).alias("totals")
     )
 
     def kept(e: Column) -> Column:
-        same = F.filter("h", lambda o: o["level_rank"] == e["level_rank"])
-        total = F.aggregate(same, F.lit(0).cast("bigint"), lambda s, o: s + o["n"])
+        total = F.get("totals", e["level_rank"].cast("int") - 1)
         return (e["level_rank"] == len(levels)) | (total / e["size"] <= share)
 
     chosen = F.array_sort(F.filter("h", kept))

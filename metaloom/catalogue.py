@@ -57,7 +57,8 @@ def assemble(
     """Final ``(dataset_id, field, value)`` rows of all datasets.
 
     ``answers``, ``vocabulary`` and ``overrides`` are long tables of JSON values,
-    ``facts`` one row of file facts per dataset.
+    ``facts`` one row of file facts per dataset. ``stats`` is used once, so its scans
+    run once; ``datasets`` is used often and should be a plain list of ids.
     """
     spark = datasets.sparkSession
     given = A.normalize_arrays(overrides if overrides is not None else no_fields(spark))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F, types as T
 from ..functions import scalars as S, text as X
 from ..functions.dsl import compile_mapping
 from .profiling import steps
+from ..session import spread
 from .registry import query
 
 
@@ -98,7 +99,7 @@ def d5(t):
            month(o_orderdate)::varchar as day_first
     from orders""")
 def d6(t):
-    df = t.orders.withColumn("slashed", F.date_format("o_orderdate", "dd/MM/yyyy"))
+    df = spread(t.orders).withColumn("slashed", F.date_format("o_orderdate", "dd/MM/yyyy"))
     return df.select(
         "o_orderkey",
         cleaned(df, "o_orderdate", ("to_datetime_part", {"part": "year"})).alias("y"),

@@ -204,7 +204,7 @@ def c4(t):
     union all select 'o_totalprice', count(*), 0, false from orders
     union all select 'o_orderkey', count(*), 0, false from orders""")
 def e3(t):
-    return P.date_columns(t.orders, ["o_orderdate", "o_orderpriority", "o_totalprice", "o_orderkey"])
+    return P.date_columns(spread(t.orders), ["o_orderdate", "o_orderpriority", "o_totalprice", "o_orderkey"])
 
 
 @query("e6_join_date_parts", """

@@ -167,21 +167,21 @@ def d10(t):
 
 
 @query("d11_join_columns", """
-    select n_nationkey, n_name || ', ' || n_regionkey::varchar as joined, n_name || ' - ' || n_nationkey::varchar as dashed,
-           n_name as untouched from nation""")
+    select c_custkey, c_name || ', ' || c_nationkey::varchar as joined, c_name || ' - ' || c_custkey::varchar as dashed,
+           c_name as untouched from customer""")
 def d11(t):
-    df = t.nation
+    df = t.customer
     return df.select(
-        "n_nationkey",
-        cleaned(df, "n_name", ("join_columns", {"columns": ["n_name", "nope", "n_regionkey"]})).alias("joined"),
-        cleaned(df, "n_name", ("join_columns", {"columns": ["n_name", "n_nationkey"], "sep": " - "})).alias("dashed"),
-        cleaned(df, "n_name", ("join_columns", {"columns": ["nope"]})).alias("untouched"),
+        "c_custkey",
+        cleaned(df, "c_name", ("join_columns", {"columns": ["c_name", "nope", "c_nationkey"]})).alias("joined"),
+        cleaned(df, "c_name", ("join_columns", {"columns": ["c_name", "c_custkey"], "sep": " - "})).alias("dashed"),
+        cleaned(df, "c_name", ("join_columns", {"columns": ["nope"]})).alias("untouched"),
     )
 
 
-@query("d12_constant", "select r_regionkey, 'World' as area from region")
+@query("d12_constant", "select c_custkey, 'World' as area from customer")
 def d12(t):
-    return t.region.select("r_regionkey", cleaned(t.region, "r_name", ("constant", {"value": "World"})).alias("area"))
+    return t.customer.select("c_custkey", cleaned(t.customer, "c_name", ("constant", {"value": "World"})).alias("area"))
 
 
 @query("c1_has_content", f"""

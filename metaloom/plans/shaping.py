@@ -218,11 +218,11 @@ def i12(t):
     return t.part.select("p_name", "p_brand").distinct().orderBy("p_name", "p_brand")
 
 
-@query("i13_first_entries", "select n_nationkey as ord, n_name as label from nation order by n_nationkey limit 5")
+@query("i13_first_entries", "select p_partkey as ord, p_name as label from part order by p_partkey limit 5")
 def i13(t):
     from ..operators.lookup import first_entries
 
-    return first_entries(t.nation.select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("label")))
+    return first_entries(t.part.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("label")))
 
 
 @query("j1_key_union", """

@@ -117,19 +117,22 @@ def a12(t):
 def a23(t):
     """A lake of a csv folder, a parquet directory and files that do not count."""
     root = shared_dir(t.spark, "found")
-    t.nation.coalesce(1).write.option("header", True).csv(f"{root}/one/raw")
-    t.region.write.parquet(f"{root}/two/data.parquet")
-    t.region.select("r_name").coalesce(1).write.text(f"{root}/three/.hidden.csv")
+    t.customer.write.option("header", True).csv(f"{root}/one/raw")
+    t.supplier.write.parquet(f"{root}/two/data.parquet")
+    t.supplier.select("s_name").write.text(f"{root}/three/.hidden.csv")
     found = FS.discover(FS.list_files(t.spark, root), root)
     return found.groupBy("dataset_id", "format").agg((F.sum("bytes") > 0).alias("has_rows"))
 
 
 @query("f8_file_facts", """
-    select 'text/csv' as mimetype, 'csv' as format, sum(length(n_name) + 1)::bigint as size,
-           sha256(string_agg(n_name || chr(10), '' order by n_nationkey)) as hash, 'SHA-256' as hash_algorithm from nation""")
+    select 'text/csv' as mimetype, 'csv' as format, sum(length(s_name) + 1)::bigint as size,
+           sha256(string_agg(s_name || chr(10), '' order by s_suppkey)) as hash, 'SHA-256' as hash_algorithm
+    from supplier group by s_nationkey""")
 def f8(t):
+    """One file of supplier names per nation, then the facts of each file."""
     path = shared_dir(t.spark, "facts")
-    t.nation.orderBy("n_nationkey").select("n_name").coalesce(1).write.csv(path)
+    rows = t.supplier.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey")
+    rows.select("s_nationkey", "s_name").write.partitionBy("s_nationkey").csv(path)
     return FS.file_facts(t.spark, path).drop("path")
 
 
@@ -295,54 +298,50 @@ def a11(t):
 
 # ── vocabularies and schemas ─────────────────────────────────────────────────
 
-def nation_docs(t):
-    """One vocabulary document per region; a region has a fixed handful of nations."""
+def part_docs(t):
+    """Vocabulary documents of ten parts each."""
     entry = F.concat(
-        F.lit('"'), "n_name", F.lit('":{"uri":"http://n/'), F.col("n_nationkey"), F.lit('","prefLabel":["'), "n_name",
-        F.lit('","L'), F.col("n_nationkey"), F.lit('"],"definition":"def '), "n_name", F.lit('"}'),
+        F.lit('"'), "p_partkey", F.lit('":{"uri":"http://n/'), F.col("p_partkey"), F.lit('","prefLabel":["'), "p_name",
+        F.lit('","'), F.col("p_brand"), F.lit('"],"definition":"def '), "p_type", F.lit('"}'),
     )
-    joined = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return joined.groupBy(F.col("r_name").alias("feature")).agg(
+    return t.part.groupBy(F.floor(F.col("p_partkey") / 10).alias("feature")).agg(
         F.concat(F.lit("{"), F.concat_ws(",", F.collect_list(entry)), F.lit("}")).alias("text")
     )
 
 
 @query("a16_vocabulary_rows", """
-    select r_name as feature, n_name as code, 'http://n/' || n_nationkey::varchar as uri,
-           n_name || '|L' || n_nationkey::varchar as pref_label, 'def ' || n_name as definition, '' as description
-    from nation join region on r_regionkey = n_regionkey""")
+    select p_partkey // 10 as feature, p_partkey::varchar as code, 'http://n/' || p_partkey::varchar as uri,
+           p_name || '|' || p_brand as pref_label, 'def ' || p_type as definition, '' as description from part""")
 def a16(t):
-    rows = V.vocabulary_rows(nation_docs(t))
+    rows = V.vocabulary_rows(part_docs(t))
     return rows.select("feature", "code", "uri", *[F.concat_ws("|", c).alias(c) for c in ("pref_label", "definition", "description")])
 
 
 @query("a17_gazetteer_rows", """
-    select case when r_name = 'ASIA' then 'continents' else r_name end as level, n_name as name, 'u' || n_nationkey::varchar as uri
-    from nation join region on r_regionkey = n_regionkey""")
+    select case when p_partkey // 10 % 3 = 0 then 'continents' else 'l' || (p_partkey // 10)::varchar end as level,
+           p_partkey::varchar as name, 'u' || p_name as uri from part""")
 def a17(t):
-    pair = F.concat(F.lit('"'), "n_name", F.lit('":"u'), F.col("n_nationkey"), F.lit('"'))
-    level = F.when(F.col("r_name") == "ASIA", "contients").otherwise(F.col("r_name"))
-    docs = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(level.alias("level")).agg(
-        F.concat_ws(",", F.collect_list(pair)).alias("names")
-    ).select(F.concat(F.lit('{"'), "level", F.lit('":{'), "names", F.lit("}}")).alias("text"))
-    return V.gazetteer_rows(docs)
+    pair = F.concat(F.lit('"'), "p_partkey", F.lit('":"u'), F.col("p_name"), F.lit('"'))
+    chunk = F.floor(F.col("p_partkey") / 10)
+    docs = t.part.groupBy(chunk.alias("chunk")).agg(F.concat_ws(",", F.collect_list(pair)).alias("names"))
+    level = F.when(F.col("chunk") % 3 == 0, "contients").otherwise(F.concat(F.lit("l"), "chunk"))
+    return V.gazetteer_rows(docs.select(F.concat(F.lit('{"'), level, F.lit('":{'), "names", F.lit("}}")).alias("text")))
 
 
 @query("a15_registry_file", """
-    select n_name as name, 'http://v/' || n_nationkey::varchar as base_url, 'f' || n_nationkey::varchar as feature,
-           case when n_nationkey % 2 = 0 then 'similarity' else 'codes' end as route,
-           greatest(1, n_nationkey)::int as top_n, n_nationkey % 3 = 0 as multiple from nation where n_nationkey <> 5""")
+    select p_name as name, 'http://v/' || p_partkey::varchar as base_url, 'f' || p_partkey::varchar as feature,
+           case when p_partkey % 2 = 0 then 'similarity' else 'codes' end as route,
+           greatest(1, p_size)::int as top_n, p_partkey % 3 = 0 as multiple from part where p_partkey % 5 <> 1""")
 def a15(t):
+    """The parts as a ``;``-separated registry whose names and cells carry blanks."""
     path = shared_dir(t.spark, "registry")
-    k = F.col("n_nationkey")
-    line = F.concat_ws(
-        "; ", "n_name", F.concat(F.lit("http://v/"), k, F.lit("/")), F.when(k == 5, "").otherwise(F.concat(F.lit("f"), k)),
-        F.when(k % 2 == 0, "Rag").otherwise("LLM"), k.cast("string"), F.when(k % 3 == 0, "true").otherwise("false"),
-    )
-    head = "Name; URL; Feature; Metadata-Processed-By;top-n; multiple_output"
-    rows = t.nation.select(F.lit(1).alias("o"), line.alias("value"))
-    top = t.spark.range(1).select(F.lit(0).alias("o"), F.lit(head).alias("value"))
-    top.unionByName(rows).orderBy("o").coalesce(1).select("value").write.text(path)
+    k = F.col("p_partkey")
+    t.part.select(
+        F.concat(F.lit(" "), "p_name").alias("Name"), F.concat(F.lit(" http://v/"), k, F.lit("/ ")).alias(" URL"),
+        F.when(k % 5 == 1, " ").otherwise(F.concat(F.lit(" f"), k)).alias(" Feature"),
+        F.when(k % 2 == 0, "Rag").otherwise(" LLM").alias(" Metadata-Processed-By"), F.col("p_size").alias("top-n"),
+        F.when(k % 3 == 0, " true").otherwise("false").alias(" multiple_output"),
+    ).write.options(header=True, sep=";", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return registry_rows(V.read_registry(t.spark, path))
 
 
@@ -423,10 +422,10 @@ def a21(t):
 
 
 @query("a22b_blocks", """
-    select r_name as name, string_agg(n_name, '|' order by n_nationkey) as fields from nation join region on r_regionkey = n_regionkey group by 1""")
+    select p_partkey // 10 as name, string_agg(p_name, '|' order by p_partkey) as fields from part group by 1""")
 def a22b(t):
-    blocks = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("r_name").alias("name"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("field")
+    blocks = t.part.select(
+        F.floor(F.col("p_partkey") / 10).alias("name"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("field")
     )
     return R.block_listing(blocks).select("name", F.concat_ws("|", "fields").alias("fields"))
 
@@ -507,11 +506,11 @@ def r3(t):
 
 
 @query("r4_vocabulary_file", """
-    select r_name as feature, n_name as code from nation join region on r_regionkey = n_regionkey""")
+    select p_partkey // 10 as feature, p_partkey::varchar as code from part""")
 def r4(t):
     path = shared_dir(t.spark, "vocab")
-    sinks.write_vocabulary(V.vocabulary_rows(nation_docs(t)), path)
-    return t.spark.read.schema("feature string, code string").json(path)
+    sinks.write_vocabulary(V.vocabulary_rows(part_docs(t)), path)
+    return t.spark.read.schema("feature bigint, code string").json(path)
 
 
 @query("r5_usage_append", """

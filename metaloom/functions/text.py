@@ -36,10 +36,6 @@ def is_missing(c: Column) -> Column:
     return c.isNull() | F.lower(strip(c)).isin(MISSING_TOKENS)
 
 
-def null_if_missing(c: Column) -> Column:
-    return F.when(~is_missing(c), c)
-
-
 def whole_text(x: Column) -> Column:
     """Digits of a whole double; beyond the decimal range the double's own text."""
     return F.when(F.abs(x) < 1e18, x.cast("bigint").cast("string")).otherwise(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import flag, last_segment, split_list, top_n
+from ..functions.scalars import flag, split_list, top_n
 from ..functions.text import strip, strip_marks
 from .assemble import json_has_content
 from .shape import json_string
@@ -320,7 +320,3 @@ def derived_code_values(coding_system: Column, code_values: Column) -> Column:
 def vocabulary_summary(entries: Column) -> Column:
     """Entry fields without their uri, as JSON."""
     return F.to_json(F.map_filter(entries, lambda k, v: k != "uri"))
-
-
-def code_of_uri(uri: Column) -> Column:
-    return last_segment(uri)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import dates
 from ..functions.dsl import Cell, compile_mapping, to_number
-from ..functions.text import cell_text, is_whole, null_if_missing, whole_text
+from ..functions.text import cell_text, is_whole, whole_text
 
 STAT_FIELDS = [
     "number_of_records",
@@ -225,9 +225,3 @@ def block_summary(values: DataFrame, blocks: DataFrame, keys: list[str]) -> Data
     return per.groupBy(*keys, "block").agg(
         F.count_if("filled").alias("filled"), F.count(F.lit(1)).alias("total")
     ).withColumn("complete", F.col("filled") == F.col("total"))
-
-
-__all__ = [
-    "profile", "profile_by", "profile_many", "date_columns", "completeness", "block_summary",
-    "null_if_missing",
-]

@@ -10,7 +10,7 @@ from ..session import shared_dir, spread
 from ..sources import delimited as D, files as FS, grid, json_docs as J, sinks, vocabularies as V, xml_docs as XM
 from .cleaning import WS
 from .profiling import LINEITEM, steps
-from .records import customer_record, order_fields, rule_table
+from .records import customer_record, order_fields
 from .registry import query
 
 
@@ -575,6 +575,3 @@ def r8(t):
 def r9(t):
     url = F.concat(F.lit('"http://a/'), "o_custkey", F.lit('"'))
     return sinks.record_json(finalize(order_fields(t, ("title", F.lit('"t"')), ("access_url", url), ("applicable_legislation", F.lit('["law"]')))))
-
-
-__all__ = ["rule_table"]

@@ -168,11 +168,12 @@ def item_groups(items: DataFrame, limit: int = GROUP_WORDS) -> list[list[tuple[s
 
 
 def scan_items(
-    spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 10, length_limit: int = 10, coverage: float = 0.5
+    spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 10, length_limit: int = 10, coverage: float = 0.5,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` (text, ...) against ``items`` (item_id, text): (row, n_words, n_hit, items, longest, spans, left_over).
 
-    ``row`` holds the document's own columns. ``n_hit`` words lie inside an occurrence of
+    ``row`` holds the document's columns ``keep`` (all). ``n_hit`` words lie inside an occurrence of
     ``window`` consecutive item words (of a whole item that has fewer); ``items`` lists the
     items with occurring windows, ``spans`` the byte ranges, ``longest`` the longest match.
     ``left_over`` is the text that remains: spans go when a match reaches ``length_limit``,
@@ -181,4 +182,4 @@ def scan_items(
     no rows or no hits; other columns of either table are carried or ignored.
     """
     work = partial(_scan, groups=item_groups(items), window=window, length_limit=length_limit, coverage=coverage)
-    return carried(docs, work, HITS)
+    return carried(docs, work, HITS, keep=keep)

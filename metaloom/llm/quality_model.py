@@ -169,7 +169,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    rows = carried(known, _extract, "feature array<int>, value array<float>")
+    rows = carried(known, _extract, "feature array<int>, value array<float>", keep=["doc_id", "label"])
     found = rows.select("row.doc_id", "row.label", "feature", "value").orderBy("doc_id").toArrow().combine_chunks()
     lists = [found[c].combine_chunks() if found[c].num_chunks else None for c in ("feature", "value")]
     if lists[0] is None:
@@ -180,10 +180,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     return fit([(feature[s:e].astype(np.int64), value[s:e], y) for s, e, y in zip(at, at[1:], label)])
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
+def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (text, ...) to (row, score): every whole text between 0 and 1; null and empty texts have a score too.
 
     Other columns are carried in ``row``, whatever their names; equal texts have equal
     scores; an empty table gives no rows.
     """
-    return carried(docs, partial(_score, machine=machine), "score double")
+    return carried(docs, partial(_score, machine=machine), "score double", keep=keep)

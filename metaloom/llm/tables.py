@@ -6,24 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def whole_row(df: DataFrame):
-    """All columns as one struct, so that results can have any name."""
-    return F.struct(*[F.col(quoted(c)) for c in df.columns])
+def whole_row(df: DataFrame, keep: list[str] | None = None):
+    """The columns as one struct, so that results can have any name."""
+    return F.struct(*[F.col(quoted(c)) for c in (df.columns if keep is None else keep)])
 
 
-def carried(docs: DataFrame, work: Callable, fields: str) -> DataFrame:
-    """``work`` over batches of (row, text); it returns the rows with the given fields after them."""
-    plain = docs.select(whole_row(docs).alias("row"), F.col("text").cast("string").alias("text"))
-    row = StructType([StructField("row", plain.schema["row"].dataType)])
-    return plain.mapInArrow(work, StructType(row.fields + StructType.fromDDL(fields).fields))
+def carried(docs: DataFrame, work: Callable, fields: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``work`` over batches of (row, text); it returns the rows with the given fields after them.
 
+    ``keep`` names the columns that ``row`` carries, all by default.
+    """
+    plain = docs.select(whole_row(docs, keep).alias("row"), F.col(quoted(text)).cast("string").alias("text"))
+    return plain.mapInArrow(work, carried_type(docs, fields, keep))
 
-def column_or_null(df: DataFrame, name: str, kind: str):
-    return (F.col(quoted(name)) if name in df.columns else F.lit(None)).cast(kind)
+
+def carried_type(docs: DataFrame, fields: str, keep: list[str] | None = None) -> StructType:
+    row = docs.select(whole_row(docs, keep).alias("row")).schema
+    return StructType(row.fields + StructType.fromDDL(fields).fields)

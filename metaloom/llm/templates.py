@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import carried, whole_row
+from .tables import carried_type, whole_row
 from .texts import Block, blocks, byte_class, chain, counts_of, mix, span_hash, words
 
 DEPTH = 4
@@ -97,9 +97,10 @@ def _drop(batches, max_share):
 
 
 def drop_recurring_lines(
-    spark: SparkSession, docs: DataFrame, min_docs: int = 10, min_diverse: float = 0.5, max_share: float = 0.5
+    spark: SparkSession, docs: DataFrame, min_docs: int = 10, min_diverse: float = 0.5, max_share: float = 0.5,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` (doc_id, text, ...) to (row, n_lines, n_dropped, left_over); ``row`` holds the document's columns.
+    """``docs`` (doc_id, text, ...) to (row, n_lines, n_dropped, left_over); ``row`` holds the columns ``keep`` (all).
 
     A template recurs when its lines stand in ``min_docs`` documents with different
     contexts, and contexts are at least the share ``min_diverse`` of its documents (else it
@@ -120,7 +121,6 @@ def drop_recurring_lines(
         .where((F.col("contexts") >= min_docs) & (F.col("contexts") >= min_diverse * F.col("docs"))).select("template")
     )
     known = lines.join(recurring, "template").groupBy("at").agg(F.collect_set("template").alias("recurring"))
-    rows = docs.select(at.alias("at"), whole_row(docs).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(at.alias("at"), whole_row(docs, keep).alias("row"), F.col("text").cast("string").alias("text"))
     joined = rows.join(known, "at", "left").select("row", "text", "recurring")
-    shape = carried(docs.limit(0), partial(_drop, max_share=max_share), "n_lines long, n_dropped long, left_over string").schema
-    return joined.mapInArrow(partial(_drop, max_share=max_share), shape)
+    return joined.mapInArrow(partial(_drop, max_share=max_share), carried_type(docs, "n_lines long, n_dropped long, left_over string", keep))

@@ -201,4 +201,4 @@ def pack(
         .join(whole.select("part", F.coalesce(F.sum("of_part").over(ahead), F.lit(0)).alias("all_before")), "part")
     )
     rows = dealt.join(state.select("part", "source", "share", "own_before", "all_before"), ["part", "source"])
-    return rows.groupBy("part").applyInPandas(partial(_serve, size=size), PIECE)
+    return rows.groupBy("part").applyInPandas(lambda part: _serve(part, size), PIECE)

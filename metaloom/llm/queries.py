@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark, licenses, near, packing, page_text, quality_model, quality_rules, secret_scan, templates
+from . import benchmark, licenses, near, packing, page_text, quality_model, quality_rules, secret_scan, suffixes, templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -182,6 +182,13 @@ def op4(spark, sf_dir):
     return found.select("row.doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+@query("op9_repeated_runs")
+def op9(spark, sf_dir):
+    """Documents without the bytes of 50-byte strings that a smaller document has too."""
+    found = suffixes.repeated_runs(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @query("op10_page_text")
 def op10(spark, sf_dir):
     """Main text of every page."""

@@ -16,9 +16,9 @@ import pyarrow.compute as pc
 
 BLOCK = 1 << 19
 _RNG = np.random.default_rng(20_240_601)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
+byte_hashes = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLDED = byte_hashes.copy()
+_FOLDED[65:91] = byte_hashes[97:123]
 _BASE = int(_RNG.integers(2**40, 2**62)) | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _POWERS: dict[int, np.ndarray] = {}
@@ -90,7 +90,7 @@ def words(block: Block, table: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarra
     return starts, np.flatnonzero(closes) + 1, np.searchsorted(block.offsets, starts, "right") - 1
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(0)
     if have is None or len(have) < n:
         size = max(n, BLOCK + 1)
@@ -114,9 +114,9 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool
     """64-bit hash of every span of bytes, equal for equal (folded) bytes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _BYTE)[data] * up[:-1], out=sums[1:])
+    np.cumsum((_FOLDED if fold else byte_hashes)[data] * up[:-1], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 

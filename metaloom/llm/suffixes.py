@@ -36,7 +36,7 @@ WINDOW = 50
 GRAM = 16
 LEFT = WINDOW - GRAM
 #: Anchors of one tag bucket and suffixes of one range bucket.
-TAGS_PER_BUCKET = 4_000_000
+TAGS_PER_BUCKET = 2_000_000
 SUFFIXES_PER_BUCKET = 100_000
 SAMPLE = 2_000
 _MANY = 65_535
@@ -394,7 +394,9 @@ def repeated_runs(
     spans = suffixes.groupBy("target").applyInArrow(_compare, kind)
     if len(hot):
         windows = joined.mapInArrow(partial(_emit_windows, buckets=buckets, hot=hot), "rid long, doc long, window long, start long")
+        # a written table, so that a window of very many documents can be split in the join
         least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+        least = written(least.select("window", "least"), "least")
         beaten = windows.join(least, "window").where("doc > least")
         spans = spans.unionByName(beaten.groupBy("rid").agg(
             F.collect_set(F.struct("start", (F.col("start") + WINDOW).alias("end"))).alias("spans")

@@ -164,7 +164,7 @@ def _serve(part: pd.DataFrame, size: int) -> pd.DataFrame:
     return pd.DataFrame({
         "doc_id": part["doc_id"].to_numpy()[i], "start": start, "length": length, "ids_crc32": piece_sums(before, after, length),
         "doc_tokens": n[i], "sequence_id": (int(part["part"].iloc[0]) << 32) + window_, "offset": offset_,
-        "source": part["source"].to_numpy()[i],
+        "source": part["source"].to_numpy()[i], "no_id": part["no_id"].to_numpy()[i],
     })
 
 
@@ -201,4 +201,7 @@ def pack(
         .join(whole.select("part", F.coalesce(F.sum("of_part").over(ahead), F.lit(0)).alias("all_before")), "part")
     )
     rows = dealt.join(state.select("part", "source", "share", "own_before", "all_before"), ["part", "source"])
-    return rows.groupBy("part").applyInPandas(lambda part: _serve(part, size), PIECE)
+    # pandas has no null integers: the flag keeps ids exact
+    rows = rows.withColumns({"no_id": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})
+    pieces = rows.groupBy("part").applyInPandas(lambda part: _serve(part, size), PIECE + ", no_id boolean")
+    return pieces.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")

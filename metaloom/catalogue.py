@@ -29,6 +29,8 @@ def records_frame(df: DataFrame) -> DataFrame:
     """
     if "fields" not in df.columns:
         return df
+    if "error" in df.columns:
+        df = df.where("error is null")
     keys = [r[0] for r in df.select(F.explode(F.map_keys("fields"))).distinct().orderBy("col").collect()]
     return df.select(*[F.try_element_at("fields", F.lit(k)).alias(k) for k in keys])
 
@@ -41,6 +43,8 @@ def statistics(
     complete = all(f in (prefilled or {}) for f in STAT_FIELDS) or all(f in given for f in STAT_FIELDS)
     df = spark.range(0) if complete else records_frame(FS.read_any(spark, path))
     stats = profile(df, structure, given, **options)
+    if complete:  # nothing was counted, so only what was given is known
+        stats = stats.withColumn("number_of_records", F.lit(given.get("number_of_records")).cast("bigint"))
     return A.statistics_fields(stats.withColumn("dataset_id", F.lit(dataset_id)))
 
 

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import dates
-from .text import FLOATING, INTEGRAL, cell_text, is_missing, number_text, strip
+from .text import FLOATING, INTEGRAL, bind, cell_text, is_missing, number_text, strip
 
 
 class Unresolved(Exception):
@@ -53,8 +54,8 @@ class Cell:
 TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 STEPS: dict[str, Callable[[Cell, dict, DataFrame], Cell]] = {}
 
-# Larger substitution tables are joined instead of becoming literals of the plan.
-MAX_LITERAL_MAP = 1000
+# Entries of a substitution table in one bucket of its literal.
+BUCKET_ENTRIES = 8
 
 
 def step(name: str):
@@ -198,11 +199,29 @@ def _map(cell: Cell, params: dict, df: DataFrame) -> Cell:
     mapping = params.get("mapping", {})
     if not mapping:
         return cell
-    if len(mapping) > MAX_LITERAL_MAP:
-        raise Unresolved("substitution table too large for a literal; join it instead")
     x = cell.text
-    table = F.create_map(*[F.lit(v) for k, t in mapping.items() for v in (str(k), None if t is None else str(t))])
-    return _string(F.when(F.map_contains_key(table, F.coalesce(x, F.lit(""))), table[x]).otherwise(x))
+    table = {str(k): None if t is None else str(t) for k, t in mapping.items()}
+    return _string(substituted(x, table))
+
+
+def substituted(x: Column, table: dict[str, str | None]) -> Column:
+    """The text, or what the table has for it.
+
+    The table is one JSON literal, parsed once when the plan is made: a list of small
+    maps by checksum of the key, so a look-up does not walk the whole table.
+    """
+    width = max(1, len(table) // BUCKET_ENTRIES)
+    buckets: list[dict] = [{} for _ in range(width)]
+    for k, t in table.items():
+        buckets[zlib.crc32(k.encode("utf-8")) % width][k] = t
+    parsed = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
+
+    def look_up(text: Column) -> Column:
+        key = F.coalesce(text, F.lit(""))
+        own = F.get(parsed, F.pmod(F.crc32(F.encode(key, "UTF-8")), F.lit(width)).cast("int"))
+        return bind(own, lambda m: F.when(text.isNotNull() & F.map_contains_key(m, key), F.try_element_at(m, key)).otherwise(text))
+
+    return bind(x, look_up)
 
 
 @step("json_extract")

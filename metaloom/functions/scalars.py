@@ -90,6 +90,11 @@ def one_decimal(x: Column) -> Column:
     return F.format_string("%.1f", x)
 
 
+def content_hash(text: Column) -> Column:
+    """SHA-256 of a text's UTF-8 bytes."""
+    return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
 def next_version(c: Column) -> Column:
     """Missing or blank starts at 1.0; a number grows by one; other text stays."""
     number = strip(c).try_cast("double")

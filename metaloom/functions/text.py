@@ -22,6 +22,21 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def last_wins(pairs: Column) -> Column:
+    """Map of (key, value) pairs; of equal keys the last one counts.
+
+    A repeated key would end the job, so maps of data-given keys are built here.
+    The quadratic look ahead runs only in rows that repeat a key.
+    """
+
+    def build(p: Column) -> Column:
+        later = lambda e, i: F.exists(F.slice(p, i + 2, F.size(p)), lambda q: q["key"] == e["key"])
+        plain = F.size(F.array_distinct(F.transform(p, lambda e: e["key"]))) == F.size(p)
+        return F.when(plain, F.map_from_entries(p)).otherwise(F.map_from_entries(F.filter(p, lambda e, i: ~later(e, i))))
+
+    return bind(pairs, build)
+
+
 def strip(c: Column) -> Column:
     """Remove all leading and trailing whitespace, not only spaces."""
     return F.trim(c, F.lit(WHITESPACE))

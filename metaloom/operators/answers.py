@@ -76,6 +76,14 @@ def _truthy(v: Column) -> Column:
 
 EMPTY_TEXTS = "array<string>"
 
+# Texts of the error rows.
+NO_ANSWER = "Could not parse LLM response"
+UNKNOWN_CODE = "LLM returned unknown code"
+UNKNOWN_CODES = "LLM returned unknown codes"
+VOCABULARY_MISSING = "vocab JSON not found"
+ANSWER_BROKEN = "LLM call failed — answer is no JSON list"
+TABLE_MISSING = "no vector table — run build_vector_db.py"
+
 
 def list_field(v: Column) -> Column:
     """List coercion of an answer field; a plain text splits at ``;``."""
@@ -99,7 +107,7 @@ def metadata_answers(answers: DataFrame, raw: str = "raw") -> DataFrame:
     for f in METADATA_FIELDS:
         v = F.try_element_at("_f", F.lit(f))
         cols.append((list_field(v) if f in METADATA_LISTS else strip(F.coalesce(_text(v), F.lit("")))).alias(f))
-    broken = F.array(F.lit("Could not parse LLM response"))
+    broken = F.array(F.lit(NO_ANSWER))
     errors = F.when(F.col("_f").isNull(), broken).otherwise(error_list(F.try_element_at("_f", F.lit("errors"))))
     keep = [c for c in answers.columns if c != raw]
     return parsed.select(*keep, *cols, errors.alias("errors"))
@@ -194,7 +202,7 @@ def structure_answers(answers: DataFrame, raw: str = "raw") -> DataFrame:
     def at(name: str) -> Column:
         return F.try_element_at("_f", F.lit(name))
 
-    broken = F.array(F.lit("Could not parse LLM response"))
+    broken = F.array(F.lit(NO_ANSWER))
     keep = [c for c in answers.columns if c != raw]
     return parsed.select(
         *keep,
@@ -209,7 +217,8 @@ def structure_answers(answers: DataFrame, raw: str = "raw") -> DataFrame:
 def answer_codes(c: Column) -> Column:
     """Codes of an answer: a JSON array, a single code, nothing for ``NONE``."""
     x = strip_marks(c)
-    listed = F.coalesce(F.from_json(x, "array<string>"), F.array().cast(EMPTY_TEXTS))
+    items = F.filter(_as_array(F.try_parse_json(x)), lambda v: F.schema_of_variant(v) == "STRING")
+    listed = F.coalesce(F.transform(items, lambda v: F.try_variant_get(v, "$", "string")), F.array().cast(EMPTY_TEXTS))
     single = F.when((x != "") & (x != "NONE"), F.array(x)).otherwise(F.array().cast(EMPTY_TEXTS))
     return F.when(x.startswith("["), listed).otherwise(single)
 
@@ -242,34 +251,38 @@ def default_value(feature: Column, multiple: Column) -> Column:
     return F.when(multiple, "[]").when(feature == "dcat_type", '""').otherwise("null")
 
 
-def vocabulary_maps(vocab: DataFrame) -> DataFrame:
-    """Codes of each feature as one set; vocabularies have at most a few hundred entries."""
-    return vocab.groupBy("feature").agg(F.collect_set("code").alias("known"))
-
-
 def match_codes(answers: DataFrame, registry: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Uris and unknown codes of ``answers(dataset_id, feature, raw)``.
+    """Uris, unknown codes and problem of ``answers(dataset_id, feature, raw)``.
 
     A single-valued feature takes a known code or reports the text it got; a list
     keeps the known codes in answer order. The coding system is an object and
-    also sets the code values.
+    also sets the code values. Codes meet their vocabulary by a join, so its size
+    does not matter; ``problem`` tells a missing vocabulary or a broken list.
     """
-    met = (
-        answers.join(registry.where("base_url <> ''"), "feature")
-        .join(vocabulary_maps(vocab), "feature", "left")
-        .withColumn("codes", answer_codes(F.col("raw")))
+    raw = strip_marks(F.col("raw"))
+    listed = raw.startswith("[")
+    nothing = F.array().cast(EMPTY_TEXTS)
+    usable = F.when(F.col("multiple"), F.when(listed, answer_codes(F.col("raw"))).otherwise(nothing)).otherwise(
+        F.when(raw.isin("", "NONE"), nothing).otherwise(F.array(raw))
+    )
+    broken = F.col("multiple") & listed & _as_array(F.try_parse_json(raw)).isNull()
+    met = answers.join(registry.where("base_url <> ''"), "feature").select(
+        "dataset_id", "feature", "multiple", "base_url", F.coalesce(usable, nothing).alias("codes"), F.coalesce(broken, F.lit(False)).alias("broken")
     )
-    known = F.coalesce(F.col("known"), F.array().cast(EMPTY_TEXTS))
-    listed = F.startswith(strip_marks(F.col("raw")), F.lit("["))
-    usable = F.when(F.col("multiple") & ~listed, F.array().cast(EMPTY_TEXTS)).when(
-        ~F.col("multiple"),
-        F.when(strip_marks(F.col("raw")).isin("", "NONE"), F.array().cast(EMPTY_TEXTS)).otherwise(F.array(strip_marks(F.col("raw")))),
-    ).otherwise(F.col("codes"))
-    shaped = met.withColumn("codes", usable).select(
-        "dataset_id", "feature", "multiple", "base_url",
-        F.filter("codes", lambda c: F.array_contains(known, strip(c))).alias("matched"),
-        F.filter("codes", lambda c: (strip(c) != "") & ~F.array_contains(known, strip(c))).alias("unknown"),
+    named = vocab.select("feature", F.lit(True).alias("has_vocabulary")).distinct()
+    known = vocab.select("feature", F.col("code").alias("code"), F.lit(True).alias("known")).distinct()
+    rows = met.join(named, "feature", "left").select("*", F.posexplode_outer("codes").alias("pos", "given"))
+    rows = rows.withColumn("code", strip(F.col("given"))).join(known, ["feature", "code"], "left")
+    # an answer names a handful of codes, so its row is put together again
+    part = F.struct("pos", "given", F.col("known").isNotNull().alias("known"))
+    shaped = rows.groupBy("dataset_id", "feature", "multiple", "base_url", "broken", "has_vocabulary").agg(
+        F.array_sort(F.collect_list(F.when(F.length("code") > 0, part))).alias("parts")
     )
+    has = F.col("has_vocabulary").isNotNull()
+    matched = F.when(has, F.transform(F.filter("parts", lambda p: p["known"]), lambda p: p["given"])).otherwise(nothing)
+    unknown = F.when(has, F.transform(F.filter("parts", lambda p: ~p["known"]), lambda p: p["given"])).otherwise(nothing)
+    problem = F.when(~has, VOCABULARY_MISSING).when(F.col("broken"), ANSWER_BROKEN)
+    shaped = shaped.select("dataset_id", "feature", "multiple", "base_url", matched.alias("matched"), unknown.alias("unknown"), problem.alias("problem"))
     uris = F.transform("matched", lambda c: F.concat(F.col("base_url"), F.lit("/"), c))
     single = F.when(
         (F.col("feature") == "coding_system") & (F.size("matched") > 0),
@@ -277,19 +290,24 @@ def match_codes(answers: DataFrame, registry: DataFrame, vocab: DataFrame) -> Da
     ).when(F.size("matched") > 0, json_string(uris[0])).otherwise(default_value(F.col("feature"), F.lit(False)))
     return shaped.select(
         "dataset_id", "feature", F.when(F.col("multiple"), F.to_json(uris)).otherwise(single).alias("value"), "unknown",
-        F.when(F.col("feature") == "coding_system", F.col("matched")).otherwise(F.array().cast(EMPTY_TEXTS)).alias("code_values"),
+        F.when(F.col("feature") == "coding_system", F.col("matched")).otherwise(nothing).alias("code_values"), "problem",
     )
 
 
 def code_errors(matches: DataFrame) -> DataFrame:
-    """One error row per answer that named unknown codes."""
+    """One error row per answer that named unknown codes, was broken or had no vocabulary."""
     quoted = F.transform("unknown", lambda c: F.concat(F.lit("'"), c, F.lit("'")))
-    many = F.concat(F.lit(" LLM returned unknown codes ["), F.concat_ws(", ", quoted), F.lit("]"))
-    one = F.concat(F.lit(" LLM returned unknown code "), quoted[0])
-    is_list = F.col("value").startswith("[")
-    return matches.where(F.size("unknown") > 0).select(
-        "dataset_id", F.concat(F.col("feature"), F.lit(":"), F.when(is_list, many).otherwise(one)).alias("error")
-    )
+    many = F.concat(F.lit(UNKNOWN_CODES + " ["), F.concat_ws(", ", quoted), F.lit("]"))
+    one = F.concat(F.lit(UNKNOWN_CODE + " "), quoted[0])
+    named = F.when(F.size("unknown") > 0, F.when(F.col("value").startswith("["), many).otherwise(one))
+    said = F.coalesce("problem", named)
+    return matches.where(said.isNotNull()).select("dataset_id", F.concat(F.col("feature"), F.lit(": "), said).alias("error"))
+
+
+def missing_tables(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """One error row per query of a feature that has no vector table: ``queries(dataset_id, feature)``."""
+    gone = queries.join(index.select("feature").distinct(), "feature", "left_anti")
+    return gone.select("dataset_id", F.concat(F.col("feature"), F.lit(": " + TABLE_MISSING)).alias("error"))
 
 
 def prefilled_feature(value: Column, feature: Column, multiple: Column) -> Column:

@@ -7,14 +7,13 @@ datasets at once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import (
     ARRAY_FIELDS, SEMICOLON_FIELDS, is_non_public, language_list, language_text_list, next_version,
     next_version_history, text_to_array,
 )
 from ..functions.text import is_whole, whole_text
-from .sampling import number_rows
 from .shape import json_string
 
 # Order of the extraction steps; later steps win.
@@ -80,10 +79,15 @@ def drop_internal(values: DataFrame) -> DataFrame:
 def accumulated_errors(errors: DataFrame) -> DataFrame:
     """``(dataset_id, step_rank, pos, error)`` numbered 1, 2, … per dataset in step order.
 
-    Rows instead of one array: a dataset with very many errors stays distributed.
+    Rows instead of one array, numbered within each step; the counts of the earlier
+    steps, a handful per dataset, are the offsets.
     """
-    ordered = errors.withColumn("_ord", F.col("step_rank") * F.lit(1 << 40) + F.col("pos"))
-    return number_rows(ordered, ["dataset_id"], "_ord").select("dataset_id", "n", "error")
+    keys = ["dataset_id", "step_rank"]
+    local = errors.withColumn("_local", F.row_number().over(Window.partitionBy(*keys).orderBy("pos")))
+    counts = errors.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy("dataset_id").orderBy("step_rank").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    return local.join(offsets, keys).select("dataset_id", (F.col("_local") + F.col("_o")).alias("n"), "error")
 
 
 def apply_overrides(values: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -211,9 +215,18 @@ def fold_changes(changes: DataFrame) -> DataFrame:
 
     ``changes(dataset_id, seq, field, subfield, value)``: a row without subfield sets
     the whole field, a NULL value only creates the key; rows with a subfield merge
-    into the object that stands. The log is first reduced to one row per (field,
-    subfield), so the second step sees a handful of rows per field.
+    into the object that stands, the members of a whole object being its subfields.
+    The log is first reduced to one row per (field, subfield), so the second step
+    sees a handful of rows per field.
     """
+    members = F.map_entries(F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>"))
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+    opened = F.transform(members, lambda e: F.struct(e["key"].alias("subfield"), text(e["value"]).alias("value")))
+    own = F.array(F.struct("subfield", "value"))
+    changes = changes.select(
+        "dataset_id", "seq", "field",
+        F.inline(F.when(F.col("subfield").isNull() & members.isNotNull(), F.concat(own, opened)).otherwise(own)),
+    )
     effective = F.col("subfield").isNotNull() | F.col("value").isNotNull()
     last = F.when(effective, F.col("seq"))
     reduced = changes.groupBy("dataset_id", "field", "subfield").agg(
@@ -223,9 +236,10 @@ def fold_changes(changes: DataFrame) -> DataFrame:
         F.collect_list(F.struct("subfield", "value", "seq")).alias("parts"),
         F.coalesce(F.max(F.when(F.col("subfield").isNull(), F.col("seq"))), F.lit(-1)).alias("whole_seq"),
     )
-    alive = F.filter("parts", lambda e: e["subfield"].isNotNull() & (e["seq"] > F.col("whole_seq")))
+    newer = F.exists("parts", lambda e: e["subfield"].isNotNull() & (e["seq"] > F.col("whole_seq")))
+    alive = F.filter("parts", lambda e: e["subfield"].isNotNull() & (e["seq"] >= F.col("whole_seq")))
     whole = F.filter("parts", lambda e: e["subfield"].isNull())
-    chosen = F.when(F.size(alive) > 0, alive).otherwise(whole)
+    chosen = F.when(newer, alive).otherwise(whole)
     return packed.select("dataset_id", "field", F.inline(chosen)).drop("seq")
 
 
@@ -244,14 +258,15 @@ def conditional_fields(values: DataFrame, fixed_uri: str) -> DataFrame:
 def finalize(values: DataFrame) -> DataFrame:
     """Nest the distribution fields of records that have an access url.
 
-    Other fields pass through untouched. One aggregation per dataset gathers the at
-    most 16 distribution fields and the legislation, which every record gets.
+    Other fields pass through untouched. One aggregation per dataset gathers the about
+    sixty fields of a record, so the input is read once.
     """
     law = "applicable_legislation"
     moved = F.col("field").isin(DISTRIBUTION_FIELDS)
     filled = json_is_filled(F.col("value"))
-    rest = values.where(~moved & ~F.col("field").isin(law, "distribution"))
+    others = ~moved & ~F.col("field").isin(law, "distribution")
     grouped = values.groupBy("dataset_id").agg(
+        F.collect_list(F.when(others, F.struct("field", "value"))).alias("rest"),
         F.array_sort(F.collect_list(F.when(moved & filled, F.struct("field", "value")))).alias("parts"),
         F.coalesce(F.max(F.when((F.col("field") == law) & filled, F.col("value"))), F.lit(DEFAULT_LEGISLATION)).alias("law"),
         F.max(F.when(F.col("field") == "distribution", F.struct("value"))).alias("held"),
@@ -268,7 +283,12 @@ def finalize(values: DataFrame) -> DataFrame:
         F.col("held").isNotNull(), row("distribution", F.col("held.value"))
     )
     rows = F.filter(F.array(row(law, F.col("law")), distribution), lambda r: r.isNotNull())
-    return rest.select("dataset_id", "field", "value").unionByName(grouped.select("dataset_id", F.inline(rows)))
+    return grouped.select("dataset_id", F.inline(F.concat("rest", rows)))
+
+
+def distribution_part(values: DataFrame) -> DataFrame:
+    """The fields of a record that belong to its distribution."""
+    return values.where(F.col("field").isin(DISTRIBUTION_FIELDS))
 
 
 def contract(values: DataFrame, datasets: DataFrame, fields: list[str]) -> DataFrame:
@@ -299,32 +319,34 @@ def record_diff(first: DataFrame, second: DataFrame) -> DataFrame:
     """Differences between two runs: ``(dataset_id, field, problem, before, after)``.
 
     Versions must have grown by one and the history by the new version; all other
-    fields must be equal.
+    fields must be equal. Both runs meet in one aggregation per record, which holds
+    its about sixty fields; a repeated field counts once.
     """
-    a = first.select("dataset_id", "field", F.col("value").alias("before"), F.lit(True).alias("_a"))
-    b = second.select("dataset_id", "field", F.col("value").alias("after"), F.lit(True).alias("_b"))
-    both = a.where(~F.col("field").isin(MANAGED_FIELDS)).join(
-        b.where(~F.col("field").isin(MANAGED_FIELDS)), ["dataset_id", "field"], "full"
+    both = first.select("dataset_id", "field", "value", F.lit(1).alias("_run")).unionByName(
+        second.select("dataset_id", "field", "value", F.lit(2).alias("_run"))
     )
+    side = lambda run: F.max(F.when(F.col("_run") == run, F.struct(F.coalesce("value", F.lit("")), "value")))
+    fields = both.groupBy("dataset_id", "field").agg(side(1).alias("a"), side(2).alias("b"))
+    before, after = F.col("a.value"), F.col("b.value")
     problem = (
-        F.when(F.col("_a").isNull(), "missing in first")
-        .when(F.col("_b").isNull(), "missing in second")
-        .when(~F.col("before").eqNullSafe(F.col("after")), "differs")
+        F.when(F.col("a").isNull(), "missing in first")
+        .when(F.col("b").isNull(), "missing in second")
+        .when(~before.eqNullSafe(after), "differs")
     )
-    changed = both.select("dataset_id", "field", problem.alias("problem"), "before", "after").where("problem is not null")
-    return changed.unionByName(version_diff(first, second))
-
-
-def version_diff(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Version rules, one row of both runs per dataset."""
+    managed = F.col("field").isin(MANAGED_FIELDS)
+    found = F.struct("field", problem.alias("problem"), before.alias("before"), after.alias("after"))
+    records = fields.groupBy("dataset_id").agg(
+        F.collect_list(F.when(~managed & problem.isNotNull(), found)).alias("changed"),
+        *[F.max(F.when(F.col("field") == f, v)).alias(n) for f, v, n in (
+            ("version", before, "v1"), ("version", after, "v2"), ("has_version", before, "h1"), ("has_version", after, "h2"),
+        )],
+    )
+    rows = F.filter(F.concat("changed", version_problems()), lambda r: r["problem"].isNotNull())
+    return records.select("dataset_id", F.inline(rows))
 
-    def wide(rows: DataFrame, suffix: str) -> DataFrame:
-        return rows.groupBy("dataset_id").agg(
-            F.max(F.when(F.col("field") == "version", F.col("value"))).alias(f"v{suffix}"),
-            F.max(F.when(F.col("field") == "has_version", F.col("value"))).alias(f"h{suffix}"),
-        )
 
-    j = wide(first, "1").join(wide(second, "2"), "dataset_id", "full")
+def version_problems() -> Column:
+    """Findings on the columns v1, v2 (version) and h1, h2 (history) of two runs."""
 
     def number(v: str) -> Column:
         return F.trim(F.col(v), F.lit('" ')).try_cast("double")
@@ -345,4 +367,4 @@ def version_diff(first: DataFrame, second: DataFrame) -> DataFrame:
         F.struct(F.lit("version").alias("field"), version.alias("problem"), F.col("v1").alias("before"), F.col("v2").alias("after")),
         F.struct(F.lit("has_version").alias("field"), history.alias("problem"), F.col("h1").alias("before"), F.col("h2").alias("after")),
     )
-    return j.select("dataset_id", F.inline(rows)).where("problem is not null")
+    return rows

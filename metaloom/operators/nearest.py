@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import bind
+
 RELATIVE_CUT = 1.2
 
 # A vocabulary up to this many vectors travels to the executors as one matrix;
@@ -151,6 +153,8 @@ def nearest(
     that shares their feature. One count of the vocabulary picks the plan.
     """
     by = list(by)
+    # a query or an entry without a vector has no neighbours, whatever the plan
+    queries, vocab = queries.where(F.col("vector").isNotNull()), vocab.where(F.col("vector").isNotNull())
     rows = vocab.count()
     if rows <= BROADCAST_VECTORS:
         found = scan_matrix(queries, vocab, key, n, by, metric)
@@ -188,37 +192,35 @@ def similarity_match(
 
 # ── text to vector ───────────────────────────────────────────────────────────
 
-def hashing_encoder(dim: int = 384):
+def hashed_text(c: Column, dim: int = 384) -> Column:
     """Default encoder: signed feature hashing of lower-cased words, L2-normalised.
 
-    A stand-in with the contract of a sentence model: an iterator function over
-    Arrow batches, loaded once per task. Pass another one to use a real model.
+    A stand-in with the contract of a sentence model, in built-in expressions; null
+    and blank texts are the zero vector.
     """
+    words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")
+    codes = F.transform(words, lambda w: F.crc32(F.encode(w, "UTF-8")))
+    cells = F.transform(codes, lambda h: F.struct((h % dim).cast("int").alias("at"), F.when(h >= 1 << 31, 1.0).otherwise(-1.0).alias("sign")))
 
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import zlib
+    def vector(found: Column) -> Column:
+        total = lambda i: F.aggregate(F.filter(found, lambda e: e["at"] == i), F.lit(0.0), lambda a, e: a + e["sign"])
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), total)
 
-        for texts in batches:
-            rows = []
-            for text in texts:
-                vec = np.zeros(dim, dtype=np.float32)
-                for word in (text or "").lower().split():
-                    h = zlib.crc32(word.encode("utf-8"))
-                    vec[h % dim] += 1.0 if (h >> 31) & 1 else -1.0
-                norm = float(np.linalg.norm(vec))
-                rows.append((vec / norm if norm else vec).tolist())
-            yield pd.Series(rows)
+    def unit(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return bind(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x).cast("float")))
 
-    return encode
+    return bind(bind(cells, vector), unit)
 
 
 def embed_text(c: Column, encode=None) -> Column:
-    """Vector column of a text column through a batch encoder."""
-    run = encode or hashing_encoder()
+    """Vector column of a text column: built in, or by a function over Arrow batches."""
+    if encode is None:
+        return hashed_text(c)
 
     @F.pandas_udf("array<float>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from run(batches)
+        yield from encode(batches)
 
     return encoded(c)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -122,39 +123,66 @@ def has_value(value) -> bool:
     return len(value) > 0 if isinstance(value, (list, dict)) else True
 
 
-def build_plan(
-    df: DataFrame,
-    structure: dict,
-    prefilled: dict | None = None,
-    approx: bool = False,
-    fuzzy: bool = True,
-    today: dt.date | None = None,
-) -> Plan:
-    """Aggregates only for statistics that are not prefilled, so unused columns are never read."""
-    given = {k: v for k, v in (prefilled or {}).items() if k in STAT_FIELDS and has_value(v)}
-    plan = Plan()
+#: Statistics by name: ``(df, plan, spec, given, options) -> output columns``. Each adds its
+#: aggregates to the shared plan; ``given`` is the prefilled value or None.
+STATISTICS: dict[str, Callable[..., list[Column]]] = {}
 
-    def known(name: str, dtype: str) -> Column:
-        return F.lit(given[name]).cast(dtype)
 
-    if "number_of_records" in given:
-        plan.outputs.append(known("number_of_records", "bigint").alias("number_of_records"))
-    else:
-        plan.outputs.append(plan.add(F.count(F.lit(1))).alias("number_of_records"))
-    if "number_of_unique_individuals" in given:
-        n = known("number_of_unique_individuals", "bigint")
-    else:
-        n = distinct_individuals(df, plan, structure.get("number_of_unique_individuals"), approx)
-    plan.outputs.append(n.alias("number_of_unique_individuals"))
-    for name, how in (("min_typical_age", "min"), ("max_typical_age", "max")):
-        x = known(name, "double") if name in given else numeric_extreme(df, plan, structure.get(name), how)
-        plan.outputs.append(x.alias(name))
-    if "temporal_coverage" in given:
-        span = given["temporal_coverage"]
-        start, end = F.lit(span.get("start")).cast("string"), F.lit(span.get("end")).cast("string")
+def statistic(name: str):
+    """Register a statistic; all that a structure asks for share one scan."""
+
+    def add(fn):
+        STATISTICS[name] = fn
+        return fn
+
+    return add
+
+
+@statistic("number_of_records")
+def _records(df: DataFrame, plan: Plan, spec, given, options) -> list[Column]:
+    value = plan.add(F.count(F.lit(1))) if given is None else F.lit(given).cast("bigint")
+    return [value.alias("number_of_records")]
+
+
+@statistic("number_of_unique_individuals")
+def _individuals(df: DataFrame, plan: Plan, spec, given, options) -> list[Column]:
+    approx = options.get("approx", False)
+    value = distinct_individuals(df, plan, spec, approx) if given is None else F.lit(given).cast("bigint")
+    return [value.alias("number_of_unique_individuals")]
+
+
+@statistic("min_typical_age")
+def _least(df: DataFrame, plan: Plan, spec, given, options) -> list[Column]:
+    value = numeric_extreme(df, plan, spec, "min") if given is None else F.lit(given).cast("double")
+    return [value.alias("min_typical_age")]
+
+
+@statistic("max_typical_age")
+def _most(df: DataFrame, plan: Plan, spec, given, options) -> list[Column]:
+    value = numeric_extreme(df, plan, spec, "max") if given is None else F.lit(given).cast("double")
+    return [value.alias("max_typical_age")]
+
+
+@statistic("temporal_coverage")
+def _coverage(df: DataFrame, plan: Plan, spec, given, options) -> list[Column]:
+    if given is None:
+        start, end = temporal_coverage(df, plan, spec, options.get("fuzzy", True), options.get("today"))
     else:
-        start, end = temporal_coverage(df, plan, structure.get("temporal_coverage"), fuzzy, today)
-    plan.outputs += [start.alias("coverage_start"), end.alias("coverage_end")]
+        start, end = F.lit(given.get("start")).cast("string"), F.lit(given.get("end")).cast("string")
+    return [start.alias("coverage_start"), end.alias("coverage_end")]
+
+
+def build_plan(df: DataFrame, structure: dict, prefilled: dict | None = None, **options) -> Plan:
+    """Aggregates only for statistics that are not prefilled, so unused columns are never read.
+
+    The five statistics of a record always have a column; registered others have
+    theirs when the structure names them. Options: ``approx`` counts individuals by a
+    sketch, ``fuzzy`` and ``today`` rule the reading of free-text dates.
+    """
+    plan = Plan()
+    for name in [*STAT_FIELDS, *[n for n in structure if n in STATISTICS and n not in STAT_FIELDS]]:
+        value = (prefilled or {}).get(name)
+        plan.outputs += STATISTICS[name](df, plan, structure.get(name), value if has_value(value) else None, options)
     return plan
 
 
@@ -190,7 +218,7 @@ def number_or_whole(x: Column) -> Column:
     return F.when(is_whole(x), whole_text(x)).otherwise(x.cast("string"))
 
 
-def date_columns(df: DataFrame, columns: list[str], fuzzy: bool = False) -> DataFrame:
+def date_columns(df: DataFrame, columns: list[str], fuzzy: bool = True) -> DataFrame:
     """Which columns hold dates: counts and verdict per column from one scan."""
     texts = {c: cell_text(F.col(c), df.schema[c].dataType) for c in columns}
     counts = df.agg(*dates.date_column_stats(texts, fuzzy))

@@ -165,13 +165,18 @@ def object_problems(value: Column, field: Column, tag: Column) -> Column:
     return F.when(shape.isNotNull(), F.array(shape)).otherwise(F.flatten(F.transform(items, per_item)))
 
 
+def with_rules(values: DataFrame, rules: DataFrame) -> DataFrame:
+    """The values that have a rule, with its columns."""
+    return values.join(rules, "field")
+
+
 def validate(values: DataFrame, rules: DataFrame, required_fields: list[str] = ()) -> DataFrame:
     """Findings ``(dataset_id, field, subfield, check, message, marks)`` of all records.
 
     ``values(dataset_id, field, value)`` holds JSON text. The rule table is a small
     dictionary; all checks of a value run in its row.
     """
-    ruled = values.join(rules, "field").withColumn("v", F.try_parse_json("value"))
+    ruled = with_rules(values, rules).withColumn("v", F.try_parse_json("value"))
     field, kind = F.col("field"), F.col("type")
     tag = F.when(field.isin(list(required_fields)), F.lit("[OBLIG]")).otherwise(F.lit("[OPT]"))
     filled = json_is_filled(F.col("value"))

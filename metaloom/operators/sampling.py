@@ -101,8 +101,11 @@ def number_rows(df: DataFrame, by: list[str], order: str, slices: int = 64, name
 
 
 def suffix_duplicates(df: DataFrame, record: list[str], tag: str, order: str) -> DataFrame:
-    """Second and later occurrences of a tag in a record get ``_1``, ``_2``, …"""
-    n = number_rows(df, [*record, tag], order, name="_k")
+    """Second and later occurrences of a tag in a record get ``_1``, ``_2``, …
+
+    The occurrences of a tag in one record are a short list, so a window numbers them.
+    """
+    n = df.withColumn("_k", F.row_number().over(Window.partitionBy(*record, tag).orderBy(order)))
     named = F.when(F.col("_k") == 1, F.col(tag)).otherwise(
         F.concat(F.col(tag), F.lit("_"), (F.col("_k") - 1).cast("string"))
     )

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.dsl import quoted
-from ..functions.text import cell_text, space_json_text, strip
+from ..functions.text import bind, cell_text, last_wins, space_json_text, strip
 
-MAX_DEPTH = 32
+#: The nesting that the JSON parser takes, for values whose type does not tell theirs.
+PARSER_DEPTH = 1000
 VARIANT_MAP = "map<string,variant>"
 
 
@@ -76,54 +77,91 @@ def variant_entries(v: Column) -> Column:
     return F.map_entries(F.try_variant_get(v, "$", VARIANT_MAP))
 
 
-def cell(key: Column, v: Column, more: Column) -> Column:
-    """One entry on the way down: still a value to open, or already text."""
+def cell(key: Column, v: Column, more: Column, steps: Column | None = None, raw: Column | None = None) -> Column:
+    """One entry on the way down: still a value to open, or already text.
+
+    With the raw text of the record at hand, a list of objects takes its text from
+    there, because a variant sorts the keys of its objects.
+    """
+    text = variant_text(v)
+    if raw is not None:
+        kind = F.schema_of_variant(v)
+        ordered = kind.startswith("ARRAY") & (kind.contains("OBJECT") | kind.contains("VARIANT"))
+        text = F.when(ordered, F.coalesce(space_json_text(raw_text(raw, steps)), text)).otherwise(text)
     return F.struct(
-        key.alias("key"), F.when(more, v).alias("value"), F.when(~more, variant_text(v)).alias("text")
+        key.alias("key"), F.when(more, v).alias("value"), F.when(~more, text).alias("text"),
+        (F.array().cast("array<string>") if steps is None else steps).alias("steps"),
     )
 
 
-def open_cells(cells: Column, children, depth: int) -> Column:
-    """Open nested values level by level inside the row.
+def raw_text(raw: Column, steps: Column) -> Column:
+    """Text of a member of a JSON object along its keys, NULL where there is none."""
+    return F.aggregate(steps, raw, lambda t, k: F.try_element_at(F.from_json(t, "map<string,string>"), k))
+
+
+def nesting(v: Column) -> Column:
+    """Levels of a JSON value at most: its type names every object and list in it."""
+    kind = F.schema_of_variant(v)
+    return F.when(kind.contains("VARIANT"), PARSER_DEPTH).otherwise(F.size(F.split(kind, "(?:OBJECT|ARRAY)<")))
+
+
+def open_cells(cells: Column, children, depth: Column) -> Column:
+    """Open nested values level by level inside the row until none is left.
 
-    A fold over the levels, so the plan has one step whatever the depth; once no
-    value is left to open, the remaining levels cost one look at the cells. Values
-    below the depth become JSON text.
+    A fold over the levels, so the plan has one step whatever the depth; ``depth`` only
+    has to be enough.
     """
 
     def level(acc: Column, _: Column) -> Column:
         opened = F.flatten(F.transform(acc, lambda c: F.when(c["value"].isNull(), F.array(c)).otherwise(children(c))))
         return F.when(F.exists(acc, lambda c: c["value"].isNotNull()), opened).otherwise(acc)
 
-    folded = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), cells, level)
-    return F.transform(
-        folded,
-        lambda c: F.struct(c["key"].alias("key"), F.coalesce(c["text"], variant_text(c["value"])).alias("value")),
-    )
+    folded = F.aggregate(F.sequence(F.lit(1), depth), cells, level)
+    return F.transform(folded, lambda c: F.struct(c["key"].alias("key"), c["text"].alias("value"), c["steps"].alias("steps")))
 
 
-def object_cells(entries: Column, prefix: Column | None = None) -> Column:
-    """Cells of (key, value) entries, keys extended by a dotted prefix."""
+def object_cells(entries: Column, above: Column | None = None, raw: Column | None = None) -> Column:
+    """Cells of (key, value) entries, keys extended by the dotted key of the cell above."""
 
     def one(e: Column) -> Column:
-        key = e["key"] if prefix is None else F.concat(prefix, F.lit("."), e["key"])
-        return cell(key, e["value"], is_object(e["value"]))
+        key = e["key"] if above is None else F.concat(above["key"], F.lit("."), e["key"])
+        steps = None
+        if raw is not None:
+            steps = F.array(e["key"]) if above is None else F.concat(above["steps"], F.array(e["key"]))
+        return cell(key, e["value"], is_object(e["value"]), steps, raw)
 
     return F.transform(entries, one)
 
 
-def flatten_entries(entries: Column, depth: int = MAX_DEPTH) -> Column:
+def flatten_entries(entries: Column, depth: Column, raw: Column | None = None) -> Column:
     """(dotted key, text) pairs of nested entries, null cells left out."""
-    flat = open_cells(object_cells(entries), lambda c: object_cells(variant_entries(c["value"]), c["key"]), depth)
+    flat = open_cells(object_cells(entries, raw=raw), lambda c: object_cells(variant_entries(c["value"]), c, raw), depth)
     return F.filter(flat, lambda e: e["value"].isNotNull())
 
 
-def flatten_object(v: Column, depth: int = MAX_DEPTH) -> Column:
-    """JSON object to ``map<path, text>`` without null cells."""
-    return F.map_from_entries(flatten_entries(variant_entries(v), depth))
+def as_map(flat: Column) -> Column:
+    return last_wins(F.transform(flat, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+
+
+def flatten_object(v: Column, raw: Column | None = None) -> Column:
+    """JSON object to ``map<path, text>`` without null cells.
+
+    ``raw`` is the text of the object, if there is one: it tells the written order,
+    in which the last of clashing paths counts and objects in lists keep their keys.
+    """
+    if raw is None:
+        return as_map(flatten_entries(variant_entries(v), nesting(v)))
+
+    def in_order(flat: Column) -> Column:
+        keys = F.json_object_keys(raw)
+        placed = F.transform(flat, lambda e, i: F.struct(F.array_position(keys, e["steps"][0]).alias("p"), i.alias("i"), e.alias("e")))
+        clash = F.size(F.array_distinct(F.transform(flat, lambda e: e["key"]))) < F.size(flat)
+        return F.when(clash & keys.isNotNull(), F.transform(F.array_sort(placed), lambda x: x["e"])).otherwise(flat)
+
+    return as_map(bind(flatten_entries(variant_entries(v), nesting(v), raw), in_order))
 
 
-def path_samples(v: Column, depth: int = MAX_DEPTH) -> Column:
+def path_samples(v: Column) -> Column:
     """(path, sample) pairs of a record for the schema inventory.
 
     A list of objects is represented by its first one under ``path[]``, a list of
@@ -148,7 +186,7 @@ def path_samples(v: Column, depth: int = MAX_DEPTH) -> Column:
             F.transform(scalar, lambda i: cell(c["key"], i, F.lit(False))),
         )
 
-    flat = open_cells(F.transform(variant_entries(v), one(None, "")), children, depth)
+    flat = open_cells(F.transform(variant_entries(v), one(None, "")), children, nesting(v))
     texts = F.transform(flat, lambda e: F.struct(e["key"].alias("path"), strip(e["value"]).alias("sample")))
     return F.filter(texts, lambda e: F.coalesce(F.length(e["sample"]), F.lit(0)) > 0)
 
@@ -156,14 +194,26 @@ def path_samples(v: Column, depth: int = MAX_DEPTH) -> Column:
 # ── inventory ────────────────────────────────────────────────────────────────
 
 def typed_path_samples(df: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep.., path, sample) of a typed table, blank cells left out."""
+    """(keep.., path, sample) of a typed table, blank cells left out.
+
+    A list is represented by its first item, a list of structs by the fields of its
+    first one under ``path[]``.
+    """
     pairs = []
-    for path, col, dtype in leaf_columns(df):
-        if path in keep:
-            continue
+
+    def walk(col: Column, dtype: T.DataType, path: str) -> None:
         if isinstance(dtype, T.ArrayType):
-            col, dtype = F.try_element_at(col, F.lit(1)), dtype.elementType
-        pairs.append(F.struct(F.lit(path).alias("path"), strip(cell_text(col, dtype)).alias("sample")))
+            first, inner = F.try_element_at(col, F.lit(1)), dtype.elementType
+            walk(first, inner, f"{path}[]" if isinstance(inner, T.StructType) else path)
+        elif isinstance(dtype, T.StructType):
+            for f in dtype.fields:
+                walk(col[f.name], f.dataType, f"{path}.{f.name}")
+        else:
+            pairs.append(F.struct(F.lit(path).alias("path"), strip(cell_text(col, dtype)).alias("sample")))
+
+    for path, col, dtype in leaf_columns(df):
+        if path not in keep:
+            walk(col, dtype, path)
     rows = df.select(*keep, F.inline(F.array(*pairs)))
     return rows.where(F.length("sample") > 0)
 

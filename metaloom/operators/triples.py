@@ -83,7 +83,7 @@ CATALOGUE_BASE = "https://catalogue.example.org/dataset/"
 def dataset_uri(df: DataFrame, key: str, base: str = CATALOGUE_BASE) -> Column:
     """Identifier, else url, else a generated uri."""
     named = [F.nullif(F.col(c), F.lit("")) for c in ("identifier", "url") if c in df.columns]
-    return F.coalesce(*named, F.concat(F.lit(base), F.substring(F.col(key).cast("string"), 1, 8)))
+    return F.coalesce(*named, F.concat(F.lit(base), F.url_encode(F.col(key).cast("string"))))
 
 
 def triple(s: Column, p: str | Column, o: Column, kind: str | Column, lang=None, datatype=None) -> Column:
@@ -224,12 +224,13 @@ def triples_to_fields(triples: DataFrame, order: str | None = None) -> DataFrame
     table = F.create_map(*[F.lit(x) for pair in predicate_fields().items() for x in pair])
     known = triples.withColumn("field", F.try_element_at(table, F.col("p"))).where("field is not null")
     is_list = F.col("field").isin(LIST_FIELDS)
-    lists = known.where(is_list).select("s", "field", F.col("o").alias("value")).distinct()
     rank = F.col(order) if order else F.col("o")
-    scalars = known.where(~is_list).groupBy("s", "field").agg(
-        F.min_by("o", F.when(F.col("o") != "", rank)).alias("value")
+    grouped = known.groupBy("s", "field").agg(
+        F.collect_set(F.when(is_list, F.col("o"))).alias("many"),
+        F.min_by("o", F.when(~is_list & (F.col("o") != ""), rank)).alias("one"),
     )
-    return lists.unionByName(scalars)
+    # a list field holds what one record says, so it fits into a row
+    return grouped.select("s", "field", F.explode(F.when(is_list, F.col("many")).otherwise(F.array("one"))).alias("value"))
 
 
 # ── N-Triples text ───────────────────────────────────────────────────────────
@@ -240,11 +241,28 @@ def escape_literal(c: Column) -> Column:
     return c
 
 
+# Escapes of one character.
+ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+_PIECES = r"(?s)(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"
+
+
 def unescape_literal(c: Column) -> Column:
-    # An escape counts only after an even run of backslashes; the runs are halved last.
-    for coded, plain in (('"', '"'), ("n", "\n"), ("r", "\r"), ("t", "\t")):
-        c = F.regexp_replace(c, r"(?<!\\)((?:\\\\)*+)\\" + coded, "$1" + plain)
-    return F.replace(c, F.lit("\\\\"), F.lit("\\"))
+    """Text of an escaped literal; texts without a backslash are left as they are.
+
+    Runs of ``\\u`` escapes are decoded together, as two of them can be one character.
+    """
+    plain = F.create_map(*[F.lit(x) for k, v in ESCAPES.items() for x in ("\\" + k, v)])
+
+    def one(piece: Column) -> Column:
+        short = F.decode(F.unhex(F.replace(piece, F.lit("\\u"), F.lit(""))), "UTF-16BE")
+        long_ = F.decode(F.unhex(F.substring(piece, 3, 8)), "UTF-32")
+        return (
+            F.when(piece.rlike(r"^\\u[0-9A-Fa-f]{4}"), short).when(piece.rlike(r"^\\U[0-9A-Fa-f]{8}$"), long_)
+            .when(piece.startswith("\\"), F.coalesce(F.try_element_at(plain, piece), piece)).otherwise(piece)
+        )
+
+    pieces = F.regexp_extract_all(c, F.lit(_PIECES), F.lit(0))
+    return F.when(c.contains("\\"), F.array_join(F.transform(pieces, one), "")).otherwise(c)
 
 
 def _node(c: Column) -> Column:
@@ -272,7 +290,8 @@ _SPREAD = "\u0002" + "\u0001".join(f"${i}" for i in (1, 2, 3, 4, 5, 7, 8, 6))
 
 
 def parse_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Triples of N-Triples lines; comments, blank and broken lines are left out.
+    """Triples of N-Triples lines; comments and blank lines are left out, and broken
+    ones, which :func:`broken_lines` returns.
 
     One regular expression pass per line spreads its groups, a split picks them up.
     """
@@ -289,3 +308,10 @@ def parse_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
         g(5).alias("lang"),
         g(6).alias("datatype"),
     )
+
+
+def broken_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The lines that are neither a triple nor a comment nor blank, with an error."""
+    c = F.col(column)
+    bad = ~c.rlike(r"^\s*(?:#.*)?$") & ~c.rlike(_LINE)
+    return lines.where(bad).withColumn("error", F.lit("no N-Triples statement"))

@@ -42,13 +42,15 @@ def budget(calls: DataFrame, session_limit: int = SESSION_LIMIT, day_limit: int
     )
 
 
-def budget_today(calls: DataFrame, day: str, **limits) -> DataFrame:
-    """Budget of one day; the range on the raw time column reaches the scan."""
+def calls_of_day(calls: DataFrame, day: str) -> DataFrame:
+    """Calls of one day; the range on the raw time column reaches the scan."""
     start = F.to_date(F.lit(day))
     kind = dict(calls.dtypes)["ts"]
-    return budget(
-        calls.where((F.col("ts") >= start.cast(kind)) & (F.col("ts") < F.date_add(start, 1).cast(kind))), **limits
-    )
+    return calls.where((F.col("ts") >= start.cast(kind)) & (F.col("ts") < F.date_add(start, 1).cast(kind)))
+
+
+def budget_today(calls: DataFrame, day: str, **limits) -> DataFrame:
+    return budget(calls_of_day(calls, day), **limits)
 
 
 def active_sessions(calls: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import cleaning, matching, profiling, records, shaping, sourcing, streams  # noqa: F401
+from . import cleaning, edges, matching, profiling, records, shaping, sourcing, streams  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

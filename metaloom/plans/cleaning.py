@@ -297,7 +297,7 @@ def f6(t):
 
 @query("f9_content_hash", "select doc_id, sha256(text) as hash from documents")
 def f9(t):
-    return t.documents.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"))
+    return t.documents.select("doc_id", S.content_hash(F.col("text")).alias("hash"))
 
 
 @query("f10_last_segment", """

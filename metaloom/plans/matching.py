@@ -215,7 +215,7 @@ def g11(t):
     with h as (select l_orderkey as dataset_id, 'http://p/' || n_name as p, 'http://c/' || r_name as c,
                       l_linenumber * 1000000 + l_suppkey as ord
                from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey
-               join region on r_regionkey = n_regionkey where l_returnflag <> 'R'),
+               join region on r_regionkey = n_regionkey),
     pc as (select dataset_id, p as uri, count(*) as n, min(ord) as first from h group by 1, 2),
     pk as (select dataset_id, 1 as lvl, uri, first from pc
            where dataset_id in (select dataset_id from pc group by 1 having sum(n) / 25.0 <= 0.10)),
@@ -236,7 +236,7 @@ def v6(t):
         ))),
         gazetteer(t),
     ).select("s_suppkey", "level", "uri")
-    named = t.lineitem.where("l_returnflag <> 'R'").join(
+    named = t.lineitem.join(
         supplier_places, F.col("l_suppkey") == F.col("s_suppkey")
     ).select(
         F.col("l_orderkey").alias("dataset_id"), "level", "uri",

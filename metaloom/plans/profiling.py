@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions.dsl import compile_mapping
 from ..operators import profile as P
+from ..operators.usage import calls_of_day
 from ..session import spread
 from .registry import query
 
@@ -244,9 +245,7 @@ def e7(t):
     select user_id, count(*) as calls, sum(length(props))::bigint as tokens
     from events where cast(ts as date) = date '2024-01-15' group by 1""")
 def e9(t):
-    # A range on the raw column instead of to_date(ts): it reaches the parquet scan.
-    day = F.lit("2024-01-15").cast("timestamp_ntz")
     return (
-        t.events.where((F.col("ts") >= day) & (F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")))
+        calls_of_day(t.events, "2024-01-15")
         .groupBy("user_id").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.length("props")).alias("tokens"))
     )

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import answers as N, assemble as A, profile as P, rules as R, triples as X, usage as U
 from ..operators.shape import json_string
-from ..session import spread
+from ..session import spread, written
 from .registry import query
 
 
@@ -153,7 +153,7 @@ def c2(t):
     select o_orderkey as dataset_id, 'size' as field, o_orderstatus as value from orders""")
 def c9(t):
     values = order_fields(t, ("size", F.col("o_orderstatus")), ("title", F.lit("t")))
-    return values.where(F.col("field").isin(A.DISTRIBUTION_FIELDS))
+    return A.distribution_part(values)
 
 
 @query("k16_active_fields", """
@@ -337,7 +337,7 @@ def k10(t):
 def k11(t):
     values = customer_record(t)
     datasets = t.customer.select(F.col("c_custkey").alias("dataset_id"))
-    findings = R.validate(values, rule_table(t), ["title", "hdab"])
+    findings = written(R.validate(values, rule_table(t), ["title", "hdab"]), "findings")
     fields = field_rows(t)
     missing = R.missing_required(datasets, values, findings, fields.where("required").select("ord", "field"))
     return R.validity(datasets, values, findings, missing, fields)
@@ -443,7 +443,7 @@ def m5(t):
 
 @query("m6_dataset_uri", """
     select page_id, case when page_id % 3 = 0 then 'http://i/' || page_id::varchar when page_id % 3 = 1 then url
-        else 'https://catalogue.example.org/dataset/' || substring(page_id::varchar, 1, 8) end as uri from pages""")
+        else 'https://catalogue.example.org/dataset/' || page_id::varchar end as uri from pages""")
 def m6(t):
     k = F.col("page_id")
     df = t.pages.select(
@@ -488,7 +488,7 @@ def n1(t):
     select event_id, props::json->>'k' as k, 'C:\path\new "q" ' || event_type as name from events""")
 def n2(t):
     raw = F.concat(
-        F.lit('{"name":"C:\\path\\\\new \\"q\\" '), "event_type", F.lit('",'), F.substring("props", 2, 1000)
+        F.lit('{"name":"C:\\path\\\\new \\"q\\" '), "event_type", F.lit('",'), F.substring("props", F.lit(2), F.length("props"))
     )
     doc = F.try_parse_json(N.repair_escapes(raw))
     return t.events.select(
@@ -770,7 +770,7 @@ def l1_arrays(t):
               ('hdab', 'list_object', true)) f(field, type, required)""")
 def h13(t):
     rules = rule_table(t).select("field", "type", "required")
-    return customer_record(t).join(rules, "field").select("dataset_id", "field", "type", "required")
+    return R.with_rules(customer_record(t), rules).select("dataset_id", "field", "type", "required")
 
 
 @query("e8_iso_millis", """

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import sampling as M, shape
+from ..operators import sampling as M, sets, shape
 from ..session import spread
 from .registry import query
 
@@ -94,7 +94,11 @@ def b7_many(t):
     )
 
 
-@query("b7_inventory_counts", "select 5 as columns, 20 as records")
+@query("b7_inventory_counts", """
+    with s as (select * from customer order by md5(concat_ws('|', c_custkey, '0')), c_custkey limit 20),
+    c as (select unnest([c_custkey::varchar, c_name, c_nationkey::varchar, c_acctbal::varchar, c_mktsegment]) as v,
+                 unnest(['k', 'n', 'a', 'b', 'm']) as path from s)
+    select count(distinct path) as columns, (select count(*) from s) as records from c where trim(v) <> ''""")
 def b7_counts(t):
     sample = M.uniform_sample(t.customer, ["c_custkey"])
     rows = shape.typed_path_samples(sample, []).withColumn("o", F.lit(0))
@@ -180,13 +184,13 @@ def i7(t):
     select l_orderkey, l_returnflag, min(l_linenumber * 10000000 + l_partkey) as first from lineitem group by 1, 2""")
 def i8(t):
     at = F.col("l_linenumber") * 10000000 + F.col("l_partkey")
-    return t.lineitem.groupBy("l_orderkey", "l_returnflag").agg(F.min(at).alias("first"))
+    return sets.first_seen(t.lineitem, ["l_orderkey", "l_returnflag"], at)
 
 
 @query("i8_array_dedupe", """
     select p_partkey, case when p_type = p_brand then p_type else p_type || '|' || p_brand end as uris from part""")
 def i8_array(t):
-    return t.part.select("p_partkey", F.concat_ws("|", F.array_distinct(F.array("p_type", "p_brand", "p_type", "p_brand"))).alias("uris"))
+    return t.part.select("p_partkey", F.concat_ws("|", sets.distinct_items(F.array("p_type", "p_brand", "p_type", "p_brand"))).alias("uris"))
 
 
 @query("i9_first_non_empty", """
@@ -215,7 +219,7 @@ def i11(t):
 
 @query("i12_sorted_codes", "select distinct p_name, p_brand from part order by p_name, p_brand")
 def i12(t):
-    return t.part.select("p_name", "p_brand").distinct().orderBy("p_name", "p_brand")
+    return sets.sorted_codes(t.part, ["p_name", "p_brand"])
 
 
 @query("i13_first_entries", "select p_partkey as ord, p_name as label from part order by p_partkey limit 5")
@@ -228,33 +232,31 @@ def i13(t):
 @query("j1_key_union", """
     select c_nationkey as k from customer union select s_nationkey from supplier""")
 def j1(t):
-    return t.customer.select(F.col("c_nationkey").alias("k")).union(t.supplier.select("s_nationkey")).distinct()
+    return sets.key_union([t.customer.select("c_nationkey"), t.supplier.select("s_nationkey")], "k")
 
 
 @query("j2_expected_minus_present", """
     select c_custkey as k from customer except select o_custkey from orders where o_orderpriority = '1-URGENT'""")
 def j2(t):
     keys = t.customer.select(F.col("c_custkey").alias("k"))
-    return keys.join(t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k")), "k", "left_anti")
+    return sets.missing_keys(keys, t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k")), "k")
 
 
 @query("j3_distinct_uris", """
     select distinct split_part(split_part(url, '?', 1), '#', 1) as uri from pages""")
 def j3(t):
-    return t.pages.select(F.regexp_extract("url", r"^[^?#]*", 0).alias("uri")).distinct().orderBy("uri")
+    return sets.page_uris(t.pages, "url")
 
 
 @query("j4_ordered_union", """
     select l_shipmode, min(o) as first from (
       select l_returnflag as l_shipmode, 1 as o from lineitem union all select l_linestatus, 2 from lineitem) group by 1""")
 def j4(t):
-    a = t.lineitem.select(F.col("l_returnflag").alias("l_shipmode"), F.lit(1).alias("o"))
-    b = t.lineitem.select(F.col("l_linestatus").alias("l_shipmode"), F.lit(2).alias("o"))
-    return a.unionByName(b).groupBy("l_shipmode").agg(F.min("o").alias("first"))
+    return sets.ordered_union([t.lineitem.select("l_returnflag"), t.lineitem.select("l_linestatus")], "l_shipmode")
 
 
 @query("j6_field_difference", """
     select o_orderkey, case when o_orderstatus in ('a', 'b') then 'a|b' else 'a|b|' || o_orderstatus end as rest from orders""")
 def j6(t):
     have = F.array(F.lit("a"), F.lit("language"), F.lit("b"), "o_orderstatus")
-    return t.orders.select("o_orderkey", F.concat_ws("|", F.array_except(have, F.array(F.lit("language")))).alias("rest"))
+    return t.orders.select("o_orderkey", F.concat_ws("|", sets.without_items(have, ["language"])).alias("rest"))

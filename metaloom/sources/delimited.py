@@ -4,11 +4,20 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.text import strip
-from .files import HEAD_BYTES, HEAD_LINES, file_heads, first_file, reader
+from ..functions.dsl import quoted
+from ..functions.text import last_wins, strip
+from ..session import written
+from .files import HEAD_BYTES, HEAD_LINES, file_heads, list_files, open_at, open_stream, reader
+
+#: Bytes of a file that one look at its body covers.
+RANGE_BYTES = 32 << 20
 
 # Delimiter candidates in order of preference.
 DELIMITERS = [";", ",", "\t", "|"]
@@ -74,7 +83,8 @@ def sniff(files: DataFrame) -> DataFrame:
     text = F.regexp_replace(decoded(F.col("lines"), F.col("encoding")), "^﻿", "")
     return heads.select(
         "path", "encoding", best_delimiter(first_lines(text)).alias("delimiter"),
-        F.regexp_extract(text, r"^\s*([^\r\n]*)", 1).alias("header"),
+        # Blank lines above the header go; a leading tab is an empty first name and stays.
+        F.regexp_extract(text, r"^(?:[ \t]*[\r\n]+)*([^\r\n]*)", 1).alias("header"),
     )
 
 
@@ -92,70 +102,181 @@ def header_names(line: str, delimiter: str) -> list[str]:
     return names
 
 
-def has_open_quotes(spark: SparkSession, path: str, encoding: str) -> bool:
-    """Whether any line leaves a quote open, so that a record spans lines."""
-    lines = spark.read.option("encoding", encoding).text(path)
-    odd = occurrences(F.col("value"), '"') % 2 == 1
-    return bool(lines.where(odd).limit(1).count())
+def named_dialects(dialects: DataFrame) -> DataFrame:
+    """The dialects with the column names of their header lines."""
+    names = header_names
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(names=[names(h, d) for h, d in zip(batch["header"], batch["delimiter"])])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dialects.schema.fields)
+    return dialects.mapInPandas(add, fields + ", names array<string>")
+
+
+# ── what the body of a file holds ────────────────────────────────────────────
+
+def range_state(data: bytes, before: bytes, mark: bytes) -> tuple[int, bool, bool, bool]:
+    """Quotes (mod 2), line breaks outside and inside of quotes counted from the range
+    start, and whether a quote opens a cell."""
+    raw = np.frombuffer(data, np.uint8)
+    quote = raw == 34
+    inside = np.cumsum(quote) & 1
+    breaks = raw == 10
+    previous = np.concatenate([np.frombuffer(before[-1:] or b"\n", np.uint8), raw[:-1]])
+    opens = bool((quote & ((previous == 10) | (previous == 13) | (previous == mark[0]))).any())
+    return int(quote.sum() & 1), bool((breaks & (inside == 0)).any()), bool((breaks & (inside == 1)).any()), opens
+
+
+def range_width(data: bytes, mark: bytes) -> int:
+    """Most cells of a line without quotes that lies inside the range."""
+    raw = np.frombuffer(data, np.uint8)
+    breaks = np.flatnonzero(raw == 10)
+    marks = np.concatenate([[0], np.cumsum(raw == mark[0])])
+    quotes = np.concatenate([[0], np.cumsum(raw == 34)])
+    starts, ends = np.concatenate([[0], breaks + 1]), np.append(breaks, len(raw))
+    plain = quotes[ends] == quotes[starts]
+    return int((marks[ends] - marks[starts])[plain].max(initial=0)) + 1
+
+
+def body_state(files: DataFrame, dialects: DataFrame) -> DataFrame:
+    """``(path, spanning, cells)``: whether a quoted cell holds a line break, and the most
+    cells of a line.
+
+    Files are looked at in ranges, so a large one is no single task; the quote parity
+    of the ranges before one tells where its breaks stand. A file whose quotes never
+    open a cell or do not balance (inch marks) is read line by line.
+    """
+    ranges = files.join(dialects.select("path", "delimiter"), "path").select(
+        "path", "delimiter", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(RANGE_BYTES).cast("bigint"))).alias("start")
+    )
+    state, width, size = range_state, range_width, RANGE_BYTES
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, delimiter, start in zip(batch["path"], batch["delimiter"], batch["start"]):
+                with open_at(path) as file:
+                    file.seek(max(0, start - 1))
+                    data = file.read(size + (start > 0))
+                    before, data = (data[:1], data[1:]) if start else (b"", data)
+                    tail = b""
+                    while data and b"\n" not in tail and (more := file.read(65536)):
+                        tail += more
+                mark = delimiter.encode()
+                # a line belongs to the range it starts in
+                whole = data + tail.split(b"\n")[0]
+                if start and before != b"\n":
+                    whole = whole.partition(b"\n")[2]
+                rows.append((path, start, *state(data, before, mark), width(whole, mark)))
+            yield pd.DataFrame(rows, columns=["path", "start", "odd", "outer", "inner", "opens", "cells"])
+
+    found = ranges.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism), "path", "start").mapInPandas(
+        read, "path string, start long, odd long, outer boolean, inner boolean, opens boolean, cells long"
+    )
+    ahead = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    parity = F.coalesce(F.sum("odd").over(ahead), F.lit(0)) % 2
+    spans = F.when(parity == 0, F.col("inner")).otherwise(F.col("outer"))
+    return found.withColumn("spans", spans).groupBy("path").agg(
+        (F.bool_or("spans") & F.bool_or("opens") & (F.sum("odd") % 2 == 0)).alias("spanning"), F.max("cells").alias("cells")
+    )
 
 
 def null_tokens(df: DataFrame) -> DataFrame:
-    return df.select(*[
-        F.when(~F.col(f"`{c}`").isin(NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns
-    ])
+    return df.select(*[F.when(~F.col(quoted(c)).isin(NA_TOKENS), F.col(quoted(c))).alias(c) for c in df.columns])
 
 
 @reader("csv")
-def read_csv(
-    spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None,
-    multiline: bool | None = None,
-) -> DataFrame:
-    """All-string records of one delimited dataset.
-
-    The schema comes from the header line, so there is no inference pass. Files
-    stay splittable unless some line leaves a quote open.
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> DataFrame:
+    """All-string records of one delimited dataset, a file or a folder.
+
+    Every file is read in its own dialect; files that share dialect and header are
+    one scan, and columns meet by name. Cells beyond the header get numbered columns
+    like nameless ones. Files stay splittable unless a quoted cell holds a line break.
     """
-    found = sniff(spark.createDataFrame([(first_file(spark, path),)], "path string")).first()
-    encoding, delimiter = encoding or found["encoding"], delimiter or found["delimiter"]
-    names = header_names(found["header"], delimiter)
-    if multiline is None:
-        multiline = has_open_quotes(spark, path, encoding)
-    if not names:
-        return spark.createDataFrame([], "value string")
-    schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
-    raw = (
-        spark.read.schema(schema)
-        .options(header=True, sep=delimiter, encoding=encoding, quote='"', escape='"',
-                 multiLine=multiline, enforceSchema=True, mode="PERMISSIVE")
-        .csv(path)
-    )
-    return null_tokens(raw)
+    files = list_files(spark, path)
+    dialects = sniff(files)
+    if encoding or delimiter:
+        given = {"encoding": encoding, "delimiter": delimiter}
+        dialects = dialects.withColumns({k: F.lit(v) for k, v in given.items() if v})
+    dialects = written(dialects, "dialects")
+    state = body_state(files, dialects)
+    groups = dialects.join(state, "path", "left").groupBy("encoding", "delimiter", "header", "spanning").agg(
+        F.min("path").alias("first"), F.max("cells").alias("cells"), F.count(F.lit(1)).alias("files")
+    ).orderBy("first").collect()
+    out = None
+    for g in groups:
+        names = header_names(g["header"], g["delimiter"])
+        if not names:
+            continue
+        names += [f"Unnamed: {i}" for i in range(len(names), g["cells"] or 0)]
+        same = [F.col(c).eqNullSafe(F.lit(g[c])) for c in ("encoding", "delimiter", "header", "spanning")]
+        place: str | list[str] = path
+        if len(groups) > 1:
+            place = [r["path"] for r in dialects.join(state, "path", "left").where(same[0] & same[1] & same[2] & same[3]).select("path").collect()]
+        schema = ", ".join(quoted(n) + " string" for n in names)
+        part = null_tokens(
+            spark.read.schema(schema)
+            .options(header=True, sep=g["delimiter"], encoding=g["encoding"], quote='"', escape='"',
+                     multiLine=bool(g["spanning"]), enforceSchema=True, mode="PERMISSIVE", recursiveFileLookup=True)
+            .csv(place)
+        )
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out if out is not None else spark.createDataFrame([], "value string")
 
 
 def read_many(spark: SparkSession, files: DataFrame) -> DataFrame:
     """``(path, fields)`` records of many delimited files with different headers.
 
     One text scan per encoding; each line meets the dialect of its file, a row of a
-    small table. Records that span lines need :func:`read_csv`.
+    small table. Of the lines that equal the header of their file, all but one are
+    records. Files whose cells hold line breaks are read as streams, one per task.
     """
     dialects = sniff(files)
-    out = None
+    known = written(named_dialects(dialects.join(body_state(files, dialects), "path", "left")), "dialects")
+    spanning = F.coalesce(F.col("spanning"), F.lit(False))
+    cells = None
     for encoding in ("UTF-8", "ISO-8859-1"):
-        paths = [r["path"] for r in dialects.where(F.col("encoding") == encoding).select("path").toLocalIterator()]
+        mine = known.where(~spanning & (F.col("encoding") == encoding))
+        paths = [r["path"] for r in mine.select("path").toLocalIterator()]
         if not paths:
             continue
         lines = spark.read.option("encoding", encoding).text(paths).select(
             F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("line")
         )
-        part = lines.join(dialects.select("path", "delimiter", "header"), "path").where(
-            (F.col("line") != F.col("header")) & (F.length(strip(F.col("line"))) > 0)
-        )
-        out = part if out is None else out.unionByName(part)
-    cells = split_quoted(F.col("line"), F.col("delimiter"))
-    names = split_quoted(F.col("header"), F.col("delimiter"))
-    pairs = F.arrays_zip(names.alias("name"), cells.alias("cell"))
-    kept = F.filter(pairs, lambda p: p["name"].isNotNull() & ~F.coalesce(p["cell"], F.lit("")).isin(NA_TOKENS))
-    return out.select("path", F.map_from_entries(kept.cast("array<struct<key:string,value:string>>")).alias("fields"))
+        met = lines.where(F.length(strip(F.col("line"))) > 0).join(mine.select("path", "delimiter", "header", "names"), "path")
+        again = met.where("line = header").groupBy("path", "delimiter", "header", "names").agg((F.count(F.lit(1)) - 1).cast("int").alias("n"))
+        again = again.where("n > 0").select("path", "delimiter", "names", F.explode(F.array_repeat("header", F.col("n"))).alias("line"))
+        rows = met.where("line <> header").select("path", "delimiter", "names", "line").unionByName(again)
+        part = rows.select("path", "names", split_quoted(F.col("line"), F.col("delimiter")).alias("cells"))
+        cells = part if cells is None else cells.unionByName(part)
+    whole = streamed_cells(known.where(spanning)).join(known.select("path", "names"), "path").select("path", "names", "cells")
+    cells = whole if cells is None else cells.unionByName(whole)
+    name = lambda i: F.coalesce(F.get("names", i), F.concat(F.lit("Unnamed: "), i.cast("string")))
+    pairs = F.transform("cells", lambda c, i: F.struct(name(i).alias("key"), c.alias("value")))
+    kept = F.filter(pairs, lambda p: ~F.coalesce(p["value"], F.lit("")).isin(NA_TOKENS))
+    return cells.select("path", last_wins(kept).alias("fields"))
+
+
+def streamed_cells(files: DataFrame) -> DataFrame:
+    """``(path, cells)`` of the records below the header, read as a stream of any length."""
+
+    def rows(path, encoding, delimiter):
+        with open_stream(path) as stream:
+            text = io.TextIOWrapper(io.BufferedReader(stream), "utf-8-sig" if encoding == "UTF-8" else encoding, errors="replace", newline="")
+            records = (r for r in csv.reader(text, delimiter=delimiter) if any(c.strip() for c in r))
+            next(records, None)
+            yield from records
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, encoding, delimiter in zip(batch["path"], batch["encoding"], batch["delimiter"]):
+                found = rows(path, encoding, delimiter)
+                while some := list(itertools.islice(found, 2_000)):
+                    yield pd.DataFrame({"path": path, "cells": some})
+
+    width = max(1, files.sparkSession.sparkContext.defaultParallelism)
+    return files.select("path", "encoding", "delimiter").repartition(width, "path").mapInPandas(read, "path string, cells array<string>")
 
 
 def split_quoted(line: Column, delimiter: Column) -> Column:

@@ -20,6 +20,7 @@ FORMATS = {
 }
 HEAD_BYTES = 10_000
 HEAD_LINES = 5
+CHUNK_BYTES = 1 << 20
 
 READERS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -98,30 +99,66 @@ def discover(files: DataFrame, root: str) -> DataFrame:
 
 
 def file_facts(spark: SparkSession, root: str) -> DataFrame:
-    """Type, format, size and SHA-256 of each file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(
+    """Type, format, size and SHA-256 of each file, whatever its size."""
+    files = list_files(spark, root)
+    facts = files.select(
         "path",
         mime_type(F.col("path")).alias("mimetype"),
         file_extension(F.col("path")).alias("format"),
         F.col("length").alias("size"),
-        F.sha2("content", 256).alias("hash"),
         F.lit("SHA-256").alias("hash_algorithm"),
     )
+    return facts.join(file_hashes(files), "path").select("path", "mimetype", "format", "size", "hash", "hash_algorithm")
 
 
-def open_stream(path: str):
-    """Binary stream of a path on any file system Arrow knows."""
+def file_hashes(files: DataFrame) -> DataFrame:
+    """``(path, hash)``: SHA-256 over the stream of each file, a chunk in memory at a time."""
+
+    def digest(path: str) -> str:
+        import hashlib
+
+        found = hashlib.sha256()
+        with open_stream(path) as stream:
+            while chunk := stream.read(CHUNK_BYTES):
+                found.update(chunk)
+        return found.hexdigest()
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "hash": [digest(p) for p in batch["path"]]}, dtype=object)
+
+    return over_paths(files).mapInPandas(read, "path string, hash string")
+
+
+def over_paths(files: DataFrame) -> DataFrame:
+    """The paths, spread over the tasks."""
+    width = max(1, files.sparkSession.sparkContext.defaultParallelism)
+    return files.select("path").repartition(width, "path")
+
+
+def located(path: str):
+    """File system and inner path of any place Arrow knows."""
     import re
 
     from pyarrow import fs
 
     uri = re.sub(r"^file:/+", "file:///", path)
     uri = re.sub(r"^s3[an]://", "s3://", uri)
-    system, inner = fs.FileSystem.from_uri(uri if ":" in uri else "file://" + uri)
+    return fs.FileSystem.from_uri(uri if ":" in uri else "file://" + uri)
+
+
+def open_stream(path: str):
+    """Binary stream of a path."""
+    system, inner = located(path)
     return system.open_input_stream(inner)
 
 
+def open_at(path: str):
+    """Binary file of a path that can be read from any place."""
+    system, inner = located(path)
+    return system.open_input_file(inner)
+
+
 def file_heads(files: DataFrame) -> DataFrame:
     """``(path, head, lines)``: the first bytes and the first complete lines.
 
@@ -144,6 +181,4 @@ def file_heads(files: DataFrame) -> DataFrame:
                 rows.append((path, head, b"\n".join(data.split(b"\n")[:HEAD_LINES])))
             yield pd.DataFrame(rows, columns=["path", "head", "lines"])
 
-    spark = files.sparkSession
-    width = max(1, spark.sparkContext.defaultParallelism)
-    return files.select("path").repartition(width, "path").mapInPandas(read, "path string, head binary, lines binary")
+    return over_paths(files).mapInPandas(read, "path string, head binary, lines binary")

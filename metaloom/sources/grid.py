@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import bind, strip
+from ..functions.text import last_wins, strip
 
 PREVIEW_ROWS = 10
 
@@ -46,11 +46,4 @@ def grid_records(grid: DataFrame) -> DataFrame:
         lambda n, c: F.struct(n.alias("key"), strip(c).alias("value")),
     )
     kept = F.filter(pairs, lambda p: (F.coalesce(F.length(p["value"]), F.lit(0)) > 0) & ~p["value"].isin(EMPTY_CELLS))
-
-    def last_wins(cells: Column) -> Column:
-        return F.filter(
-            cells, lambda p, i: ~F.exists(F.slice(cells, i + 2, F.size(cells)), lambda q: q["key"] == p["key"])
-        )
-
-    fields = F.map_from_entries(bind(kept, last_wins))
-    return rows.select("sheet", "row_no", fields.alias("fields")).where(F.size("fields") > 0)
+    return rows.select("sheet", "row_no", last_wins(kept).alias("fields")).where(F.size("fields") > 0)

@@ -6,16 +6,25 @@ row: a fold over the levels scores every list and object, the best one is opened
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import bind
-from ..operators.shape import VARIANT_MAP, flatten_entries, flatten_object, variant_text
-from .files import file_heads, first_file, reader
+from ..session import written
+from ..operators.shape import VARIANT_MAP, as_map, flatten_entries, flatten_object, nesting, variant_text
+from .files import file_heads, list_files, reader
+from .json_stream import read_documents, read_items
 
-SEARCH_DEPTH = 8
 SNIFF_CHARS = 1024
 
 
+def lenient(df: DataFrame) -> DataFrame:
+    """The rows, in a session whose parser keeps the last of repeated keys."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return df
+
+
 def without_bom(c: Column) -> Column:
     return F.regexp_replace(c, "^﻿", "")
 
@@ -39,23 +48,33 @@ def as_fields(v: Column) -> Column:
     return F.try_variant_get(v, "$", VARIANT_MAP)
 
 
-def item_record(item: Column) -> Column:
+def item_record(item: Column, raw: Column | None = None) -> Column:
     """Flat fields of a list item; a scalar becomes ``{"value": text}``."""
     plain = F.create_map(F.lit("value"), F.coalesce(variant_text(item), F.lit("None")))
-    return F.coalesce(flatten_object(item), plain)
+    return F.coalesce(flatten_object(item, raw), plain)
 
 
 def array_records(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, fields)`` of root arrays, every item kept."""
-    items = docs.select(key, F.explode(as_items(F.try_parse_json(without_bom(F.col(text))))).alias("item"))
-    return items.select(key, item_record(F.col("item")).alias("fields"))
+    """``(key, fields)`` of root arrays in cells, every item kept."""
+    raw = without_bom(F.col(text))
+    items = lenient(docs).select(key, F.try_parse_json(raw).alias("doc"), raw.alias("raw"))
+    members = F.arrays_zip(as_items(F.col("doc")).alias("item"), raw_items(F.col("doc"), F.col("raw")).alias("raw"))
+    return items.select(key, F.inline(members)).select(key, item_record(F.col("item"), F.col("raw")).alias("fields"))
+
+
+def raw_items(doc: Column, raw: Column) -> Column:
+    """Texts of the items of a list, where their written order can matter; else nulls."""
+    needed = F.schema_of_variant(doc).rlike(r"ARRAY<OBJECT<.*ARRAY<OBJECT<") | F.schema_of_variant(doc).rlike(r"ARRAY<VARIANT>")
+    nothing = F.transform(as_items(doc), lambda i: F.lit(None).cast("string"))
+    return F.when(needed, F.from_json(raw, "array<string>")).otherwise(nothing)
 
 
 def line_records(lines: DataFrame, key: str | None = None, text: str = "value") -> DataFrame:
     """Objects of line-delimited JSON; blank, broken and non-object lines are skipped."""
     keep = [key] if key else []
-    parsed = lines.select(*keep, F.try_parse_json(without_bom(F.col(text))).alias("v"))
-    return parsed.where(as_fields(F.col("v")).isNotNull()).select(*keep, flatten_object(F.col("v")).alias("fields"))
+    raw = without_bom(F.col(text))
+    parsed = lenient(lines).select(*keep, F.try_parse_json(raw).alias("v"), raw.alias("raw"))
+    return parsed.where(as_fields(F.col("v")).isNotNull()).select(*keep, flatten_object(F.col("v"), F.col("raw")).alias("fields"))
 
 
 # ── search for the record set ────────────────────────────────────────────────
@@ -155,8 +174,8 @@ FOUND = f"array<struct<path:{PATH},place:string,kind:string,score:double>>"
 FRONTIER = f"array<struct<v:variant,raw:string,path:{PATH}>>"
 
 
-def search(v: Column, raw: Column, depth: int = SEARCH_DEPTH, skip_numeric: bool = False) -> Column:
-    """Every record set of a document down to ``depth``, found inside its row.
+def search(v: Column, raw: Column, depth: int | None = None, skip_numeric: bool = False) -> Column:
+    """Every record set of a document (down to ``depth``, if given), found inside its row.
 
     A fold over the levels carries the containers of one level and the record sets
     met so far, so a document is walked once and nothing is shuffled. ``place`` is
@@ -196,16 +215,17 @@ def search(v: Column, raw: Column, depth: int = SEARCH_DEPTH, skip_numeric: bool
         F.when(is_container(v), F.array(root)).otherwise(F.array()).cast(FRONTIER).alias("frontier"),
         F.array().cast(FOUND).alias("found"),
     )
-    return F.aggregate(F.sequence(F.lit(0), F.lit(depth)), start, level)["found"]
+    levels = F.lit(depth) if depth is not None else nesting(v)
+    return F.aggregate(F.sequence(F.lit(0), levels), start, level)["found"]
 
 
 def parsed(docs: DataFrame, key: str, text: str) -> DataFrame:
     clean = without_bom(F.col(text))
-    return docs.select(key, F.try_parse_json(clean).alias("v"), clean.alias("raw"))
+    return lenient(docs).select(key, F.try_parse_json(clean).alias("v"), clean.alias("raw"))
 
 
 def candidates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = SEARCH_DEPTH, skip_numeric: bool = False
+    docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int | None = None, skip_numeric: bool = False
 ) -> DataFrame:
     """``(key, path, place, kind, score)`` of every record set of each document."""
     rows = parsed(docs, key, text)
@@ -265,6 +285,7 @@ def header_names(parent: Column, parent_raw: Column, own_key: Column, width: Col
 
 def list_rows(node: Column, headers: Column) -> Column:
     """Rows of a list of lists as objects; cells beyond the header are numbered."""
+    depth = nesting(node)
 
     def row(r: Column) -> Column:
         cells = as_items(r)
@@ -275,7 +296,7 @@ def list_rows(node: Column, headers: Column) -> Column:
                 c.alias("value"),
             ),
         )
-        return F.map_from_entries(flatten_entries(named))
+        return as_map(flatten_entries(named, depth))
 
     return F.transform(as_items(node), row)
 
@@ -290,7 +311,7 @@ def keyed_rows(node: Column) -> Column:
 
 
 def unwrap(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = SEARCH_DEPTH, skip_numeric: bool = False
+    docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int | None = None, skip_numeric: bool = False
 ) -> DataFrame:
     """``(key, fields)`` records of wrapped documents, in one pass without a shuffle.
 
@@ -304,15 +325,16 @@ def unwrap(
         key, F.col("best.kind").alias("kind"), F.try_element_at(path, F.lit(-1))["key"].alias("own"),
         node_at(F.col("v"), path).alias("node"), node_at(F.col("v"), up).alias("parent"),
         F.when(F.col("best.kind") == "lists", raw_at(F.col("raw"), up)).alias("parent_raw"),
+        F.when(F.col("best.kind") == "objects", raw_items(node_at(F.col("v"), path), raw_at(F.col("raw"), path))).alias("raws"), "raw",
     )
     node = F.col("node")
     width = F.size(as_items(as_items(node)[0]))
     headers = header_names(F.col("parent"), F.col("parent_raw"), F.col("own"), width)
     records = (
-        F.when(F.col("kind") == "objects", F.transform(as_items(node), lambda x: flatten_object(x)))
+        F.when(F.col("kind") == "objects", F.transform(F.arrays_zip(as_items(node).alias("x"), F.col("raws").alias("raw")), lambda m: flatten_object(m["x"], m["raw"])))
         .when(F.col("kind") == "keyed", keyed_rows(node))
         .when(F.col("kind") == "lists", bind(headers, lambda names: list_rows(node, names)))
-        .otherwise(F.array(flatten_object(node)))
+        .otherwise(F.array(flatten_object(node, F.col("raw"))))
     )
     return located.select(key, F.explode(records).alias("fields"))
 
@@ -330,17 +352,38 @@ def document_records(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
 @reader("json")
 def read_json(spark: SparkSession, path: str, **options) -> DataFrame:
-    """``(path, fields)`` records of one JSON dataset.
+    """``(path, position, fields, error)`` records of one JSON dataset, a file or a folder.
 
-    Line-delimited files are split over tasks; other layouts are one text each.
+    Every file is read by its own layout. Line-delimited files are split over tasks
+    and skip lines that hold no object; arrays are streamed item by item, so neither
+    their size nor a broken end costs the items before it. What cannot be read is a
+    row with an error and without fields.
     """
-    head = file_heads(spark.createDataFrame([(first_file(spark, path),)], "path string"))
-    layout = head.select(json_layout(F.make_valid_utf8(F.col("head").cast("string"))).alias("l")).first()["l"]
-    file = F.col("_metadata.file_path").alias("path")
-    if layout == "lines":
-        return line_records(spark.read.text(path).select(file, "value"), "path")
-    docs = spark.read.option("wholetext", True).text(path).select(file, F.col("value").alias("text"))
-    return array_records(docs, "path") if layout == "array" else unwrap(docs, "path", **options)
+    files = list_files(spark, path)
+    layouts = file_heads(files).select("path", json_layout(F.make_valid_utf8(F.col("head").cast("string"))).alias("layout"))
+    layouts = written(layouts, "layouts")
+    kinds = {r["layout"] for r in layouts.select("layout").distinct().collect()}
+    nothing = F.lit(None)
+    parts = []
+    if "lines" in kinds:
+        place = path if kinds == {"lines"} else [r["path"] for r in layouts.where("layout = 'lines'").select("path").collect()]
+        lines = spark.read.text(place).select(F.col("_metadata.file_path").alias("path"), "value")
+        parts.append(line_records(lines, "path").select("path", nothing.cast("bigint").alias("position"), "fields", nothing.cast("string").alias("error")))
+    if "array" in kinds:
+        items = lenient(read_items(layouts.where("layout = 'array'"))).withColumn("doc", F.try_parse_json("item"))
+        error = F.coalesce("error", F.when(F.col("doc").isNull(), "the item is no JSON"))
+        fields = F.when(F.col("doc").isNotNull(), item_record(F.col("doc"), F.col("item")))
+        parts.append(items.select("path", "position", fields.alias("fields"), error.alias("error")))
+    if "object" in kinds:
+        docs = read_documents(layouts.where("layout = 'object'")).withColumnRenamed("item", "text")
+        broken = F.coalesce("error", F.when(F.try_parse_json(without_bom(F.col("text"))).isNull(), "the document is no JSON"))
+        docs = lenient(docs).withColumn("error", broken)
+        good = unwrap(docs.where("error is null").select("path", "text"), "path", **options)
+        parts.append(good.select("path", nothing.cast("bigint").alias("position"), "fields", nothing.cast("string").alias("error")))
+        parts.append(docs.where("error is not null").select("path", "position", nothing.cast("map<string,string>").alias("fields"), "error"))
+    if not parts:
+        return spark.createDataFrame([], "path string, position bigint, fields map<string,string>, error string")
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def import_payload(text: Column) -> Column:

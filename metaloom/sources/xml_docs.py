@@ -7,37 +7,58 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .files import first_file, open_stream, reader
+from ..functions.dsl import quoted
+from ..functions.text import bind
+from ..session import written
+from .files import list_files, open_stream, over_paths, reader
 
 CHILDREN_SEEN = 5
 OWN_TEXT = "_text"
+# Mark of attributes while they are read; no element name can hold it.
+ATTRIBUTE = "@"
 
 
 def record_tags(files: DataFrame) -> DataFrame:
     """``(path, tag)``: the most frequent direct child of the root, first among equals.
 
-    Decided once five children were seen, so only the beginning of a file is read;
-    paths are spread over the tasks.
+    Decided once five children were seen, so only the beginning of a file is read, in
+    pieces that are forgotten; paths are spread over the tasks. A file that declares
+    entities is not read on.
     """
 
     def tag_of(path: str) -> str | None:
-        from xml.etree import ElementTree
+        from xml.parsers import expat
 
         counts: dict[str, int] = {}
         depth = 0
+
+        class Enough(Exception):
+            pass
+
+        def start(name, _):
+            nonlocal depth
+            depth += 1
+            if depth == 2:
+                name = name.rpartition(":")[2]
+                counts[name] = counts.get(name, 0) + 1
+                if sum(counts.values()) >= CHILDREN_SEEN:
+                    raise Enough
+
+        def end(_):
+            nonlocal depth
+            depth -= 1
+
+        def entity(*_):
+            counts.clear()
+            raise Enough
+
+        parser = expat.ParserCreate()
+        parser.StartElementHandler, parser.EndElementHandler, parser.EntityDeclHandler = start, end, entity
         with open_stream(path) as stream:
             try:
-                for event, elem in ElementTree.iterparse(stream, events=("start", "end")):
-                    if event == "end":
-                        depth -= 1
-                        continue
-                    depth += 1
-                    if depth == 2:
-                        name = elem.tag.rpartition("}")[2]
-                        counts[name] = counts.get(name, 0) + 1
-                        if sum(counts.values()) >= CHILDREN_SEEN:
-                            break
-            except ElementTree.ParseError:
+                while data := stream.read(65536):
+                    parser.Parse(data, False)
+            except (Enough, expat.ExpatError):
                 pass
         return max(counts, key=counts.get) if counts else None
 
@@ -45,8 +66,7 @@ def record_tags(files: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"path": batch["path"], "tag": [tag_of(p) for p in batch["path"]]})
 
-    width = max(1, files.sparkSession.sparkContext.defaultParallelism)
-    return files.select("path").repartition(width, "path").mapInPandas(read, "path string, tag string")
+    return over_paths(files).mapInPandas(read, "path string, tag string")
 
 
 def tag_counts(docs: DataFrame, key: str, markup: str) -> DataFrame:
@@ -74,7 +94,7 @@ def entries(col: Column, dtype: T.DataType, key: Column) -> Column:
         return F.coalesce(F.flatten(F.transform(col, each)), F.array().cast(pair))
     if isinstance(dtype, T.StructType):
         others = [f for f in dtype.fields if f.name != OWN_TEXT]
-        parts = [entries(col[f.name], f.dataType, F.concat(key, F.lit("." + f.name))) for f in others]
+        parts = [entries(col[f.name], f.dataType, F.concat(key, F.lit("." + f.name.removeprefix(ATTRIBUTE)))) for f in others]
         if OWN_TEXT in dtype.names:
             alone = F.forall(F.array(*[col[f.name].isNull() for f in others]), lambda b: b) if others else F.lit(True)
             name = F.when(alone, key).otherwise(F.concat(key, F.lit("." + OWN_TEXT)))
@@ -84,22 +104,49 @@ def entries(col: Column, dtype: T.DataType, key: Column) -> Column:
     return F.when(col.isNotNull(), one).otherwise(F.array().cast(pair)).cast(pair)
 
 
+def free_names(pairs: Column) -> Column:
+    """The pairs with the next free ``_1``, ``_2``, … after names that are taken."""
+
+    def named(done: Column, p: Column) -> Column:
+        taken = F.transform(done, lambda d: d["key"])
+        tries = F.transform(F.sequence(F.lit(1), F.size(done) + 1), lambda i: F.concat(p["key"], F.lit("_"), i.cast("string")))
+        free = F.when(F.array_contains(taken, p["key"]), F.filter(tries, lambda t: ~F.array_contains(taken, t))[0]).otherwise(p["key"])
+        return F.concat(done, F.array(F.struct(free.alias("key"), p["value"].alias("value"))))
+
+    def build(p: Column) -> Column:
+        plain = F.size(F.array_distinct(F.transform(p, lambda e: e["key"]))) == F.size(p)
+        empty = F.array().cast("array<struct<key:string,value:string>>")
+        return F.when(plain, p).otherwise(F.aggregate(p, empty, named))
+
+    return bind(pairs, build)
+
+
 def flatten_rows(rows: DataFrame) -> DataFrame:
     """One ``fields`` map per XML record; records without any cell are dropped."""
-    parts = [entries(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name)) for f in rows.schema.fields]
-    return rows.select(F.map_from_entries(F.concat(*parts)).alias("fields")).where(F.size("fields") > 0)
+    parts = [entries(F.col(quoted(f.name)), f.dataType, F.lit(f.name.removeprefix(ATTRIBUTE))) for f in rows.schema.fields]
+    return rows.select(F.map_from_entries(free_names(F.concat(*parts))).alias("fields")).where(F.size("fields") > 0)
 
 
 @reader("xml")
 def read_xml(spark: SparkSession, path: str, tag: str | None = None, **options) -> DataFrame:
-    """``fields`` records of the elements with the record tag, namespaces ignored."""
-    if tag is None:
-        tag = record_tags(spark.createDataFrame([(first_file(spark, path),)], "path string")).first()["tag"]
+    """``fields`` records of the elements with the record tag, namespaces ignored.
+
+    Every file of a folder has its own tag; files that share one are one scan.
+    Attributes are read under a mark, so they may bear the name of a child.
+    """
+    groups: list[tuple[str, str | list[str]]] = [(tag, path)] if tag else []
     if tag is None:
-        return spark.createDataFrame([], "fields map<string,string>")
-    rows = (
-        spark.read.format("xml")
-        .options(rowTag=tag, ignoreNamespace=True, attributePrefix="", valueTag=OWN_TEXT, inferSchema=False)
-        .load(path)
-    )
-    return flatten_rows(rows)
+        tags = written(record_tags(list_files(spark, path)).where("tag is not null"), "tags")
+        names = [r["tag"] for r in tags.select("tag").distinct().orderBy("tag").collect()]
+        groups = [(n, path if len(names) == 1 else [r["path"] for r in tags.where(F.col("tag") == n).select("path").collect()]) for n in names]
+    out = None
+    for name, place in groups:
+        rows = (
+            spark.read.format("xml")
+            .options(rowTag=name, ignoreNamespace=True, attributePrefix=ATTRIBUTE, valueTag=OWN_TEXT, inferSchema=False)
+            .load(place)
+        )
+        if rows.columns:
+            part = flatten_rows(rows)
+            out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], "fields map<string,string>")

@@ -2,14 +2,16 @@
 
 The state of every operator is bounded per dataset: aggregates, a sample of fixed
 size, or the current value of each field. All queries take a checkpoint folder, so
-a lost executor or driver resumes where the last batch ended.
+a lost executor or driver resumes where the last batch ended. State is the engine's own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.sampling import SAMPLE_SIZE, uniform_sample
+from ..operators.sampling import SAMPLE_SIZE, sample_hash
 from ..operators.usage import DAY_LIMIT, SESSION_LIMIT
 
 
@@ -47,74 +49,69 @@ def over_day_limit(budgets: DataFrame, day_limit: int = DAY_LIMIT) -> DataFrame:
     return budgets.groupBy("day").agg(F.sum("tokens").alias("tokens")).withColumn("exceeded", F.col("tokens") >= day_limit)
 
 
-def merged_sample(state: DataFrame | None, batch: DataFrame, by: list[str], keys: list[str], k: int = SAMPLE_SIZE, seed: str = "0") -> DataFrame:
-    """Sample after one more micro-batch: the best ``k`` of the old sample and the batch.
-
-    Every task cuts its part of the batch to ``k`` rows per dataset before anything
-    is shuffled, so a dataset that fills the stream is no hot key, and the result is
-    the sample of all rows seen so far.
-    """
-    fresh = uniform_sample(batch, keys, by, k, seed)
-    return fresh if state is None else uniform_sample(state.unionByName(fresh), keys, by, k, seed)
+#: Parts a group's rows are dealt to, so that a dataset that fills the stream is no hot key.
+SAMPLE_SALTS = 16
 
 
-class FoldedTable:
-    """A table folder that a stream keeps up to date through ``foreachBatch``.
+def running_sample(stream: DataFrame, by: list[str], keys: list[str], k: int = SAMPLE_SIZE, seed: str = "0") -> DataFrame:
+    """Updates of the sample of all rows seen so far, kept in the engine's state store.
 
-    Each batch writes a new version next to the last one and the state names the
-    version by batch number, so a repeated batch overwrites its own version only.
+    The state of a (dataset, salt) is its ``k`` rows of smallest digest; an update
+    gives them all. :func:`sample_of` makes the sample of them.
     """
+    held = f"struct<{', '.join(f'`{c}`:{stream.schema[c].dataType.simpleString()}' for c in keys)}>"
+    rows = stream.select(*by, sample_hash(keys, seed).alias("_h"), F.to_json(F.struct(*keys)).alias("_row"))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_h"), F.lit(SAMPLE_SALTS)).cast("int"))
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-
-    def version(self, n: int) -> str:
-        return f"{self.root}/v{n:012d}"
-
-    def latest(self, before: int | None = None) -> int | None:
-        """Highest finished version, below ``before`` when given."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return None
-        found = [s.getPath() for s in fs.listStatus(hadoop)]
-        done = [int(p.getName()[1:]) for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        done = [n for n in done if before is None or n < before]
-        return max(done) if done else None
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        n = self.latest(before)
-        return None if n is None else self.spark.read.parquet(self.version(n))
-
-    def forget(self, n: int) -> None:
-        """Drop a version that neither a reader nor a repeated batch needs any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.version(n))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def update(key, batches, state):
+        best = list(zip(*state.get)) if state.exists else []
+        for batch in batches:
+            best = sorted(set(best) | set(zip(batch["_h"], batch["_row"])))[:k]
+        state.update(([h for h, _ in best], [r for _, r in best]))
+        yield pd.DataFrame([(*key, h, r) for h, r in best], columns=[*by, "_salt", "_h", "_row"])
 
-    def fold(self, merge):
-        """``foreachBatch`` function: new state = merge(old state or None, batch)."""
+    shape = T.StructType([*[stream.schema[c] for c in by], T.StructField("_salt", T.IntegerType())])
+    shape = shape.add("_h", T.StringType()).add("_row", T.StringType())
+    state = T.StructType().add("h", T.ArrayType(T.StringType())).add("row", T.ArrayType(T.StringType()))
+    found = rows.groupBy(*by, "_salt").applyInPandasWithState(update, shape, state, "update", GroupStateTimeout.NoTimeout)
+    return found.withColumn("_key", F.from_json("_row", held)).select(*by, "_salt", "_h", *[F.col("_key")[c].alias(c) for c in keys])
 
-        def run(batch: DataFrame, n: int) -> None:
-            merge(self.read(before=n), batch).write.mode("overwrite").parquet(self.version(n))
-            self.forget(n - 2)
 
-        return run
+def sample_of(updates: DataFrame, by: list[str], keys: list[str], k: int = SAMPLE_SIZE) -> DataFrame:
+    """The sample from the last update of each (dataset, salt)."""
+    rows = newest(updates, [*by, "_salt"])
+    w = Window.partitionBy(*by).orderBy("_h", *keys)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).select(*by, *keys)
 
 
-def merge_changes(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Reduced change log after one more batch.
+def running_fields(stream: DataFrame) -> DataFrame:
+    """Updates of the last effective value of each (dataset, field, subfield).
 
-    Keeps the last effective row per (dataset, field, subfield): folding the reduced
-    log gives the same record as folding the whole one.
+    A plain running aggregation: folding its rows gives the same record as folding
+    the whole log, and the cost of a batch follows the batch.
     """
-    log = batch if state is None else state.unionByName(batch)
     effective = F.col("subfield").isNotNull() | F.col("value").isNotNull()
     rank = F.struct(effective.alias("e"), F.col("seq"))
-    return log.groupBy("dataset_id", "field", "subfield").agg(
+    return stream.groupBy("dataset_id", "field", "subfield").agg(
         F.max_by("value", rank).alias("value"), F.max_by("seq", rank).alias("seq")
     )
 
 
+def newest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Of an update log with a ``batch`` column, the rows of each key's last batch."""
+    last = F.max("batch").over(Window.partitionBy(*keys))
+    return updates.withColumn("_last", last).where("batch = _last").drop("_last", "batch")
+
+
+def append_updates(path: str):
+    """``foreachBatch`` function: each batch has its own folder, so a repeated one replaces itself."""
+
+    def run(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return run
+
+
 def drain(query_writer, checkpoint: str):
     """Run a stream over everything available now and wait for it."""
     query = query_writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaloom.llm import benchmark, near, packing, quality_model, templates
-from metaloom.llm.components import written
+from metaloom.session import written
 from metaloom.llm.tables import quoted
 
 

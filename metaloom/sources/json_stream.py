@@ -24,15 +24,12 @@ class Text:
         self.stream, self.chunk, self.buffer, self.at, self.done = stream, chunk, "", 0, False
         self.decoder = codecs.getincrementaldecoder("utf-8-sig")(errors="replace")
 
-    def more(self) -> bool:
+    def more(self) -> None:
         """Read on; as much again as is waiting, so that a long item is not scanned too often."""
-        if self.done:
-            return False
         data = self.stream.read(max(self.chunk, len(self.buffer) - self.at))
         self.done = not data
         self.buffer = self.buffer[self.at :] + self.decoder.decode(data, final=self.done)
         self.at = 0
-        return not self.done
 
     def skip(self, marks: str) -> str:
         """The next character that is not in ``marks``, '' at the end."""
@@ -41,8 +38,9 @@ class Text:
                 if self.buffer[self.at] not in marks:
                     return self.buffer[self.at]
                 self.at += 1
-            if not self.more():
+            if self.done:
                 return ""
+            self.more()
 
 
 def array_items(stream, chunk: int = CHUNK_BYTES) -> Iterator[tuple[int, str | None, str | None]]:
@@ -63,13 +61,14 @@ def array_items(stream, chunk: int = CHUNK_BYTES) -> Iterator[tuple[int, str | N
         while True:
             try:
                 end = decode(text.buffer, text.at)[1]
-                # a number at the end of what was read may go on
-                if end < len(text.buffer) or not text.more():
+                # a number at the end of what was read may go on, also behind its point
+                if text.done or text.buffer[end : end + 4].strip("+-.eE0123456789"):
                     break
             except (json.JSONDecodeError, RecursionError) as broken:
-                if not text.more():
+                if text.done:
                     yield position, None, f"broken item: {getattr(broken, 'msg', 'too deep')}"
                     return
+            text.more()
         yield position, text.buffer[text.at : end], None
         text.at, position = end, position + 1
         mark = text.skip(blank)

@@ -96,6 +96,8 @@ LABELLED = """
 6 0 3 1 2 1 0 0 0 0 0
 5 0 4 0.5 4 0.5 0 0 0 0 0
 4 0 0 0 0 0 0 0 0 0 0
+21 0 0 0 0 0 0 0 0 0 1
+30 0 3 1 0 0 0 0 0 0 1
 50 0 40 0 30 0 1 0 0 0 0
 9 0 60 0 0 0 1 0 0 0 0
 2 1 2 1 3 1 1 0 0 0 0
@@ -144,8 +146,20 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 7) -> Tree:
     return Tree(tree.label, best[1], best[2], grow(x[below], y[below], depth - 1), grow(x[~below], y[~below], depth - 1))
 
 
-def default_tree() -> Tree:
+#: Containers that decide whatever the block looks like: (furniture, article, page has an article), label.
+CONTAINERS = [((1, 0, 0), 0), ((1, 0, 1), 0), ((1, 1, 1), 0), ((0, 1, 1), 1), ((0, 0, 1), 0)]
+
+
+def labelled_rows() -> np.ndarray:
+    """The labelled table, with every shape of block it knows in each of the deciding containers."""
     rows = np.array([[float(v) for v in line.split()] for line in LABELLED.split("\n") if line.strip()])
+    shapes = np.unique(rows[:, :6], axis=0)
+    inside = [[*shape, *container, heading, label] for shape in shapes for container, label in CONTAINERS for heading in (0, 1)]
+    return np.vstack([rows, np.array(inside, float)])
+
+
+def default_tree() -> Tree:
+    rows = labelled_rows()
     return grow(rows[:, :-1], rows[:, -1])
 
 

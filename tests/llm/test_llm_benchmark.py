@@ -46,7 +46,7 @@ def test_automaton_finds_every_window(seed):
     expected = {}
     for name, item in items:
         size = min(window, len(item))
-        for at in range(size - 1, len(text) if size else 0):
+        for at in range(size - 1, len(text)) if size else ():
             run = text[at - size + 1 : at + 1]
             if any(item[k : k + size] == run for k in range(len(item) - size + 1)):
                 expected.setdefault((at, size), set()).add(name)

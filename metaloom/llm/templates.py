@@ -25,19 +25,16 @@ _DIGIT = byte_class((0x30, 0x39))
 
 
 def line_templates(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every line with tokens: row, line number, tokens, template; and a context hash per row.
+    """For every line with tokens: row, line number, tokens, template, context.
 
-    The context is the least hash of the row's three-word runs: documents that are
-    copies of each other mostly share it, others do not.
+    The context of a line is the least hash of the three-word runs in the other lines of
+    its document: documents that are copies of each other mostly share it, others do
+    not, and what the line itself says plays no part.
     """
     starts, ends, row = words(block)
-    context = np.full(block.rows, np.uint64(2**64 - 1))
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), context)
-    token = span_hash(block.data, starts, ends)
-    run = np.flatnonzero(row[2:] == row[:-2]) if len(row) > 2 else np.zeros(0, np.int64)
-    if len(run):
-        np.minimum.at(context, row[run], chain([token[run], token[run + 1], token[run + 2]]))
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    token = plain = span_hash(block.data, starts, ends)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[block.data])])
     token = np.where(digits[ends] > digits[starts], np.uint64(1), token)
     breaks = np.concatenate([[0], np.cumsum(block.data == 10)])
@@ -49,7 +46,27 @@ def line_templates(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     part = mix(token + mix(place.astype(np.uint64) * np.uint64(2) + np.uint64(3)))
     part = np.where(place < np.repeat(constant, size), part, np.uint64(0))
     key = mix(np.add.reduceat(part, opens) + mix(size.astype(np.uint64)))
-    return row[opens], line[opens], size, key, context
+    return row[opens], line[opens], size, key, _contexts(plain, row[opens], opens, size, block.rows)
+
+
+def _contexts(token: np.ndarray, row: np.ndarray, opens: np.ndarray, size: np.ndarray, rows: int) -> np.ndarray:
+    """Per line the least run hash of its document's other lines (all ones where there is none)."""
+    none = np.uint64(2**64 - 1)
+    least = np.full(len(opens), none)
+    owner = np.repeat(np.arange(len(opens)), size)
+    run = np.flatnonzero(owner[2:] == owner[:-2]) if len(owner) > 2 else np.zeros(0, np.int64)
+    if len(run):
+        np.minimum.at(least, owner[run], chain([token[run], token[run + 1], token[run + 2]]))
+    order = np.lexsort((least, row))
+    first = order[np.searchsorted(row[order], np.arange(rows))[np.unique(row)]]  # of each document with lines
+    best, second = np.full(rows, none), np.full(rows, none)
+    best[row[first]] = least[first]
+    others = np.ones(len(opens), bool)
+    others[first] = False
+    np.minimum.at(second, row[others], least[others])
+    mine = np.zeros(len(opens), bool)
+    mine[first] = True
+    return np.where(mine, second[row], best[row])
 
 
 def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -61,11 +78,14 @@ def _emit(batches):
         for block in blocks(batch.column(1)):
             row, _, size, key, context = line_templates(block)
             long_ = size >= MIN_TOKENS
-            pairs = np.unique(np.stack([row[long_].astype(np.uint64), key[long_]], 1), axis=0) if long_.any() else np.zeros((0, 2), np.uint64)
+            row, key, context = row[long_], key[long_], context[long_]
+            order = np.lexsort((key, row))  # a template counts once in a document, with its first line's context
+            row, key, context = row[order], key[order], context[order]
+            new = np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])[: len(row)]
+            n = counts_of(row[new], block.rows)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(block.first, block.rows), pa.array(context.view(np.int64)),
-                _lists(pairs[:, 1].copy().view(np.int64), counts_of(pairs[:, 0].astype(np.int64), block.rows)),
-            ], ["at", "context", "templates"])
+                batch.column(0).slice(block.first, block.rows), _lists(context[new].view(np.int64), n), _lists(key[new].view(np.int64), n),
+            ], ["at", "contexts", "templates"])
 
 
 def _drop(batches, max_share):
@@ -112,9 +132,9 @@ def drop_recurring_lines(
     """
     at = F.xxhash64("doc_id")
     found = docs.select(at.alias("at"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _emit, "at long, context long, templates array<long>"
+        _emit, "at long, contexts array<long>, templates array<long>"
     )
-    lines = found.select("at", "context", F.explode("templates").alias("template"))
+    lines = found.select("at", F.inline(F.arrays_zip(F.col("contexts").alias("context"), F.col("templates").alias("template"))))
     recurring = (
         lines.groupBy("template", "context").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("template").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("contexts"))

@@ -27,9 +27,9 @@ _DIGIT = byte_class((0x30, 0x39))
 def line_templates(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For every line with tokens: row, line number, tokens, template, context.
 
-    The context of a line is the least hash of the three-word runs in the other lines of
-    its document: documents that are copies of each other mostly share it, others do
-    not, and what the line itself says plays no part.
+    The context of a line is the least of the three-word runs in the other lines of its
+    document, under two hashes: documents that are copies of each other mostly share
+    it, others do not, and what the line itself says plays no part.
     """
     starts, ends, row = words(block)
     if not len(starts):
@@ -46,25 +46,26 @@ def line_templates(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     part = mix(token + mix(place.astype(np.uint64) * np.uint64(2) + np.uint64(3)))
     part = np.where(place < np.repeat(constant, size), part, np.uint64(0))
     key = mix(np.add.reduceat(part, opens) + mix(size.astype(np.uint64)))
-    return row[opens], line[opens], size, key, _contexts(plain, row[opens], opens, size, block.rows)
+    owner = np.repeat(np.arange(len(opens)), size)
+    run = np.flatnonzero(owner[2:] == owner[:-2]) if len(owner) > 2 else np.zeros(0, np.int64)
+    runs = chain([plain[run], plain[run + 1], plain[run + 2]]) if len(run) else np.zeros(0, np.uint64)
+    sides = [_contexts(mix(runs + np.uint64(seed)), owner[run], row[opens], block.rows) for seed in (1, 2)]
+    return row[opens], line[opens], size, key, chain(sides)
 
 
-def _contexts(token: np.ndarray, row: np.ndarray, opens: np.ndarray, size: np.ndarray, rows: int) -> np.ndarray:
-    """Per line the least run hash of its document's other lines (all ones where there is none)."""
+def _contexts(runs: np.ndarray, owner: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Per line the least of the runs that its document's other lines own (all ones where there is none)."""
     none = np.uint64(2**64 - 1)
-    least = np.full(len(opens), none)
-    owner = np.repeat(np.arange(len(opens)), size)
-    run = np.flatnonzero(owner[2:] == owner[:-2]) if len(owner) > 2 else np.zeros(0, np.int64)
-    if len(run):
-        np.minimum.at(least, owner[run], chain([token[run], token[run + 1], token[run + 2]]))
+    least = np.full(len(row), none)
+    np.minimum.at(least, owner, runs)
     order = np.lexsort((least, row))
     first = order[np.searchsorted(row[order], np.arange(rows))[np.unique(row)]]  # of each document with lines
     best, second = np.full(rows, none), np.full(rows, none)
     best[row[first]] = least[first]
-    others = np.ones(len(opens), bool)
+    others = np.ones(len(row), bool)
     others[first] = False
     np.minimum.at(second, row[others], least[others])
-    mine = np.zeros(len(opens), bool)
+    mine = np.zeros(len(row), bool)
     mine[first] = True
     return np.where(mine, second[row], best[row])
 

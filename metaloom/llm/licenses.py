@@ -94,7 +94,8 @@ def license_scan(
     base = F.regexp_extract("file", r"[^/]*$", 0)
     dirs = own.where(base.rlike(license_files)).groupBy(folder.alias("dir")).agg(F.array_join(F.sort_array(F.collect_set("own_license")), " AND ").alias("inherited"))
     parts = F.split("home", "/")
-    climb = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    below = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    climb = F.concat(F.array(F.lit("")), below)  # the root has no name
     # directories are far fewer than files: each is matched with its ancestors once
     homes = rows.where("file is not null").select(folder.alias("home")).distinct()
     climbed = homes.select("home", F.posexplode(climb).alias("depth", "dir"))

@@ -71,11 +71,6 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def first_file(spark: SparkSession, path: str) -> str:
-    """The file itself, or the first data file of a dataset folder."""
-    return list_files(spark, path).agg(F.min("path")).first()[0]
-
-
 def discover(files: DataFrame, root: str) -> DataFrame:
     """Datasets of a lake: one row per supported file or ``.parquet`` directory.
 

@@ -299,7 +299,9 @@ def v3_answer_errors(t):
         F.struct(F.lit("region").alias("feature"), F.when(key % 2 == 0, '["AS').otherwise('["ASIA"]').alias("raw")),
     )))
     registry = t.spark.createDataFrame([("theme", "http://t", True), ("region", "http://r", True)], "feature string, base_url string, multiple boolean")
-    vocab = t.region.select(F.lit("region").alias("feature"), F.col("r_name").alias("code"))
+    vocab = t.region.select(F.lit("region").alias("feature"), F.col("r_name").alias("code")).unionByName(
+        t.nation.select(F.lit("nation").alias("feature"), F.col("n_name").alias("code"))
+    )
     index = t.region.select(F.col("r_name").alias("feature"))
     asked = t.customer.select(key.alias("dataset_id"), F.lit("place").alias("feature"))
     return N.code_errors(N.match_codes(answers, registry, vocab)).unionByName(N.missing_tables(asked, index))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .texts import blocks
-from .tokens import Encoder, default_path
+from .tokens import default_path, shared_encoder
 
 STEP = 32
 PART = 4_000_000
@@ -35,7 +35,7 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def _tokenise(batches, path, keep):
-    encoder = Encoder(path)
+    encoder = shared_encoder(path)
     for batch in batches:
         for block in blocks(batch.column(1)):
             n, sums, all_ids = [], [], []

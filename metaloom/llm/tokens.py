@@ -9,12 +9,16 @@ token strings, other scripts, control characters) is encoded whole by the librar
 from __future__ import annotations
 
 import os
+import sys
+import types
 
 import numpy as np
 
 from .texts import Block, byte_class, span_hash
 
 CACHE = 1_000_000
+#: Bits of the direct look-up in front of the cache: one place per word hash, the last word has it.
+PLACES = 20
 _BLANK, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
 _CLASS = np.full(256, _OTHER, np.int8)
 _CLASS[byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))] = _LETTER
@@ -29,23 +33,35 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def shared_encoder(path: str) -> Encoder:
+    """The encoder of this worker process: tasks that follow each other share its words."""
+    held = sys.modules.setdefault("_task_encoders", types.ModuleType("_task_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
         self.slot: dict[int, int] = {}
+        self.place_hash, self.place_slot = np.zeros(1 << PLACES, np.uint64), np.zeros(1 << PLACES, np.int64)
         self.start, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
 
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
         if len(self.slot) + len(texts) > CACHE:
             self._clear()
-        for h, found in zip(hashes, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-            ids, at = found.ids, len(self.slot)
+        for h, ids in zip(hashes, self._ids_of_words(texts)):
+            at = len(self.slot)
             if at >= len(self.start):
                 self.start, self.size = np.resize(self.start, 2 * at), np.resize(self.size, 2 * at)
             while self.used + len(ids) > len(self.flat):
@@ -55,6 +71,41 @@ class Encoder:
             self.used += len(ids)
             self.slot[h] = at
 
+    def _ids_of_words(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each word: many words are encoded as one text, every word ends in an id that closes it."""
+        out: list[np.ndarray] = []
+        for at in range(0, len(texts), 500):
+            some = texts[at : at + 500]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            stops = np.flatnonzero(self.closes[ids]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                out += np.split(ids, stops[:-1])
+            else:
+                out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+        return out
+
+    def _slots(self, hashes: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The cache slot of every word; words that are not known yet are encoded."""
+        place = (hashes >> np.uint64(64 - PLACES)).astype(np.int64)
+        slots = self.place_slot[place]
+        missed = np.flatnonzero(self.place_hash[place] != hashes)
+        if len(missed):
+            different, first, inverse = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            keys = different.tolist()
+            at = missed[first]
+            before = self.slot
+            new = [i for i, h in enumerate(keys) if h not in self.slot]
+            if new:
+                self._learn([keys[i] for i in new], [low[starts[at[i]] : ends[at[i]]].tobytes().decode() for i in new])
+            if self.slot is not before:  # the cache was emptied on the way: all words of the block anew
+                self.place_hash[:] = 0
+                return self._slots(hashes, low, starts, ends)
+            found = np.fromiter((self.slot[h] for h in keys), np.int64, len(keys))
+            slots[missed] = found[inverse]
+            where = (different >> np.uint64(64 - PLACES)).astype(np.int64)
+            self.place_hash[where], self.place_slot[where] = different, found
+        return slots
+
     def encode(self, block: Block) -> list[np.ndarray]:
         """The ids of every row of the block."""
         data, at = block.data, block.offsets
@@ -79,16 +130,7 @@ class Encoder:
         plain = ~strange[row]
         starts, ends, row = starts[plain], ends[plain], row[plain]
         if len(starts):
-            hashes, first, inverse = np.unique(span_hash(low, starts, ends, fold=False), return_index=True, return_inverse=True)
-            keys = hashes.tolist()
-            new = [i for i, h in enumerate(keys) if h not in self.slot]
-            if new:
-                before = self.slot
-                self._learn([keys[i] for i in new], [low[starts[first[i]] : ends[first[i]]].tobytes().decode() for i in new])
-                if self.slot is not before:
-                    rest = [i for i, h in enumerate(keys) if h not in self.slot]
-                    self._learn([keys[i] for i in rest], [low[starts[first[i]] : ends[first[i]]].tobytes().decode() for i in rest])
-            slots = np.fromiter((self.slot[h] for h in keys), np.int64, len(keys))[inverse]
+            slots = self._slots(span_hash(low, starts, ends, fold=False), low, starts, ends)
             size = self.size[slots]
             stop = np.cumsum(size)
             ids = self.flat[np.repeat(self.start[slots] - stop + size, size) + np.arange(stop[-1])]

@@ -290,7 +290,7 @@ def m7_escapes(t):
 @query("v3_answer_errors", """
     select c_custkey as dataset_id, 'theme: vocab JSON not found' as error from customer
     union all select c_custkey, 'region: LLM call failed — answer is no JSON list' from customer where c_custkey % 2 = 0
-    union all select c_custkey, 'place: no vector table — run build_vector_db.py' from customer""")
+    union all select c_custkey, 'place' || (c_custkey % 2)::varchar || ': no vector table — run build_vector_db.py' from customer""")
 def v3_answer_errors(t):
     """A vocabulary that is missing, a list that is broken, a feature without vectors."""
     key = F.col("c_custkey")
@@ -303,7 +303,7 @@ def v3_answer_errors(t):
         t.nation.select(F.lit("nation").alias("feature"), F.col("n_name").alias("code"))
     )
     index = t.region.select(F.col("r_name").alias("feature"))
-    asked = t.customer.select(key.alias("dataset_id"), F.lit("place").alias("feature"))
+    asked = t.customer.select(key.alias("dataset_id"), F.concat(F.lit("place"), key % 2).alias("feature"))
     return N.code_errors(N.match_codes(answers, registry, vocab)).unionByName(N.missing_tables(asked, index))
 
 

@@ -4,11 +4,13 @@ A line's tokens lead down a tree of fixed depth: token count, then the leading t
 which those with digits are variable. In a leaf, lines that agree up to their middle are
 one template; what follows are its variable fields, so two lines of a template agree on
 half of their positions at least. A template that recurs across unlike documents is
-boilerplate and its lines go.
+boilerplate and its lines go. Unlike are documents whose other lines have less than half
+of their three-word runs in common, so any number of copies and near copies counts once.
 """
 
 from __future__ import annotations
 
+import itertools
 from functools import partial
 
 import numpy as np
@@ -21,19 +23,17 @@ from .texts import Block, blocks, byte_class, chain, counts_of, mix, span_hash,
 
 DEPTH = 4
 MIN_TOKENS = 3
+BINS = 64
+#: Contexts that agree in this share of their bins are those of copies.
+ALIKE = 0.5
 _DIGIT = byte_class((0x30, 0x39))
 
 
-def line_templates(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every line with tokens: row, line number, tokens, template, context.
-
-    The context of a line is the least of the three-word runs in the other lines of its
-    document, under two hashes: documents that are copies of each other mostly share
-    it, others do not, and what the line itself says plays no part.
-    """
+def line_templates(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """For every line with tokens: row, line number, tokens, template; then the three-word runs and their lines."""
     starts, ends, row = words(block)
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     token = plain = span_hash(block.data, starts, ends)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[block.data])])
     token = np.where(digits[ends] > digits[starts], np.uint64(1), token)
@@ -49,44 +49,132 @@ def line_templates(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     owner = np.repeat(np.arange(len(opens)), size)
     run = np.flatnonzero(owner[2:] == owner[:-2]) if len(owner) > 2 else np.zeros(0, np.int64)
     runs = chain([plain[run], plain[run + 1], plain[run + 2]]) if len(run) else np.zeros(0, np.uint64)
-    sides = [_contexts(mix(runs + np.uint64(seed)), owner[run], row[opens], block.rows) for seed in (1, 2)]
-    return row[opens], line[opens], size, key, chain(sides)
-
-
-def _contexts(runs: np.ndarray, owner: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """Per line the least of the runs that its document's other lines own (all ones where there is none)."""
-    none = np.uint64(2**64 - 1)
-    least = np.full(len(row), none)
-    np.minimum.at(least, owner, runs)
-    order = np.lexsort((least, row))
-    first = order[np.searchsorted(row[order], np.arange(rows))[np.unique(row)]]  # of each document with lines
-    best, second = np.full(rows, none), np.full(rows, none)
-    best[row[first]] = least[first]
-    others = np.ones(len(row), bool)
-    others[first] = False
-    np.minimum.at(second, row[others], least[others])
-    mine = np.zeros(len(row), bool)
-    mine[first] = True
-    return np.where(mine, second[row], best[row])
+    return row[opens], line[opens], size, key, (runs, owner[run])
+
+
+def contexts(runs: np.ndarray, owner: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Per owner (a template in a document, ``row`` ascending) a sketch of the runs that the others of its document own.
+
+    Runs are dealt by hash into ``BINS`` bins; of the least run in each a byte is kept, 0
+    where there is none. The share of bins in which two sketches agree estimates the
+    Jaccard similarity of the runs.
+    """
+    out = np.zeros((len(row), BINS), np.uint8)
+    if not len(runs):
+        return out
+    runs = mix(runs)
+    cell = row[owner] * BINS + (runs >> np.uint64(58)).astype(np.int64)
+    order = np.lexsort((runs, cell))
+    runs, cell, owner = runs[order], cell[order], owner[order]
+    byte = (mix(runs) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    best = np.zeros((int(row[-1]) + 1, BINS), np.uint8)
+    best.ravel()[cell[first]] = byte[first]
+    out[:] = best[row]
+    # an owner of the least run takes the least of the others instead
+    foremost = np.repeat(owner[first], np.diff(np.append(first, len(cell))))
+    other = np.flatnonzero(owner != foremost)
+    out[owner[first], cell[first] % BINS] = 0
+    if len(other):
+        second = other[np.concatenate([[True], cell[other][1:] != cell[other][:-1]])]
+        out[foremost[second], cell[second] % BINS] = byte[second]
+    return out
 
 
 def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values))
 
 
-def _emit(batches):
+def _known(batches):
+    """(at, templates): the templates of each document, once each."""
     for batch in batches:
         for block in blocks(batch.column(1)):
-            row, _, size, key, context = line_templates(block)
-            long_ = size >= MIN_TOKENS
-            row, key, context = row[long_], key[long_], context[long_]
-            order = np.lexsort((key, row))  # a template counts once in a document, with its first line's context
-            row, key, context = row[order], key[order], context[order]
+            row, _, size, key, _ = line_templates(block)
+            row, key = row[size >= MIN_TOKENS], key[size >= MIN_TOKENS]
+            order = np.lexsort((key, row))
+            row, key = row[order], key[order]
             new = np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])[: len(row)]
             n = counts_of(row[new], block.rows)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(block.first, block.rows), _lists(context[new].view(np.int64), n), _lists(key[new].view(np.int64), n),
-            ], ["at", "contexts", "templates"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), _lists(key[new].view(np.int64), n)], ["at", "templates"])
+
+
+def _emit(batches, min_docs, long_tokens, long_docs):
+    """(template, need, context): each template of a document with its context there."""
+    for batch in batches:
+        for block in blocks(batch.column(0)):
+            row, _, size, key, (runs, owner) = line_templates(block)
+            if not len(row):
+                continue
+            order = np.lexsort((key, row))  # lines of one template have one context in a document
+            r, k = row[order], key[order]
+            new = np.concatenate([[True], (r[1:] != r[:-1]) | (k[1:] != k[:-1])])
+            number = np.empty(len(order), np.int64)
+            number[order] = np.cumsum(new) - 1
+            first = order[new]
+            sketch = contexts(runs, number[owner], row[first])
+            enough = size[first] >= MIN_TOKENS
+            need = np.where(size[first] >= long_tokens, min(min_docs, long_docs), min_docs)
+            yield _entries(key[first][enough].view(np.int64), need[enough].astype(np.int32), sketch[enough])
+
+
+def _entries(template: np.ndarray, need: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+    at = np.arange(len(sketch) + 1, dtype=np.int32) * BINS
+    context = pa.Array.from_buffers(pa.binary(), len(sketch), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(sketch))])
+    return pa.RecordBatch.from_arrays([pa.array(template), pa.array(need), context], ["template", "need", "context"])
+
+
+def unlike(sketch: np.ndarray, need: int) -> list[int]:
+    """Rows of up to ``need`` sketches of which no two are alike; fewer only if every other is like one of them."""
+    out, rest = [], np.arange(len(sketch))
+    while len(rest) and len(out) < need:
+        lead = sketch[rest[0]]
+        out.append(int(rest[0]))
+        some = (sketch[rest] != 0) | (lead != 0)
+        same = (sketch[rest] == lead) & some
+        rest = rest[same.sum(1) < ALIKE * some.sum(1)]
+    return out
+
+
+def _unlike(batches, only_full):
+    """Entries sorted by template to the unlike ones of each, or the templates that have as many as they need."""
+    held = None
+    for batch in itertools.chain(_columns(batches), [None]):
+        if batch is None:
+            if held is None:
+                return
+            template, need, sketch = held
+            cut = len(template)
+        else:
+            template, need, sketch = batch if held is None else (np.concatenate(x) for x in zip(held, batch))
+            cut = 0
+        opens = np.flatnonzero(np.concatenate([[True], template[1:] != template[:-1]]))
+        ends = np.append(opens[1:], len(template))
+        size = ends - opens
+        keep = np.zeros(len(template), bool)
+        keep[opens] = True
+        full = need[opens] <= 1
+        for g in np.flatnonzero(size > 1):
+            found = unlike(sketch[opens[g] : ends[g]], int(need[opens[g]]))
+            keep[opens[g] + np.array(found)] = True
+            full[g] = len(found) >= need[opens[g]]
+        last = len(template) if cut else int(opens[-1])  # the last template may go on in the next batch
+        done = keep.copy()
+        done[last:] = False
+        if only_full:
+            yield pa.RecordBatch.from_arrays([pa.array(template[opens[full & (opens < last)]])], ["template"])
+        else:
+            yield _entries(template[done], need[done], sketch[done])
+        keep[:last] = False
+        held = (template[keep], need[keep], sketch[keep])
+
+
+def _columns(batches):
+    for batch in batches:
+        if batch.num_rows:
+            column = batch.column(2).cast(pa.large_binary())
+            at = np.frombuffer(column.buffers()[1], np.int64)[column.offset]
+            sketch = np.frombuffer(column.buffers()[2], np.uint8)[at : at + BINS * len(column)].reshape(-1, BINS)
+            yield batch.column(0).to_numpy(), batch.column(1).to_numpy(), sketch
 
 
 def _drop(batches, max_share):
@@ -118,30 +206,29 @@ def _drop(batches, max_share):
 
 
 def drop_recurring_lines(
-    spark: SparkSession, docs: DataFrame, min_docs: int = 10, min_diverse: float = 0.5, max_share: float = 0.5,
-    keep: list[str] | None = None,
+    spark: SparkSession, docs: DataFrame, min_docs: int = 10, max_share: float = 0.5, keep: list[str] | None = None,
+    long_tokens: int = 20, long_docs: int = 3,
 ) -> DataFrame:
     """``docs`` (doc_id, text, ...) to (row, n_lines, n_dropped, left_over); ``row`` holds the columns ``keep`` (all).
 
-    A template recurs when its lines stand in ``min_docs`` documents with different
-    contexts, and contexts are at least the share ``min_diverse`` of its documents (else it
-    is the text of copies, which is another operator's work). Lines under three tokens
-    are never dropped. A document of which more than ``max_share`` of the tokens recurs
-    keeps its lines. Null texts give an empty text and no lines; rows that repeat a
-    doc_id count as documents of their own; other columns are carried, whatever their
-    names; an empty table gives no rows.
+    A template recurs when its lines stand in ``min_docs`` unlike contexts, however many
+    copies there are of each; one of ``long_tokens`` tokens or more when they stand in
+    ``long_docs``. Lines under three tokens are never dropped. A document of which more
+    than ``max_share`` of the tokens recurs keeps its lines; at 1 none does. Null texts
+    give an empty text and no lines; rows that repeat a doc_id count as documents of their
+    own; other columns are carried, whatever their names; an empty table gives no rows.
     """
     at = F.xxhash64("doc_id")
-    found = docs.select(at.alias("at"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _emit, "at long, contexts array<long>, templates array<long>"
-    )
-    lines = found.select("at", F.inline(F.arrays_zip(F.col("contexts").alias("context"), F.col("templates").alias("template"))))
-    recurring = (
-        lines.groupBy("template", "context").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("template").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("contexts"))
-        .where((F.col("contexts") >= min_docs) & (F.col("contexts") >= min_diverse * F.col("docs"))).select("template")
-    )
+    text = F.col("text").cast("string").alias("text")
+    shape = "template long, need int, context binary"
+    entries = docs.select(text).mapInArrow(partial(_emit, min_docs=min_docs, long_tokens=long_tokens, long_docs=long_docs), shape)
+    # each task keeps the unlike contexts of a template, so a common line is a few rows per task
+    entries = entries.sortWithinPartitions("template", "context").mapInArrow(partial(_unlike, only_full=False), shape)
+    entries = entries.repartition("template").sortWithinPartitions("template", "context")
+    recurring = entries.mapInArrow(partial(_unlike, only_full=True), "template long")
+    found = docs.select(at.alias("at"), text).mapInArrow(_known, "at long, templates array<long>")
+    lines = found.select("at", F.explode("templates").alias("template"))
     known = lines.join(recurring, "template").groupBy("at").agg(F.collect_set("template").alias("recurring"))
-    rows = docs.select(at.alias("at"), whole_row(docs, keep).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(at.alias("at"), whole_row(docs, keep).alias("row"), text)
     joined = rows.join(known, "at", "left").select("row", "text", "recurring")
     return joined.mapInArrow(partial(_drop, max_share=max_share), carried_type(docs, "n_lines long, n_dropped long, left_over string", keep))

@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without boilerplate lines."""
-    return _with_text(templates.drop_recurring_lines(spark, docs), docs.columns)
+    """Documents without boilerplate lines; a text of nothing else becomes empty."""
+    return _with_text(templates.drop_recurring_lines(spark, docs, max_share=1.0), docs.columns)
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 Documents are tokenised where they are read; what moves afterwards is a row of a few
 numbers per document, never its ids. Rows are dealt by hash into parts of about
 ``PART`` tokens. A part serves its source queues in turn; each window adds a quantum in
-proportion to the target shares, a source sends while its deficit lasts, and deficits go
+proportion to the target shares, a source sends its deficit and no more (up to the next
+place for a cut), the rest of its document waits at the head of the queue, and deficits go
 on to the next window. What a part inherits from the parts before it follows from sums:
-share times all tokens served so far, less those of the source.
+share times all tokens served so far, less those of the source, within one quantum.
 
 A document may be cut at every ``STEP`` tokens. The checksum of the ids up to each such
 place is kept, so the checksum of a piece is two of them and a shift.
@@ -13,6 +14,7 @@ place is kept, so the checksum of a piece is two of them and a shift.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import deque
 from functools import partial
@@ -114,7 +116,7 @@ def _serve(part: pd.DataFrame, size: int) -> pd.DataFrame:
         if source not in queues:
             queues[source] = deque()
             share[source] = weight
-            deficit[source] = weight * ahead - served
+            deficit[source] = min(max(weight * ahead - served, -size * weight), size * weight)
         queues[source].append(i)
     n = part["n"].to_numpy()
     names = sorted(queues, key=lambda s: (-deficit[s], s))
@@ -122,24 +124,32 @@ def _serve(part: pd.DataFrame, size: int) -> pd.DataFrame:
     rows: list[tuple[int, int, int, int, int]] = []
     window, offset, turn, idle = 0, 0, 0, 0
 
-    def top_up():
+    def top_up(room):
+        """Credit in proportion to the shares, ``room`` in all."""
         weight = sum(share[s] for s in names)
+        quantum = room - sum(deficit[s] for s in names)
         for s in names:
-            deficit[s] += size * (share[s] / weight if weight else 1 / len(names))
+            deficit[s] += quantum * (share[s] / weight if weight else 1 / len(names))
 
-    top_up()
+    near = max(STEP, size // 32)
+    top_up(size)
     while names:
         s = names[turn % len(names)]
         if deficit[s] <= 0:
             turn, idle = turn + 1, idle + 1
             if idle >= len(names):
-                top_up()
+                top_up(size - offset)
                 idle = 0
             continue
         idle = 0
+        room = size - offset
+        if room < near:  # the end of a document that leaves least behind the last cut, if one fits
+            over = {x: room - int(n[queues[x][0]]) + done[x] for x in names}
+            s = min(names, key=lambda x: (over[x] % STEP if over[x] >= 0 else room % STEP, x != s, -deficit[x], x))
         i = queues[s][0]
-        left, room = int(n[i]) - done[s], size - offset
-        take = left if left <= room else room // STEP * STEP
+        left = int(n[i]) - done[s]
+        want = left if left <= room < near else min(left, max(math.ceil(deficit[s] / STEP), 1) * STEP)
+        take = want if want <= room else room // STEP * STEP
         if take:
             rows.append((i, done[s], take, window, offset))
             deficit[s] -= take
@@ -151,9 +161,9 @@ def _serve(part: pd.DataFrame, size: int) -> pd.DataFrame:
             if not queues[s]:
                 turn = names.index(s)
                 names.remove(s)
-        if names and (take < left or offset == size):
+        if names and (not take or offset == size):
             window, offset = window + 1, 0
-            top_up()
+            top_up(size)
     i, start, length, window_, offset_ = (np.array(x, np.int64) for x in zip(*rows))
     sums = part["sums"].to_numpy()
 

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark, licenses, near, packing, page_text, quality_model, quality_rules, secret_scan, suffixes, templates
+from . import (
+    benchmark, centroids, chunked_bpe, filter_audit, licenses, near, packing, page_text, quality_model, quality_rules, secret_scan,
+    suffixes, templates,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -194,3 +197,69 @@ def op10(spark, sf_dir):
     """Main text of every page."""
     found = page_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("row.page_id", "row.url", F.col("main").alias("text"), F.length("main").cast("long").alias("n_chars"))
+
+
+def _cluster_sql() -> str:
+    """The rounds of op11 in SQL: one assignment and one move after the other."""
+    parts = ["""
+    with kept as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+                  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+    e as (select vec_id, unnest(v) as x, unnest(range(64)) as i from kept),
+    start as (select (row_number() over (order by sha256('1:' || vec_id::varchar)) - 1)::int as c, vec_id from kept qualify c < 16),
+    c0 as (select c, i, x from start join e using (vec_id))"""]
+    for n in range(4):
+        parts.append(f"""
+    a{n} as (select vec_id, c as cluster, d from (select vec_id, c, sum((e.x - c{n}.x) * (e.x - c{n}.x))::bigint as d from e join c{n} using (i) group by vec_id, c)
+             qualify row_number() over (partition by vec_id order by d, c) = 1)""")
+        if n < 3:
+            parts.append(f"""
+    m{n} as (select cluster as c, i, sum(x)::bigint as s, count(*) as n from a{n} join e using (vec_id) group by cluster, i),
+    c{n + 1} as (select c, i, case when n is null then x else (s - (s % n + n) % n) // n end as x from c{n} left join m{n} using (c, i))""")
+    return ",".join(parts) + """,
+    t as (select cluster, sum(d)::bigint as cluster_inertia from a3 group by cluster),
+    h as (select c as cluster, sha256(string_agg(x::varchar, ',' order by i)) as centroid_sha256 from c3 group by c)
+    select vec_id, cluster::int as cluster, d as distance, cluster_inertia, (select sum(d)::bigint from a3) as inertia, centroid_sha256
+    from a3 join t using (cluster) join h using (cluster)"""
+
+
+@query("op11_centroid_clusters", _cluster_sql())
+def op11(spark, sf_dir):
+    """The nearest of 16 centroids for every embedding after three rounds."""
+    found = centroids.centroid_clusters(spark, table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query("op12_bpe_codec")
+def op12(spark, sf_dir):
+    """Ids of every whole text and the text that they decode to, as digests."""
+    found = chunked_bpe.decode(chunked_bpe.encode(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    return found.select(
+        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op13_filter_audit", r"""
+    with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+    l as (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by doc_id),
+    f as (select part, coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as toxic,
+                 [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+                  regexp_matches(text, '[#$%&*|]'), doc_id > min(doc_id) over (partition by text)] as fails
+          from d left join l using (doc_id)),
+    letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+    orders as (select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+               where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    steps as (select filter_order, s::int as step, filter_order[s] as letter, instr('ABCDE', filter_order[s]) as k,
+                     [instr('ABCDE', filter_order[j]) for j in range(1, s)] as before from orders, range(1, 6) r(s)),
+    c as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from f group by part, fails),
+    x as (select part, filter_order, step, letter, n, good, toxic, fails[k] as hit, len(list_filter(before, lambda b: fails[b])) > 0 as gone,
+                 fails[k] and len(list_filter(fails, lambda y: y)) = 1 as alone from c, steps),
+    g as (select part, filter_order, step, letter, coalesce(sum(n) filter (not hit and not gone), 0)::bigint as kept, coalesce(sum(n) filter (hit and not gone), 0)::bigint as removed,
+                 coalesce(sum(n) filter (hit and gone), 0)::bigint as redundant, coalesce(sum(n) filter (alone), 0)::bigint as unique_fails,
+                 coalesce(sum(good) filter (hit and not gone), 0)::bigint as good_lost, coalesce(sum(toxic) filter (hit and not gone), 0)::bigint as toxic_lost
+          from x group by part, filter_order, step, letter)
+    select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) over (partition by part, letter))::bigint as shapley from g""")
+def op13(spark, sf_dir):
+    """What each of five filters removes at every step of all their orders, per language."""
+    return filter_audit.filter_audit(spark, f"{sf_dir.rstrip('/')}/documents.parquet", table(spark, sf_dir, "labels"))

@@ -3,8 +3,9 @@
 Equi joins carry no hint: the optimizer broadcasts a dictionary below its size
 threshold and falls back to a shuffle join with skew handling above it.
 Containment and prefix matches work on blocks of the dictionary: a block is a
-bounded array next to the text and the test runs inside the row. No pair is
-emitted that does not match.
+bounded array next to the text and the test runs inside the row. Containment in a
+dictionary of very many blocks goes over an index of grams. No pair is emitted
+that does not match.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import bind
+from ..session import written
+from .containment import contained
 
 BLOCK_ROWS = 2_000
 BROADCAST_BLOCKS = 16
@@ -125,6 +128,8 @@ def relevant_labels(
     entries = dims.select("ord", "label", "uri", words.alias("words"))
     lowered = texts.select(key, F.lower(text).alias("_t"))
     blocks = block_count(dims)
+    if blocks > BROADCAST_BLOCKS:
+        return indexed_hits(lowered, entries, key, fallback)
     met = with_blocks(lowered, entries, ["ord", "label", "uri", "words"], blocks, indexed_labels)
     # Which words occur, then which labels own one of them: places, not texts, are compared.
     occurs = bind(F.col("_t"), lambda body: F.transform("entries.words", lambda w: body.contains(w)))
@@ -144,6 +149,19 @@ def relevant_labels(
     return lists.select(key, F.inline_outer(hits)).where("ord is not null")
 
 
+def indexed_hits(lowered: DataFrame, entries: DataFrame, key: str, fallback: DataFrame | None) -> DataFrame:
+    """:func:`relevant_labels` over a gram index, for dictionaries of any size; keys are distinct."""
+    names = entries.select("ord", "label", "uri", F.explode("words").alias("pattern")).distinct()
+    pairs = contained(lowered.select(F.col(key).alias("id"), F.col("_t").alias("body")), names.select("pattern"))
+    hits = pairs.join(names, "pattern").select(F.col("id").alias(key), "ord", "label", "uri").distinct()
+    if fallback is None:
+        return hits
+    hits = written(hits, "hits")
+    packed = fallback.agg(F.array_sort(F.collect_list(F.struct("ord", "label", "uri"))).alias("p")).scalar()
+    rest = lowered.select(key).join(hits.select(key).distinct(), key, "left_anti")
+    return hits.unionByName(rest.select(key, F.inline(packed)))
+
+
 def first_entries(dims: DataFrame, n: int = 5) -> DataFrame:
     """The first rows of a dictionary in its own order."""
     return dims.orderBy("ord").limit(n)
@@ -152,6 +170,8 @@ def first_entries(dims: DataFrame, n: int = 5) -> DataFrame:
 def expand_hints(texts: DataFrame, hints: DataFrame, text: str) -> DataFrame:
     """Hints whose word occurs in the text: all of them and the first by order."""
     blocks = block_count(hints)
+    if blocks > BROADCAST_BLOCKS:
+        return indexed_hints(texts, hints, text)
     met = with_blocks(texts, hints.select("ord", "word", "hint"), ["ord", "word", "hint"], blocks)
     hits = bind(F.lower(F.col(text)), lambda body: F.filter("entries", lambda e: body.contains(e["word"])))
     keys = texts.columns
@@ -165,6 +185,18 @@ def expand_hints(texts: DataFrame, hints: DataFrame, text: str) -> DataFrame:
     )
 
 
+def indexed_hints(texts: DataFrame, hints: DataFrame, text: str) -> DataFrame:
+    """:func:`expand_hints` over a gram index; equal texts are looked at once, under their digest."""
+    lowered = F.lower(F.col(text))
+    keyed = texts.where(F.col(text).isNotNull()).withColumn("_id", F.sha2(lowered, 256))
+    bodies = keyed.select(F.col("_id").alias("id"), lowered.alias("body")).dropDuplicates(["id"])
+    pairs = contained(bodies, hints.select(F.col("word").alias("pattern"))).withColumnsRenamed({"id": "_id", "pattern": "word"})
+    per = pairs.join(hints.select("ord", "word", "hint"), "word").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("ord", "word", "hint"))).alias("_h"))
+    return keyed.join(per, "_id").select(
+        *texts.columns, F.transform("_h", lambda e: e["hint"]).alias("hints"), F.try_element_at("_h", F.lit(1))["hint"].alias("first_hint")
+    )
+
+
 def help_entry(fields: DataFrame, guide: DataFrame, field: str = "field") -> DataFrame:
     """Guide entry of a field: exact name, else the first entry where either name
     is a prefix of the other, else nothing.

@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import bind
+from .pivots import pivot_nearest
 
 RELATIVE_CUT = 1.2
 
 # A vocabulary up to this many vectors travels to the executors as one matrix;
-# a larger one is cut into blocks that are shuffled to the queries.
+# a larger one is searched by cells around pivots.
 BROADCAST_VECTORS = 16_384
 BLOCK_VECTORS = 8_192
 QUERY_CHUNK = 50_000
@@ -159,7 +160,7 @@ def nearest(
     if rows <= BROADCAST_VECTORS:
         found = scan_matrix(queries, vocab, key, n, by, metric)
     else:
-        found = scan_blocks(queries, vocab, key, n, by, metric, rows)
+        found = pivot_nearest(queries, vocab, key, n, by, metric, rows)[0]
     # Outer, so that no size test is inferred that would run the search a second time.
     return found.select(key, *by, F.inline_outer("best")).where("code is not null")
 

@@ -100,9 +100,18 @@ def raw_text(raw: Column, steps: Column) -> Column:
 
 
 def nesting(v: Column) -> Column:
-    """Levels of a JSON value at most: its type names every object and list in it."""
+    """Levels of a JSON value at most: its type names every object and list in it.
+
+    The type of a list of unlike items does not; the brackets of its text bound them.
+    """
     kind = F.schema_of_variant(v)
-    return F.when(kind.contains("VARIANT"), PARSER_DEPTH).otherwise(F.size(F.split(kind, "(?:OBJECT|ARRAY)<")))
+    brackets = F.length(F.regexp_replace(F.to_json(v), r"[^\[{]+", "")) + 1
+    return F.when(kind.contains("VARIANT"), F.least(brackets, F.lit(PARSER_DEPTH))).otherwise(F.size(F.split(kind, "(?:OBJECT|ARRAY)<")))
+
+
+def object_nesting(v: Column) -> Column:
+    """Levels of objects outside of lists at most; only items of lists can have a type that tells nothing."""
+    return F.size(F.split(F.schema_of_variant(v), "OBJECT<"))
 
 
 def open_cells(cells: Column, children, depth: Column) -> Column:
@@ -150,7 +159,7 @@ def flatten_object(v: Column, raw: Column | None = None) -> Column:
     in which the last of clashing paths counts and objects in lists keep their keys.
     """
     if raw is None:
-        return as_map(flatten_entries(variant_entries(v), nesting(v)))
+        return as_map(flatten_entries(variant_entries(v), object_nesting(v)))
 
     def in_order(flat: Column) -> Column:
         keys = F.json_object_keys(raw)
@@ -158,7 +167,7 @@ def flatten_object(v: Column, raw: Column | None = None) -> Column:
         clash = F.size(F.array_distinct(F.transform(flat, lambda e: e["key"]))) < F.size(flat)
         return F.when(clash & keys.isNotNull(), F.transform(F.array_sort(placed), lambda x: x["e"])).otherwise(flat)
 
-    return as_map(bind(flatten_entries(variant_entries(v), nesting(v), raw), in_order))
+    return as_map(bind(flatten_entries(variant_entries(v), object_nesting(v), raw), in_order))
 
 
 def path_samples(v: Column) -> Column:

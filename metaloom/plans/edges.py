@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..functions.dsl import compile_mapping
-from ..operators import answers as N, assemble as A, nearest, profile as P, shape, triples as X
+from ..operators import answers as N, assemble as A, nearest, pivots, profile as P, shape, triples as X
+from ..operators.containment import contained
 from ..operators.lake import profile_lake
 from ..session import shared_dir
 from ..sources import delimited as D, files as FS, json_docs as J, sinks, xml_docs as XM
@@ -365,3 +366,63 @@ def r9_written(t):
     url = F.concat(F.lit('"http://a/'), "o_custkey", F.lit('"'))
     sinks.write_records(A.finalize(order_fields(t, ("title", F.lit('"t"')), ("access_url", url), ("applicable_legislation", F.lit('["law"]')))), path)
     return t.spark.read.text(path)
+
+
+@query("a4_split_spanning", """
+    select event_id::varchar as id, 'a' || chr(10) || '"' || event_type || '", b' as note, user_id::varchar as tail from events""")
+def a4_split_spanning(t):
+    """One file whose cells hold line breaks, delimiters and quotes, read in ranges of 64 KB."""
+    path = shared_dir(t.spark, "spanning")
+    note = F.concat(F.lit('a\n"'), "event_type", F.lit('", b'))
+    rows = t.events.select(F.col("event_id").cast("string").alias("id"), note.alias("note"), F.col("user_id").cast("string").alias("tail"))
+    rows.coalesce(1).write.options(header=True, escape='"').csv(path)
+    return D.read_csv(t.spark, path, record_bytes=1 << 16)
+
+
+@query("a5_broken_middle", """
+    select s_suppkey as position, case when s_suppkey % 5 <> 2 then s_name end as name, s_suppkey % 5 = 2 as broken from supplier""")
+def a5_broken_middle(t):
+    """An array with items that are no JSON: each costs itself only."""
+    k = F.col("s_suppkey")
+    name = F.when(k % 5 == 2, F.lit("oops")).otherwise(F.concat(F.lit('"'), "s_name", F.lit('"')))
+    close = F.when(k == F.lit(t.supplier.agg(F.max("s_suppkey")).scalar()), "]").otherwise(",")
+    value = F.concat(F.when(k == 0, "[").otherwise(""), F.lit('{"name":'), name, F.lit("}"), close)
+    rows = J.read_json(t.spark, lines_file(t, t.supplier, k, value))
+    return rows.select("position", F.col("fields")["name"].alias("name"), F.col("error").isNotNull().alias("broken"))
+
+
+@query("a5_split_array", """
+    select event_id as position, event_id::varchar as id, '{["' || event_type || '\\",' as kind, props::json->>'k' as k from events""")
+def a5_split_array(t):
+    """One array in ranges of 64 KB: brackets, quotes and commas in strings mark no end."""
+    text = F.to_json(F.struct(F.concat(F.lit('{["'), "event_type", F.lit('\\",')).alias("kind")))
+    value = F.concat(F.when(F.col("event_id") == 0, "[").otherwise(","), F.lit('{"id":'), "event_id", F.lit(',"p":'), "props", F.lit(',"q":'), text, F.lit("}"))
+    path = lines_file(t, t.events, F.col("event_id"), value)
+    whole = shared_dir(t.spark, "array")
+    t.spark.read.text(path, wholetext=True).select(F.concat("value", F.lit("]")).alias("value")).write.text(whole)
+    rows = J.read_json(t.spark, whole, range_bytes=1 << 16)
+    at = lambda name: F.col("fields")[name]
+    return rows.select("position", at("id").alias("id"), at("q.kind").alias("kind"), at("p.k").alias("k"))
+
+
+@query("h7_knn_pivots", CENTROIDS + """
+    select vec_id, rank, 'c' || label::varchar as code, round(dist, 6) as distance from k where rank <= 3""")
+def h7_pivots(t):
+    """The search by cells around pivots, with cells of two entries."""
+    vocab, q = centroids(t), vectors(t)
+    hits = pivots.pivot_nearest(q, vocab, "vec_id", 3, [], "l2", vocab.count(), cell=2)[0]
+    hits = hits.select("vec_id", F.inline("best"))
+    return hits.select("vec_id", F.col("rank").cast("bigint").alias("rank"), "code", F.round("distance", 6).alias("distance"))
+
+
+@query("h5_large_dictionary", """
+    with l as (select 'l' || o_orderkey::varchar as label from orders union all select p_name from part),
+    t as (select p_partkey, p_name || ' l' || p_partkey::varchar as body from part)
+    select p_partkey, label from t, l where contains(body, label)""")
+def h5_large(t):
+    """Labels of a dictionary as large as the orders, over the index of grams."""
+    labels = t.orders.select(F.concat(F.lit("l"), "o_orderkey").alias("pattern")).unionByName(t.part.select(F.col("p_name").alias("pattern")))
+    texts = t.part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" l"), "p_partkey").alias("body"))
+    many = t.part.groupBy(F.col("p_name").alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+    found = contained(texts, labels).join(many, "pattern", "left")
+    return found.select(F.col("id").alias("p_partkey"), F.explode(F.array_repeat("pattern", F.coalesce("n", F.lit(1)).cast("int"))).alias("label"))

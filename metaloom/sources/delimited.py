@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.dsl import quoted
 from ..functions.text import last_wins, strip
 from ..session import written
-from .files import HEAD_BYTES, HEAD_LINES, file_heads, list_files, open_at, open_stream, reader
+from .files import CHUNK_BYTES, HEAD_BYTES, HEAD_LINES, file_heads, list_files, open_at, reader
 
 #: Bytes of a file that one look at its body covers.
 RANGE_BYTES = 32 << 20
+#: Bytes of a file with line breaks in cells that one task reads.
+RECORD_BYTES = 16 << 20
 
 # Delimiter candidates in order of preference.
 DELIMITERS = [";", ",", "\t", "|"]
@@ -187,12 +190,14 @@ def null_tokens(df: DataFrame) -> DataFrame:
 
 
 @reader("csv")
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, record_bytes: int = RECORD_BYTES
+) -> DataFrame:
     """All-string records of one delimited dataset, a file or a folder.
 
     Every file is read in its own dialect; files that share dialect and header are
     one scan, and columns meet by name. Cells beyond the header get numbered columns
-    like nameless ones. Files stay splittable unless a quoted cell holds a line break.
+    like nameless ones. Files whose cells hold line breaks are split between records, ``record_bytes`` or more to a task.
     """
     files = list_files(spark, path)
     dialects = sniff(files)
@@ -200,8 +205,8 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimi
         given = {"encoding": encoding, "delimiter": delimiter}
         dialects = dialects.withColumns({k: F.lit(v) for k, v in given.items() if v})
     dialects = written(dialects, "dialects")
-    state = body_state(files, dialects)
-    groups = dialects.join(state, "path", "left").groupBy("encoding", "delimiter", "header", "spanning").agg(
+    known = written(dialects.join(body_state(files, dialects), "path").join(files.select("path", "length"), "path"), "bodies")
+    groups = known.groupBy("encoding", "delimiter", "header", "spanning").agg(
         F.min("path").alias("first"), F.max("cells").alias("cells"), F.count(F.lit(1)).alias("files")
     ).orderBy("first").collect()
     out = None
@@ -210,17 +215,21 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimi
         if not names:
             continue
         names += [f"Unnamed: {i}" for i in range(len(names), g["cells"] or 0)]
-        same = [F.col(c).eqNullSafe(F.lit(g[c])) for c in ("encoding", "delimiter", "header", "spanning")]
-        place: str | list[str] = path
-        if len(groups) > 1:
-            place = [r["path"] for r in dialects.join(state, "path", "left").where(same[0] & same[1] & same[2] & same[3]).select("path").collect()]
-        schema = ", ".join(quoted(n) + " string" for n in names)
-        part = null_tokens(
-            spark.read.schema(schema)
-            .options(header=True, sep=g["delimiter"], encoding=g["encoding"], quote='"', escape='"',
-                     multiLine=bool(g["spanning"]), enforceSchema=True, mode="PERMISSIVE", recursiveFileLookup=True)
-            .csv(place)
-        )
+        mine = known
+        for c in ("encoding", "delimiter", "header", "spanning"):
+            mine = mine.where(F.col(c).eqNullSafe(F.lit(g[c])))
+        if g["spanning"]:
+            cells = streamed_cells(mine.select("path", "encoding", "delimiter", "length"), record_bytes).select("cells")
+            part = null_tokens(cells.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]))
+        else:
+            place = path if len(groups) == 1 else [r["path"] for r in mine.select("path").collect()]
+            schema = ", ".join(quoted(n) + " string" for n in names)
+            part = null_tokens(
+                spark.read.schema(schema)
+                .options(header=True, sep=g["delimiter"], encoding=g["encoding"], quote='"', escape='"',
+                         enforceSchema=True, mode="PERMISSIVE", recursiveFileLookup=True)
+                .csv(place)
+            )
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out if out is not None else spark.createDataFrame([], "value string")
 
@@ -230,10 +239,11 @@ def read_many(spark: SparkSession, files: DataFrame) -> DataFrame:
 
     One text scan per encoding; each line meets the dialect of its file, a row of a
     small table. Of the lines that equal the header of their file, all but one are
-    records. Files whose cells hold line breaks are read as streams, one per task.
+    records. Files whose cells hold line breaks are read record by record, in ranges.
     """
     dialects = sniff(files)
-    known = written(named_dialects(dialects.join(body_state(files, dialects), "path", "left")), "dialects")
+    dialects = written(named_dialects(dialects), "dialects")
+    known = written(dialects.join(body_state(files, dialects), "path").join(files.select("path", "length"), "path"), "bodies")
     spanning = F.coalesce(F.col("spanning"), F.lit(False))
     cells = None
     for encoding in ("UTF-8", "ISO-8859-1"):
@@ -258,25 +268,150 @@ def read_many(spark: SparkSession, files: DataFrame) -> DataFrame:
     return cells.select("path", last_wins(kept).alias("fields"))
 
 
-def streamed_cells(files: DataFrame) -> DataFrame:
-    """``(path, cells)`` of the records below the header, read as a stream of any length."""
+# ── files whose cells hold line breaks ───────────────────────────────────────
+
+#: Where a reader stands: outside of quotes, in a quoted cell, or there in the middle
+#: of a pair of quotes.
+OUTSIDE, QUOTED, PAIRED = 0, 1, 2
+BOM = b"\xef\xbb\xbf"
+
+
+class Quotes:
+    """Follows the quoted cells of a file from quote to quote.
+
+    A quote opens a cell only where a cell begins; inside, a pair of quotes is one
+    character. ``data[at:end]`` is looked at; the byte before and the one behind
+    it, if there are any, belong to ``data`` too.
+    """
+
+    def __init__(self, delimiter: str):
+        opening = rb'(?<![^\r\n' + re.escape(delimiter.encode()) + rb'])"'
+        self.opening, self.opening_or_break = re.compile(opening), re.compile(rb"\n|" + opening)
+
+    def follow(self, data: bytes, at: int, end: int, state: int, breaks: bool) -> tuple[int, int]:
+        """The first line break outside of quotes, -1 without one (or unless ``breaks``), and the state at the end."""
+        at, inside = at + (state == PAIRED), state != OUTSIDE
+        while True:
+            if inside:
+                at = data.find(b'"', at, end)
+                if at < 0:
+                    return -1, QUOTED
+                if data[at + 1 : at + 2] == b'"':
+                    at += 2
+                    if at > end:
+                        return -1, PAIRED
+                    continue
+                at += 1
+            found = (self.opening_or_break if breaks else self.opening).search(data, at, end)
+            if not found:
+                return -1, OUTSIDE
+            if data[found.start()] == 10:
+                return found.start(), OUTSIDE
+            at, inside = found.end(), True
+
+    def chunks(self, file, place: int, end: int):
+        """``(offset, data, at, end)`` of the bytes from a place on, for :meth:`follow`."""
+        while place < end:
+            low = max(place - 1, 0)
+            file.seek(low)
+            data = file.read(min(CHUNK_BYTES, end - place) + (place - low) + 1)
+            if low == 0 and data.startswith(BOM):  # the file begins behind its mark
+                low, data, place = 3, data[3:], max(place, 3)
+            stop = min(len(data), min(CHUNK_BYTES, end - place) + (place - low))
+            yield low, data, place - low, stop
+            place = low + stop
+
+    def state_after(self, file, start: int, end: int, state: int) -> int:
+        for _, data, at, stop in self.chunks(file, start, end):
+            state = self.follow(data, at, stop, state, False)[1]
+        return state
+
+    def record_start(self, file, place: int, state: int, size: int) -> int:
+        """Where the first record at or behind a place begins; the size where there is none."""
+        if place == 0 or place >= size:
+            return min(place, size)
+        file.seek(place - 1)
+        if state == OUTSIDE and file.read(1) == b"\n":
+            return place
+        for low, data, at, stop in self.chunks(file, place, size):
+            found, state = self.follow(data, at, stop, state, True)
+            if found >= 0:
+                return low + found + 1
+        return size
+
+
+def record_ranges(files: DataFrame, range_bytes: int) -> DataFrame:
+    """``(path, encoding, delimiter, start, stop, length, state, stop_state)``: ranges of files and the
+    states they begin and end in.
+
+    Every range is followed from each state it may begin in; one fold over the few
+    numbers of a file's ranges tells which it is.
+    """
+    step = F.lit(range_bytes).cast("long")
+    ranges = files.select("path", "encoding", "delimiter", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, step)).alias("start"))
+    ranges = ranges.withColumn("stop", F.least(F.col("start") + step, F.col("length")))
+    quotes = Quotes
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ends = []
+            for path, mark, start, stop, length in zip(batch["path"], batch["delimiter"], batch["start"], batch["stop"], batch["length"]):
+                if length <= range_bytes:  # alone: nothing depends on where it ends
+                    ends.append([OUTSIDE] * 3)
+                    continue
+                with open_at(path) as file:
+                    follow = quotes(mark)
+                    ends.append([follow.state_after(file, start, stop, s) for s in (OUTSIDE, QUOTED, PAIRED)])
+            yield batch.assign(ends=ends)
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, state, states = rows.sort_values("start"), OUTSIDE, [OUTSIDE]
+        for ends in rows["ends"]:
+            state = int(ends[state])
+            states.append(state)
+        return rows.drop(columns="ends").assign(state=states[:-1], stop_state=states[1:])
+
+    width = max(1, files.sparkSession.sparkContext.defaultParallelism)
+    shape = "path string, encoding string, delimiter string, length long, start long, stop long"
+    seen = ranges.repartition(width, "path", "start").mapInPandas(look, shape + ", ends array<int>")
+    return seen.groupBy("path").applyInPandas(fold, shape + ", state int, stop_state int")
 
-    def rows(path, encoding, delimiter):
-        with open_stream(path) as stream:
-            text = io.TextIOWrapper(io.BufferedReader(stream), "utf-8-sig" if encoding == "UTF-8" else encoding, errors="replace", newline="")
-            records = (r for r in csv.reader(text, delimiter=delimiter) if any(c.strip() for c in r))
+
+def streamed_cells(files: DataFrame, range_bytes: int = RECORD_BYTES) -> DataFrame:
+    """``(path, cells)`` of the records below the header of ``files(path, encoding, delimiter, length)``.
+
+    Large files are many tasks: a record belongs to the range it begins in.
+    """
+    quotes = Quotes
+
+    def rows(path, encoding, delimiter, start, stop, length, state, stop_state):
+        with open_at(path) as file:
+            follow = quotes(delimiter)
+            begin = follow.record_start(file, start, state, length)
+            end = follow.record_start(file, stop, stop_state, length)
+            if begin >= end:
+                return
+            file.seek(begin)
+            data = file.read(end - begin)
+        text = data.decode("utf-8-sig" if encoding == "UTF-8" and begin == 0 else encoding, "replace")
+        csv.field_size_limit(1 << 31)
+        records = (r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter) if len(r) > 1 or any(c.strip() for c in r))
+        if start == 0:
             next(records, None)
-            yield from records
+        yield from records
+
+    columns = ["path", "encoding", "delimiter", "start", "stop", "length", "state", "stop_state"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, encoding, delimiter in zip(batch["path"], batch["encoding"], batch["delimiter"]):
-                found = rows(path, encoding, delimiter)
+            for one in batch[columns].itertuples(index=False):
+                found = rows(*one)
                 while some := list(itertools.islice(found, 2_000)):
-                    yield pd.DataFrame({"path": path, "cells": some})
+                    yield pd.DataFrame({"path": one.path, "cells": some})
 
     width = max(1, files.sparkSession.sparkContext.defaultParallelism)
-    return files.select("path", "encoding", "delimiter").repartition(width, "path").mapInPandas(read, "path string, cells array<string>")
+    ranges = record_ranges(files, range_bytes)
+    return ranges.repartition(width, "path", "start").mapInPandas(read, "path string, cells array<string>")
 
 
 def split_quoted(line: Column, delimiter: Column) -> Column:

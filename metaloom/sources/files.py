@@ -20,6 +20,8 @@ FORMATS = {
 }
 HEAD_BYTES = 10_000
 HEAD_LINES = 5
+#: Bytes in which the first lines are looked for; what has none there is no table of lines.
+HEAD_LIMIT = 8 << 20
 CHUNK_BYTES = 1 << 20
 
 READERS: dict[str, Callable[..., DataFrame]] = {}
@@ -166,14 +168,13 @@ def file_heads(files: DataFrame) -> DataFrame:
             rows = []
             for path in batch["path"]:
                 with open_stream(path) as stream:
-                    data = stream.read(HEAD_BYTES)
-                    head = data
-                    while data.count(b"\n") < HEAD_LINES:
-                        more = stream.read(65536)
-                        if not more:
-                            break
-                        data += more
-                rows.append((path, head, b"\n".join(data.split(b"\n")[:HEAD_LINES])))
+                    head = stream.read(HEAD_BYTES)
+                    parts, breaks, size = [head], head.count(b"\n"), len(head)
+                    while breaks < HEAD_LINES and size < HEAD_LIMIT and (more := stream.read(65536)):
+                        parts.append(more)
+                        breaks += more.count(b"\n")
+                        size += len(more)
+                rows.append((path, head, b"\n".join(b"".join(parts).split(b"\n")[:HEAD_LINES])))
             yield pd.DataFrame(rows, columns=["path", "head", "lines"])
 
     return over_paths(files).mapInPandas(read, "path string, head binary, lines binary")

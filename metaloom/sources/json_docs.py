@@ -14,7 +14,7 @@ from ..functions.text import bind
 from ..session import written
 from ..operators.shape import VARIANT_MAP, as_map, flatten_entries, flatten_object, nesting, variant_text
 from .files import file_heads, list_files, reader
-from .json_stream import read_documents, read_items
+from .json_stream import RANGE_BYTES, read_documents, read_items
 
 SNIFF_CHARS = 1024
 
@@ -351,13 +351,13 @@ def document_records(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
 
 @reader("json")
-def read_json(spark: SparkSession, path: str, **options) -> DataFrame:
+def read_json(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, **options) -> DataFrame:
     """``(path, position, fields, error)`` records of one JSON dataset, a file or a folder.
 
     Every file is read by its own layout. Line-delimited files are split over tasks
-    and skip lines that hold no object; arrays are streamed item by item, so neither
-    their size nor a broken end costs the items before it. What cannot be read is a
-    row with an error and without fields.
+    and skip lines that hold no object; arrays are split into ranges of ``range_bytes``
+    at the commas of their root, so neither their size nor a broken item costs the others.
+    What cannot be read is a row with an error and without fields.
     """
     files = list_files(spark, path)
     layouts = file_heads(files).select("path", json_layout(F.make_valid_utf8(F.col("head").cast("string"))).alias("layout"))
@@ -370,7 +370,7 @@ def read_json(spark: SparkSession, path: str, **options) -> DataFrame:
         lines = spark.read.text(place).select(F.col("_metadata.file_path").alias("path"), "value")
         parts.append(line_records(lines, "path").select("path", nothing.cast("bigint").alias("position"), "fields", nothing.cast("string").alias("error")))
     if "array" in kinds:
-        items = lenient(read_items(layouts.where("layout = 'array'"))).withColumn("doc", F.try_parse_json("item"))
+        items = lenient(read_items(files.join(layouts.where("layout = 'array'"), "path"), range_bytes)).withColumn("doc", F.try_parse_json("item"))
         error = F.coalesce("error", F.when(F.col("doc").isNull(), "the item is no JSON"))
         fields = F.when(F.col("doc").isNotNull(), item_record(F.col("doc"), F.col("item")))
         parts.append(items.select("path", "position", fields.alias("fields"), error.alias("error")))

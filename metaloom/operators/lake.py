@@ -45,3 +45,60 @@ def profile_lake(spark: SparkSession, root: str, structures, **options) -> DataF
         rows = spark.read.parquet(*row["paths"]).withColumn("_dataset", F.url_decode(named))
         parts.append(profile_by(rows, ["_dataset"], structures([c for c in rows.columns if c != "_dataset"]), **options))
     return reduce(lambda a, b: a.unionByName(b), parts).withColumnRenamed("_dataset", "dataset_id")
+
+
+# ── a lake that grows ────────────────────────────────────────────────────────
+
+PARTIAL = "path string, modified timestamp, n long, sketch binary, low double, high double, first string, last string"
+
+
+def refresh_partials(spark: SparkSession, root: str, store: str, individual: str, number: str, at: str, lg_k: int = 14) -> DataFrame:
+    """Statistics of every parquet file below ``root`` that ``store`` lacks are added to it; gives the files read.
+
+    A partial is a row: records, a distinct sketch, extremes and coverage of one file as it
+    was at its time of modification. A changed file gets a new row, an old one is never
+    read again. Files lack no column; all files of a run are one scan.
+    """
+    files = list_files(spark, root).where(F.lower("path").endswith(".parquet")).select("path", F.col("modificationTime").alias("modified"))
+    known = stored_partials(spark, store).select("path", "modified")
+    fresh = written(files.join(known, ["path", "modified"], "left_anti"), "fresh-files")
+    paths = [r["path"] for r in fresh.select("path").toLocalIterator()]
+    if not paths:
+        return fresh
+    rows = spark.read.parquet(*paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col(individual).cast("string").alias("i"), F.col(number).cast("double").alias("x"),
+        F.date_format(at, "yyyy-MM-dd").alias("d"),
+    )
+    partials = rows.groupBy("path").agg(
+        F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("i", lg_k).alias("sketch"), F.min("x").alias("low"), F.max("x").alias("high"),
+        F.min("d").alias("first"), F.max("d").alias("last"),
+    )
+    # an empty file has no group but is known from now on
+    found = fresh.join(partials, "path", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    found.select(*[c.split()[0] for c in PARTIAL.split(", ")]).write.mode("append").parquet(store)
+    return fresh
+
+
+def stored_partials(spark: SparkSession, store: str) -> DataFrame:
+    from pyarrow import fs
+
+    system, inner = located(store)
+    if system.get_file_info(inner).type == fs.FileType.NotFound:
+        return spark.createDataFrame([], PARTIAL)
+    return spark.read.schema(PARTIAL).parquet(store)
+
+
+def merged_profile(spark: SparkSession, root: str, store: str) -> DataFrame:
+    """Statistics of the files that are there now, a row per dataset, from their partials alone.
+
+    The distinct count is the sketch's: with lg_k = 14 within 2.5 % in 99.7 of 100 cases.
+    """
+    files = list_files(spark, root).where(F.lower("path").endswith(".parquet")).select("path", F.col("modificationTime").alias("modified"))
+    # a run that was repeated may have left a row twice; it says the same
+    rows = stored_partials(spark, store).dropDuplicates(["path", "modified"]).join(files, ["path", "modified"])
+    named = F.regexp_extract("path", "/" + root.strip("/").rsplit("/", 1)[-1] + r"/([^/]+)/", 1)
+    return rows.groupBy(F.url_decode(named).alias("dataset_id")).agg(
+        F.sum("n").alias("number_of_records"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("number_of_unique_individuals"),
+        F.min("low").alias("min_typical_age"), F.max("high").alias("max_typical_age"),
+        F.min("first").alias("coverage_start"), F.max("last").alias("coverage_end"),
+    )

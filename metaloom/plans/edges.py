@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.dsl import compile_mapping
 from ..operators import answers as N, assemble as A, nearest, pivots, profile as P, shape, triples as X
 from ..operators.containment import contained
-from ..operators.lake import profile_lake
+from ..operators.lake import merged_profile, profile_lake, refresh_partials
 from ..session import shared_dir
 from ..sources import delimited as D, files as FS, json_docs as J, sinks, xml_docs as XM
 from .matching import centroids, vectors, CENTROIDS
@@ -368,6 +368,26 @@ def r9_written(t):
     return t.spark.read.text(path)
 
 
+@query("g5_growing_lake", """
+    select 'd=' || (l_partkey % 7)::varchar as dataset_id, count(*)::bigint as number_of_records, true as individuals_within_error,
+           min(l_quantity)::double as min_typical_age, max(l_quantity)::double as max_typical_age, strftime(min(l_shipdate), '%Y-%m-%d') as coverage_start,
+           strftime(max(l_shipdate), '%Y-%m-%d') as coverage_end, 0::bigint as files_read_again from lineitem group by 1""")
+def g5_growing(t):
+    """A lake of seven datasets that grows in two steps: the second run reads the new files only."""
+    root = shared_dir(t.spark, "lake")
+    rows = t.lineitem.withColumn("d", F.col("l_partkey") % 7)
+    seen = []
+    for part in (F.col("l_orderkey") % 3 == 0, F.col("l_orderkey") % 3 != 0):
+        rows.where(part).repartition("d").write.mode("append").partitionBy("d").parquet(f"{root}/data")
+        seen.append(refresh_partials(t.spark, f"{root}/data", f"{root}/store", "l_partkey", "l_quantity", "l_shipdate"))
+    again = seen[0].join(seen[1], ["path", "modified"]).count()
+    exact = rows.groupBy(F.concat(F.lit("d="), "d").alias("dataset_id")).agg(F.count_distinct("l_partkey").alias("exact"))
+    found = F.col("number_of_unique_individuals")
+    out = merged_profile(t.spark, f"{root}/data", f"{root}/store").join(exact, "dataset_id")
+    within = F.abs(found - F.col("exact")) <= 0.025 * F.col("exact")
+    return out.withColumns({"individuals_within_error": within, "files_read_again": F.lit(again)}).drop("number_of_unique_individuals", "exact")
+
+
 @query("a4_split_spanning", """
     select event_id::varchar as id, 'a' || chr(10) || '"' || event_type || '", b' as note, user_id::varchar as tail from events""")
 def a4_split_spanning(t):

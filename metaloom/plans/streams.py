@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators.assemble import fold_changes
 from ..session import shared_dir
-from ..streaming import profile as SP
+from ..streaming import profile as SP, upserts as UP
 from .registry import ORACLE, query
 
 
@@ -39,6 +39,14 @@ def p1(t):
     return out.join(exact, "dataset").withColumn("individuals_within_error", within).drop("number_of_unique_individuals", "exact")
 
 
+@query("p1_exact_profile", """
+    select event_type as dataset, count(*) as number_of_records, count(distinct user_id) as number_of_unique_individuals, min(value) as min_typical_age,
+           max(value) as max_typical_age, strftime(min(ts), '%Y-%m-%d') as coverage_start, strftime(max(ts), '%Y-%m-%d') as coverage_end from events group by 1""")
+def p1_exact(t):
+    stream = event_stream(t).withColumnRenamed("event_type", "dataset")
+    return finished(t, SP.exact_profile(stream, ["dataset"], "user_id", "value", "ts"), "complete", "p1-exact")
+
+
 @query("p2_stream_sample", """
     select event_type, event_id from (select *, row_number() over (partition by event_type order by md5(concat_ws('|', event_id, '0')), event_id) as n from events)
     where n <= 20""")
@@ -82,17 +90,34 @@ def p3_late(t):
     return t.spark.read.parquet(f"{root}/out").drop("batch")
 
 
-def p4(t):
-    root = shared_dir(t.spark, "p4")
+def change_log(rows):
     e = F.col("event_id")
-    log = event_stream(t).select(
+    return rows.select(
         F.col("user_id").alias("dataset_id"), e.alias("seq"), F.concat(F.lit("f_"), "event_type").alias("field"),
         F.when(e % 5 != 0, F.when(e % 2 == 0, "a").otherwise("b")).alias("subfield"),
         F.when(e % 7 != 0, e.cast("string")).alias("value"),
     )
+
+
+def p4(t):
+    root = shared_dir(t.spark, "p4")
+    log = change_log(event_stream(t))
     updates = SP.running_fields(log)
     SP.drain(updates.writeStream.outputMode("update").foreachBatch(SP.append_updates(f"{root}/log")), f"{root}/checkpoint")
     return fold_changes(SP.newest(t.spark.read.parquet(f"{root}/log"), ["dataset_id", "field", "subfield"]))
 
 
 query("p4_stream_upsert", ORACLE["l4_upsert_fold"])(p4)
+
+
+def p4_compacted(t):
+    """The same table kept in generations: eight batches, compacted at every third."""
+    root, keys = shared_dir(t.spark, "p4"), ["dataset_id", "field", "subfield"]
+    t.events.repartitionByRange(8, "event_id").write.parquet(f"{root}/in")
+    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    updates = SP.running_fields(change_log(stream))
+    SP.drain(updates.writeStream.outputMode("update").foreachBatch(UP.keep_upserts(f"{root}/table", keys, 3)), f"{root}/checkpoint")
+    return fold_changes(UP.upserted(t.spark, f"{root}/table", keys, updates.schema))
+
+
+query("p4_compacted_upsert", ORACLE["l4_upsert_fold"])(p4_compacted)

@@ -32,6 +32,23 @@ def running_profile(stream: DataFrame, by: list[str], individual: str, number: s
     )
 
 
+def exact_profile(stream: DataFrame, by: list[str], individual: str, number: str, at: str) -> DataFrame:
+    """:func:`running_profile` with the exact number of individuals.
+
+    The engine's state holds every (dataset, individual) once, so it is spread by both and no
+    dataset is a hot key; the first row of an individual counts it. Nulls are no individuals.
+    """
+    rows = stream.select(*by, F.lit(1).alias("_n"), F.lit(0).alias("_new"), F.col(number).alias("_x"), F.col(at).alias("_at"))
+    first = stream.where(F.col(individual).isNotNull()).select(*by, individual).dropDuplicates([*by, individual])
+    nothing = [F.lit(None).cast(stream.schema[c].dataType).alias(n) for c, n in ((number, "_x"), (at, "_at"))]
+    both = rows.unionByName(first.select(*by, F.lit(0).alias("_n"), F.lit(1).alias("_new"), *nothing))
+    return both.groupBy(*by).agg(
+        F.sum("_n").alias("number_of_records"), F.sum("_new").alias("number_of_unique_individuals"),
+        F.min("_x").alias("min_typical_age"), F.max("_x").alias("max_typical_age"),
+        F.date_format(F.min("_at"), "yyyy-MM-dd").alias("coverage_start"), F.date_format(F.max("_at"), "yyyy-MM-dd").alias("coverage_end"),
+    )
+
+
 def daily_budget(
     stream: DataFrame, session: str, at: str, tokens: Column, session_limit: int = SESSION_LIMIT, delay: str = "1 day"
 ) -> DataFrame:

@@ -177,12 +177,17 @@ def _ends_with(ids: np.ndarray, tail: np.ndarray) -> bool:
     return len(tail) <= len(ids) and np.array_equal(ids[len(ids) - len(tail) :], tail)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, least: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, least: int, bits: int, decoded: bool) -> Iterator[pa.RecordBatch]:
     chunks = shared_chunks(path)
+    names = ["row", "ids", "decoded"] if decoded else ["row", "ids"]
     for batch in batches:
         for block in blocks(batch.column(1)):
             ids = block_ids(block, chunks, least, bits)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), id_lists([x.view(np.int32) for x in ids])], ["row", "ids"])
+            columns = [batch.column(0).slice(block.first, block.rows), id_lists([x.view(np.int32) for x in ids])]
+            if decoded:
+                library = chunks.encoder.tokenizer
+                columns.append(pa.array([library.decode(x.tolist(), skip_special_tokens=False) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -194,13 +199,18 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string())], ["row", "ids", "decoded"])
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None, least: int = LEAST, bits: int = BITS) -> DataFrame:
+def encode(
+    docs: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None, least: int = LEAST, bits: int = BITS,
+    decoded: bool = False,
+) -> DataFrame:
     """(row, ids): the columns ``keep`` (all by default) of every row and the ids of its whole text.
 
+    With ``decoded`` the text that :func:`decode` makes of the ids follows, in the same pass.
+
     The ids are those of the tokenizers library without special tokens added. A null or empty text has
     none. Rows stay as they are, repeated ones too; columns may have any name. An empty table gives no rows.
     """
-    return carried(docs, partial(_encode, path=path or default_path(), least=least, bits=bits), "ids array<int>", text, keep)
+    return carried(docs, partial(_encode, path=path or default_path(), least=least, bits=bits, decoded=decoded), "ids array<int>" + ", decoded string" * decoded, text, keep)
 
 
 def decode(found: DataFrame, path: str | None = None) -> DataFrame:

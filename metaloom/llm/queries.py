@@ -232,7 +232,7 @@ def op11(spark, sf_dir):
 @query("op12_bpe_codec")
 def op12(spark, sf_dir):
     """Ids of every whole text and the text that they decode to, as digests."""
-    found = chunked_bpe.decode(chunked_bpe.encode(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    found = chunked_bpe.encode(table(spark, sf_dir, "documents"), keep=["doc_id"], decoded=True)
     return found.select(
         "row.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -96,6 +96,7 @@ def test_awkward_rows(spark, library):
         ids = library.encode(r["row"]["text"] or "", add_special_tokens=False).ids
         assert r["ids"] == ids and r["decoded"] == library.decode(ids, skip_special_tokens=False)
     assert set(found[0]["row"].asDict()) == set(docs.columns)
+    assert sorted(map(str, chunked_bpe.encode(docs, decoded=True).collect())) == sorted(map(str, found))
 
 
 def test_empty_table(spark):

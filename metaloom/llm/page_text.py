@@ -19,15 +19,18 @@ from pyspark.sql import DataFrame
 from .tables import carried
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""",
+    # possessive: a quote that is never closed fails at once instead of trying every split before it
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
     re.S,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 #: Elements whose content is never text.
-SKIPPED = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "title", "select", "textarea", "button", "audio", "video"}
+SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "head", "title", "select", "textarea", "button", "audio", "video"}
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "input", "meta", "link", "br"}
+#: Formulas stand inside their sentence.
+INLINE |= {"math", "semantics", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "msup", "msub", "msubsup", "mover", "munder", "munderover", "mtable", "mtr", "mtd", "mstyle", "mpadded", "mphantom", "menclose", "mfenced"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Containers that are page furniture by their element or by a word of their class, id or role.
 FURNITURE = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "fieldset"}
@@ -208,6 +211,10 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if name == "a":
             in_link = not closing
             continue
+        if name in ("annotation", "annotation-xml"):  # the source of a formula that stands there already
+            end = None if closing else re.compile("</" + name + r"[\s/>]", re.I).search(page, at)
+            at = end.start() if end else at
+            continue
         if name in INLINE and not (attributes and _HIDDEN.search(attributes)):
             continue
         flush()

@@ -66,3 +66,17 @@ def test_awkward_and_empty(spark):
     found = p.extract(pages).select("row.page_id", F.col("row.main").alias("own"), "main").collect()
     assert sorted((r.page_id or 0, r.own, r.main) for r in found) == [(0, "m", ""), (1, "m", ""), (2, "m", "x y z"), (2, "m", "x y z")]
     assert p.extract(empty_docs(spark).withColumnRenamed("text", "html")).collect() == []
+
+
+def test_open_quotes_take_no_time():
+    import time
+
+    for page in ("<a " + "x" * 60 + '="open', "<a" + "b" * 50_000 + ' c="open', "<p " + "'" * 20_001 + ">", "<p>" + '<a x="' * 3000):
+        began = time.time()
+        p.flat_blocks(page)
+        assert time.time() - began < 0.5
+
+
+def test_formulas_stay_in_their_sentence():
+    page = "<article><p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>a+b</annotation></math> is known.</p></article>"
+    assert [b[0] for b in p.flat_blocks(page)] == ["The sum a+b is known."]

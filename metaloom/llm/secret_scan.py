@@ -130,14 +130,13 @@ def _learn(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at].astype(np.int64))], ["at", "n"])
 
 
-def train(spark: SparkSession, docs: DataFrame, sample: int = 10_000) -> Ratio:
-    """Models from at most ``sample`` documents, the first by a hash of their id, and seeded random strings.
+def train(spark: SparkSession, docs: DataFrame) -> Ratio:
+    """Models from all documents and seeded random strings.
 
-    Their pattern matches are labelled secret, their other runs ordinary.
+    What the patterns match is labelled secret, the other runs ordinary. A task gives its
+    counts of transitions, so what is gathered does not grow with the documents.
     """
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    some = texts.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    counted = texts.join(F.broadcast(some), "doc_id").mapInArrow(_learn, "at long, n long")
+    counted = docs.select(F.lit(None).cast("long").alias("none"), F.col("text").cast("string").alias("text")).mapInArrow(_learn, "at long, n long")
     total = np.zeros(2 * 128 * 128)
     for row in counted.groupBy("at").agg(F.sum("n").alias("n")).collect():
         total[row["at"]] = row["n"]

@@ -44,8 +44,8 @@ def test_models_tell_random_from_ordinary(spark, ratio):
     rng = np.random.default_rng(3)
     random_ = ["".join(rng.choice(list(a), 32)) for a in s.ALPHABETS for _ in range(100)]
     ordinary = random.Random(2)
-    with open("/root/testdata/sf0.01/none", "rb") if False else __import__("contextlib").nullcontext():
-        words = [w for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").limit(3000).collect() for w in re.findall(r"[A-Za-z0-9+_=-]{16,}", r.text or "")]
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").limit(3000)
+    words = [w for r in docs.collect() for w in re.findall(r"[A-Za-z0-9+_=-]{16,}", r.text or "")]
     words = [w for w in words if not re.search(r"\d", w)]
     ordinary.shuffle(words)
     words = words[:2000]

@@ -109,10 +109,13 @@ def _tag_rows(key, owner, rids, buckets):
     order = np.lexsort((owner1, bucket))
     key1, owner1, bucket = key1[order], owner1[order], bucket[order]
     bounds = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in range(buckets):
+    for b in np.flatnonzero(np.diff(bounds)).tolist():
         s = slice(bounds[b], bounds[b + 1])
-        if bounds[b + 1] > bounds[b]:
-            out.append((b, rids.astype("<i8").tobytes(), owner1[s].astype("<u2").tobytes(), key1[s].astype("<u4").tobytes()))
+        # only the documents that stand in this bucket, so that rows do not grow with the buckets
+        present, place = np.unique(owner1[s], return_inverse=True)
+        named = present[present != _MANY]
+        place = np.where(place < len(named), place, _MANY)
+        out.append((b, rids[named].astype("<i8").tobytes(), place.astype("<u2").tobytes(), key1[s].astype("<u4").tobytes()))
     order = np.argsort(owner[shared], kind="stable")
     told, told_owner = key[shared][order], owner[shared][order]
     rows, first = np.unique(told_owner, return_index=True)
@@ -137,10 +140,10 @@ def _shared_tags(table: pa.Table, buckets: int) -> pa.Table:
         for r, o, t in zip(table["rids"].to_pylist(), table["owners"].to_pylist(), table["tags"].to_pylist()):
             owner = np.frombuffer(o, "<u2")
             marked = owner == _MANY
-            names = np.frombuffer(r, "<i8")
+            names = np.append(np.frombuffer(r, "<i8"), 0)
             tag.append(np.frombuffer(t, "<u4"))
             many.append(marked)
-            rid.append(names[np.where(marked, 0, owner)])
+            rid.append(names[np.where(marked, -1, owner.astype(np.int64))])
         tag, rid, many = (np.concatenate(x) for x in (tag, rid, many))
         order = np.argsort(tag, kind="stable")
         tag, rid, many = tag[order], rid[order], many[order]
@@ -270,14 +273,14 @@ def _window_hits(doc, before, after, around):
     return np.concatenate(hits_at), np.concatenate(hits_o)
 
 
-def _spans(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
+def _spans(rid: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
     """Spans by document, overlapping ones joined."""
-    order = np.lexsort((start, rid))
-    rid, start, end = rid[order], start[order], end[order]
-    names, first = np.unique(rid, return_index=True)
+    order = np.lexsort((start, doc, rid))
+    rid, doc, start, end = rid[order], doc[order], start[order], end[order]
+    first = np.flatnonzero(np.append(True, (rid[1:] != rid[:-1]) | (doc[1:] != doc[:-1]))[: len(rid)])
     rows = [merged(list(zip(start[s:e].tolist(), end[s:e].tolist()))) for s, e in zip(first, np.append(first[1:], len(rid)))]
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return pa.table({"rid": pa.array(names, pa.int64()), "spans": pa.array([[{"start": s, "end": e} for s, e in r] for r in rows], kind)})
+    return pa.table({"rid": pa.array(rid[first], pa.int64()), "doc_id": pa.array(doc[first], pa.int64()), "spans": pa.array([[{"start": s, "end": e} for s, e in r] for r in rows], kind)})
 
 
 def _compare(table: pa.Table) -> pa.Table:
@@ -296,7 +299,7 @@ def _compare(table: pa.Table) -> pa.Table:
     least[order] = np.repeat(np.minimum.reduceat(doc[order], opens), np.diff(np.append(opens, len(rid))))
     settled = doc > least
     full = settled & (before.astype(int) + after >= WINDOW)
-    starts, ends, rids = [at[full] - before[full]], [at[full] + after[full]], [rid[full]]
+    starts, ends, rids, docs = [at[full] - before[full]], [at[full] + after[full]], [rid[full]], [doc[full]]
     rest = np.flatnonzero(~settled)
     if len(rest):
         hit, offset = _window_hits(doc[rest], before[rest], after[rest], around[rest])
@@ -304,7 +307,8 @@ def _compare(table: pa.Table) -> pa.Table:
         starts.append(at[hit] - offset)
         ends.append(at[hit] - offset + WINDOW)
         rids.append(rid[hit])
-    return _spans(np.concatenate(rids), np.concatenate(starts), np.concatenate(ends))
+        docs.append(doc[hit])
+    return _spans(np.concatenate(rids), np.concatenate(docs), np.concatenate(starts), np.concatenate(ends))
 
 
 def _emit_windows(batches, buckets: int, hot: np.ndarray):
@@ -345,8 +349,8 @@ def _cut(batches):
                 spans.append([{"start": s, "end": e} for s, e in cut])
                 digest.append(left.hexdigest())
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(block.first, block.rows), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(digest),
-            ], ["rid", "removed", "spans", "left_digest"])
+                *[batch.column(i).slice(block.first, block.rows) for i in (0, 3)], pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(digest),
+            ], ["rid", "doc_id", "removed", "spans", "left_digest"])
 
 
 def repeated_runs(
@@ -357,8 +361,8 @@ def repeated_runs(
     ``spans`` are the maximal removed byte ranges of the text as given. A null text is
     empty. Rows of one doc_id are not smaller than each other, so they keep what only
     they share. A row without doc_id keeps its text and takes nothing from others. Extra
-    columns are ignored; an empty table gives no rows. ``sample`` documents give the
-    splitters, which decide only where suffixes are compared.
+    columns are ignored; an empty table gives no rows. ``sample`` documents, or one for every eight
+    ranges if that is more, give the splitters, which decide only where suffixes are compared.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -381,16 +385,16 @@ def repeated_runs(
     wanted = shared.join(own, "rid", "left_semi").groupBy("rid").agg(F.sum("n").alias("n"), F.collect_list("tags").alias("tags"))
     wanted = written(wanted, "wanted")
     count = wanted.agg(F.sum("n")).first()[0] or 0
-    some = wanted.orderBy(F.xxhash64("rid"), "rid").limit(sample).select("rid", "tags")
-    leads = usable.join(F.broadcast(some), "rid").select("rid", "text", "tags").mapInArrow(partial(_leads, buckets=buckets), "lead long, n long")
     targets = max(1, -(-count // suffixes_per_bucket))
+    some = wanted.orderBy(F.xxhash64("rid"), "rid").limit(max(sample, targets // 8)).select("rid", "tags")
+    leads = usable.join(F.broadcast(some), "rid").select("rid", "text", "tags").mapInArrow(partial(_leads, buckets=buckets), "lead long, n long")
     splitters, hot = _splitters(leads.groupBy("lead").agg(F.sum("n").alias("n")), targets)
     joined = usable.join(wanted.drop("n"), "rid").select("rid", "text", "tags", "doc_id")
     suffixes = joined.mapInArrow(
         partial(_emit_suffixes, buckets=buckets, splitters=splitters, hot=hot),
         "target long, rid binary, doc binary, at binary, before binary, after binary, around binary",
     )
-    kind = "rid long, spans array<struct<start:long,end:long>>"
+    kind = "rid long, doc_id long, spans array<struct<start:long,end:long>>"
     spans = suffixes.groupBy("target").applyInArrow(_compare, kind)
     if len(hot):
         windows = joined.mapInArrow(partial(_emit_windows, buckets=buckets, hot=hot), "rid long, doc long, window long, start long")
@@ -398,13 +402,15 @@ def repeated_runs(
         least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
         least = written(least.select("window", "least"), "least")
         beaten = windows.join(least, "window").where("doc > least")
-        spans = spans.unionByName(beaten.groupBy("rid").agg(
+        spans = spans.unionByName(beaten.groupBy("rid", F.col("doc").alias("doc_id")).agg(
             F.collect_set(F.struct("start", (F.col("start") + WINDOW).alias("end"))).alias("spans")
         ))
-    spans = written(spans.groupBy("rid").agg(F.collect_list("spans").alias("lists")), "spans")
-    cut = usable.join(spans, "rid").select("rid", "text", "lists")
-    cut = cut.mapInArrow(_cut, "rid long, removed long, spans array<struct<start:long,end:long>>, left_digest string")
-    out = facts.join(cut.dropDuplicates(["rid"]), "rid", "left")
+    # rows are told apart by id and hash together: one hash alone repeats in very large tables
+    row = ["rid", "doc_id"]
+    spans = written(spans.groupBy(*row).agg(F.collect_list("spans").alias("lists")), "spans")
+    cut = usable.join(spans, row).select("rid", "text", "lists", "doc_id")
+    cut = cut.mapInArrow(_cut, "rid long, doc_id long, removed long, spans array<struct<start:long,end:long>>, left_digest string")
+    out = facts.join(cut.dropDuplicates(row), row, "left")
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     return out.select(
         "doc_id", "n_bytes", F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),

@@ -95,3 +95,26 @@ def test_equal_windows_have_equal_anchors():
     size = len(shared.encode())
     inner = [{int(p) - a for p, r_ in zip(position, row) if r_ == r and a + s.LEFT <= p <= a + size - s.WINDOW} for r, a in enumerate(at)]
     assert inner[0] and inner[0] == inner[1]
+
+
+def test_tag_rows_do_not_grow_with_the_buckets():
+    """The bytes of a run's rows are the same per anchor, however many buckets there are."""
+    rng = np.random.default_rng(5)
+    key, owner = rng.integers(0, 2**62, 40_000), rng.integers(0, 2000, 40_000)
+    rids = rng.integers(0, 2**62, 2000)
+    sizes = []
+    for buckets in (12, 1000):
+        mine = ((key >> 32) % buckets << 32) | (key & 0xFFFFFFFF)
+        sizes.append(sum(b.nbytes for b in s._tag_rows(mine, owner, rids, buckets)))
+    assert sizes[1] < 3 * sizes[0]
+
+
+def test_rows_with_one_hash_keep_apart(spark, monkeypatch):
+    """Two documents whose row hashes are equal do not get each other's cuts."""
+    from pyspark.sql import functions as F
+
+    rows = planted()
+    real = F.xxhash64
+    monkeypatch.setattr(s.F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(40)) if c[0] == "doc_id" else real(*c))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found(s.repeated_runs(spark, docs)) == brute(rows)

@@ -32,7 +32,7 @@ def test_whole_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     machine = quality_model.train(spark, docs, spark.read.parquet(f"{SF}/labels.parquet"))
     good = quality_model.score(docs, machine).where("score >= 0.5").select("row.doc_id", "row.text").orderBy("doc_id").collect()
-    texts = line_brute([r.text for r in good], 10, 0.5, 0.5)
+    texts = line_brute([r.text for r in good], 10)
     rows = [(r.doc_id, t) for r, t in zip(good, texts)]
     kept = near_brute(rows, 5)
     rows = [(d, t) for d, t in rows if kept[d, t][1] == d]

@@ -46,4 +46,4 @@ def test_near_copies_keep_their_lines(spark):
             w[rng.randrange(40)] = f"edit{rng.randrange(10**6)}"
             lines[i] = " ".join(w)
         texts.append("\n".join(lines))
-    assert left(spark, texts, max_share=1.0) == dict(enumerate(texts))
+    assert left(spark, texts) == dict(enumerate(texts))

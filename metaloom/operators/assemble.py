@@ -315,18 +315,15 @@ def active_fields(datasets: DataFrame, blocks: DataFrame) -> DataFrame:
 
 # ── comparison ───────────────────────────────────────────────────────────────
 
-def record_diff(first: DataFrame, second: DataFrame) -> DataFrame:
+def record_diff(first: DataFrame, second: DataFrame, bucketed: bool = False) -> DataFrame:
     """Differences between two runs: ``(dataset_id, field, problem, before, after)``.
 
     Versions must have grown by one and the history by the new version; all other
     fields must be equal. Both runs meet in one aggregation per record, which holds
-    its about sixty fields; a repeated field counts once.
+    its about sixty fields; a repeated field counts once. Runs that the sinks wrote as
+    ``bucketed`` tables meet bucket by bucket, without a shuffle of their fields.
     """
-    both = first.select("dataset_id", "field", "value", F.lit(1).alias("_run")).unionByName(
-        second.select("dataset_id", "field", "value", F.lit(2).alias("_run"))
-    )
-    side = lambda run: F.max(F.when(F.col("_run") == run, F.struct(F.coalesce("value", F.lit("")), "value")))
-    fields = both.groupBy("dataset_id", "field").agg(side(1).alias("a"), side(2).alias("b"))
+    fields = bucket_pairs(first, second) if bucketed else field_pairs(first, second)
     before, after = F.col("a.value"), F.col("b.value")
     problem = (
         F.when(F.col("a").isNull(), "missing in first")
@@ -345,6 +342,24 @@ def record_diff(first: DataFrame, second: DataFrame) -> DataFrame:
     return records.select("dataset_id", F.inline(rows))
 
 
+def field_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``(dataset_id, field, a, b)``: the value of a field in either run, NULL where the run lacks it."""
+    both = first.select("dataset_id", "field", "value", F.lit(1).alias("_run")).unionByName(
+        second.select("dataset_id", "field", "value", F.lit(2).alias("_run"))
+    )
+    side = lambda run: F.max(F.when(F.col("_run") == run, F.struct(F.coalesce("value", F.lit("")), "value")))
+    return both.groupBy("dataset_id", "field").agg(side(1).alias("a"), side(2).alias("b"))
+
+
+def bucket_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
+    """:func:`field_pairs` of two tables bucketed by dataset and field; both are never null there."""
+
+    def one(run: DataFrame, name: str) -> DataFrame:
+        return run.groupBy("dataset_id", "field").agg(F.max(F.struct(F.coalesce("value", F.lit("")), "value")).alias(name))
+
+    return one(first, "a").join(one(second, "b"), ["dataset_id", "field"], "full")
+
+
 def version_problems() -> Column:
     """Findings on the columns v1, v2 (version) and h1, h2 (history) of two runs."""
 

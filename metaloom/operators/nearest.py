@@ -203,15 +203,26 @@ def hashed_text(c: Column, dim: int = 384) -> Column:
     codes = F.transform(words, lambda w: F.crc32(F.encode(w, "UTF-8")))
     cells = F.transform(codes, lambda h: F.struct((h % dim).cast("int").alias("at"), F.when(h >= 1 << 31, 1.0).otherwise(-1.0).alias("sign")))
 
-    def vector(found: Column) -> Column:
-        total = lambda i: F.aggregate(F.filter(found, lambda e: e["at"] == i), F.lit(0.0), lambda a, e: a + e["sign"])
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), total)
+    def vector(s: Column) -> Column:
+        """The sorted cells in one pass: zeros up to each cell that occurs, then the sum of its run."""
+        n, zeros = F.size(s), lambda k: F.array_repeat(F.lit(0.0), k)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i)["at"] != F.get(s, i - 1)["at"]))
+
+        def dense(p: Column) -> Column:
+            def run(i: Column, r: Column) -> Column:
+                end, before = F.coalesce(F.get(p, r + 1), n), F.coalesce(F.get(s, F.get(p, r - 1))["at"], F.lit(-1))
+                total = F.aggregate(F.slice(s, i + 1, end - i), F.lit(0.0), lambda a, e: a + e["sign"])
+                return F.concat(zeros(F.get(s, i)["at"] - before - 1), F.array(total))
+
+            return F.concat(F.flatten(F.transform(p, run)), zeros(dim - 1 - F.get(s, n - 1)["at"]))
+
+        return F.when(n == 0, zeros(dim)).otherwise(bind(starts, dense))
 
     def unit(v: Column) -> Column:
         norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
         return bind(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x).cast("float")))
 
-    return bind(bind(cells, vector), unit)
+    return bind(bind(F.array_sort(cells), vector), unit)
 
 
 def embed_text(c: Column, encode=None) -> Column:

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from ..operators import answers as N, assemble as A, profile as P, rules as R, triples as X, usage as U
 from ..operators.shape import json_string
-from ..session import spread, written
-from .registry import query
+from ..session import shared_dir, spread, written
+from ..sources import sinks
+from .registry import ORACLE, query
 
 
 def js(name):
@@ -184,6 +185,20 @@ def k16(t):
            '["' || (o_custkey % 9)::varchar || '.0","' || (o_custkey % 9 + 1)::varchar || '.0"]'
     from orders where o_custkey % 6 = 0""")
 def h14(t):
+    return A.record_diff(*two_runs(t))
+
+
+@query("h14_written_runs", ORACLE["h14_record_diff"])
+def h14_written(t):
+    """The same two runs, written as bucketed tables first."""
+    tables = []
+    for run in two_runs(t):
+        path = shared_dir(t.spark, "run")
+        tables.append(sinks.write_run(run, path.rsplit("/", 1)[1].replace("-", "_"), path, 8))
+    return A.record_diff(*tables, bucketed=True)
+
+
+def two_runs(t):
     c = F.col("o_custkey")
     v = c % 9
 
@@ -200,7 +215,7 @@ def h14(t):
     second = order_fields(
         t, ("status", F.when(c % 5 == 0, "X").otherwise(F.col("o_orderstatus"))), ("version", quoted(grown)), ("has_version", listed(v, v + 1))
     ).unionByName(order_fields(t, ("price", F.col("o_totalprice").cast("string")), df=t.orders.where("o_custkey % 3 <> 0")))
-    return A.record_diff(first, second)
+    return first, second
 
 
 # ── completeness and validation ──────────────────────────────────────────────

@@ -20,6 +20,19 @@ def record_json(values: DataFrame) -> DataFrame:
     return grouped.select("dataset_id", F.concat(F.lit("{"), F.concat_ws(",", "m"), F.lit("}")).alias("value"))
 
 
+def write_run(values: DataFrame, table: str, path: str, buckets: int = 64) -> DataFrame:
+    """``(dataset_id, field, value)`` as a table bucketed by dataset and field.
+
+    Tables of one number of buckets join and group by these columns without a shuffle. A
+    bucket should fit a task: take more for very many records. Rows without a dataset or a field are left out.
+    """
+    rows = values.where("dataset_id is not null and field is not null").select("dataset_id", "field", "value")
+    keys = ["dataset_id", "field"]
+    # one file per bucket: the writer's tasks are the buckets
+    rows.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return values.sparkSession.table(table)
+
+
 def write_records(values: DataFrame, path: str) -> None:
     """One JSON line per record, files spread by dataset."""
     record_json(values).select("value").write.mode("overwrite").text(path)

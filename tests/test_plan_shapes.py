@@ -44,3 +44,13 @@ def test_global_sample_is_a_top_k(spark):
 def test_row_local_operators_hash_nothing(spark, name):
     text = plan(spark, name)
     assert text.count("Exchange hashpartitioning") <= (1 if name == "m1_m4_triples" else 0)
+
+
+def test_written_runs_meet_without_a_shuffle_of_their_fields(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(spark, "h14_written_runs")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # one shuffle of half aggregated records, none below it
+    assert text.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in text

@@ -26,8 +26,8 @@ from .texts import ALNUM, Block, blocks, chain, counts_of, span_hash, words
 #: Words: everything but the ASCII characters outside 0-9 and a-z, after A-Z are lower-cased.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = {i: i + 32 for i in range(65, 91)}
-#: Words of items in one automaton, of which a task holds one at a time.
-GROUP_WORDS = 2_000_000
+#: Words of items in one automaton, of which a task holds one at a time: about 1.1 KB a word.
+GROUP_WORDS = 200_000
 
 HITS = "n_words long, n_hit long, items array<string>, longest long, spans array<struct<start:long,end:long>>, left_over string"
 GROUP_HITS = "at long, hit array<long>, items array<string>, longest long, spans array<struct<start:long,end:long>>"

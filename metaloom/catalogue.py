@@ -22,16 +22,28 @@ def no_fields(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], FIELDS)
 
 
-def records_frame(df: DataFrame) -> DataFrame:
-    """Readers of open formats give a ``fields`` map; its keys become columns.
+def named_in(structure) -> set[str]:
+    """All texts of a structure: the columns it maps are among them."""
+    if isinstance(structure, str):
+        return {structure}
+    inner = structure.values() if isinstance(structure, dict) else structure if isinstance(structure, (list, tuple)) else ()
+    return set().union(*map(named_in, inner))
 
-    The key set comes from one aggregation over the distinct keys of the records.
+
+def records_frame(df: DataFrame, names: set[str] | None = None) -> DataFrame:
+    """Readers of open formats give a ``fields`` map; its keys become columns, those among ``names`` if given.
+
+    The key set comes from one aggregation over the distinct keys of the records; with
+    names it is no larger than they are, however many keys the data have.
     """
     if "fields" not in df.columns:
         return df
     if "error" in df.columns:
         df = df.where("error is null")
-    keys = [r[0] for r in df.select(F.explode(F.map_keys("fields"))).distinct().orderBy("col").collect()]
+    present = F.map_keys("fields")
+    if names is not None:
+        present = F.array_intersect(present, F.lit(sorted(names)).cast("array<string>"))
+    keys = [r[0] for r in df.select(F.explode(present)).distinct().orderBy("col").collect()]
     return df.select(*[F.try_element_at("fields", F.lit(k)).alias(k) for k in keys])
 
 
@@ -41,7 +53,7 @@ def statistics(
     """Statistics of one dataset as record fields; with all of them given nothing is read."""
     given = {k: v for k, v in (prefilled or {}).items() if has_value(v)}
     complete = all(f in (prefilled or {}) for f in STAT_FIELDS) or all(f in given for f in STAT_FIELDS)
-    df = spark.range(0) if complete else records_frame(FS.read_any(spark, path))
+    df = spark.range(0) if complete else records_frame(FS.read_any(spark, path), named_in(structure))
     stats = profile(df, structure, given, **options)
     if complete:  # nothing was counted, so only what was given is known
         stats = stats.withColumn("number_of_records", F.lit(given.get("number_of_records")).cast("bigint"))

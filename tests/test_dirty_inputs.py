@@ -175,3 +175,12 @@ def test_literals_round_trip(spark):
     texts = ['plain', 'a "q" \\ b', "t\tn\nr\r", "\\n is no break", "é😀", "\\\\", "'"]
     df = spark.createDataFrame([(t,) for t in texts], "o string")
     assert [r[0] for r in df.select(X.unescape_literal(X.escape_literal(F.col("o")))).collect()] == texts
+
+
+def test_records_of_very_many_keys_give_mapped_columns_only(spark):
+    """A driver that asks for two columns learns of no others."""
+    rows = [({f"k{i}_{j}": "v" for j in range(20)} | {"x": str(i)},) for i in range(50)]
+    df = spark.createDataFrame(rows, "fields map<string,string>")
+    structure = {"min_typical_age": [{"columns": ["x"], "transform": [{"op": "to_numeric"}]}], "temporal_coverage": [{"year": {"column": "k3_7"}}], "z": []}
+    assert C.records_frame(df, C.named_in(structure)).columns == ["k3_7", "x"]
+    assert C.records_frame(df, set()).columns == [] and C.records_frame(df, {"x"}).count() == 50

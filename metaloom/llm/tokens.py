@@ -16,7 +16,7 @@ import numpy as np
 
 from .texts import Block, byte_class, span_hash
 
-CACHE = 1_000_000
+CACHE = 250_000
 #: Bits of the direct look-up in front of the cache: one place per word hash, the last word has it.
 PLACES = 20
 _BLANK, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3

@@ -88,10 +88,10 @@ def cell(key: Column, v: Column, more: Column, steps: Column | None = None, raw:
         kind = F.schema_of_variant(v)
         ordered = kind.startswith("ARRAY") & (kind.contains("OBJECT") | kind.contains("VARIANT"))
         text = F.when(ordered, F.coalesce(space_json_text(raw_text(raw, steps)), text)).otherwise(text)
-    return F.struct(
-        key.alias("key"), F.when(more, v).alias("value"), F.when(~more, text).alias("text"),
-        (F.array().cast("array<string>") if steps is None else steps).alias("steps"),
-    )
+    at = F.array().cast("array<string>") if steps is None else steps
+    return bind(more, lambda open_: F.struct(
+        key.alias("key"), F.when(open_, v).alias("value"), F.when(~open_, text).alias("text"), at.alias("steps")
+    ))
 
 
 def raw_text(raw: Column, steps: Column) -> Column:

@@ -6,7 +6,7 @@ from ..functions.dsl import compile_mapping
 from ..operators import answers as N, assemble as A, nearest, pivots, profile as P, shape, triples as X
 from ..operators.containment import contained
 from ..operators.lake import merged_profile, profile_lake, refresh_partials
-from ..session import shared_dir
+from ..session import shared_dir, spread
 from ..sources import delimited as D, files as FS, json_docs as J, sinks, xml_docs as XM
 from .matching import centroids, vectors, CENTROIDS
 from .profiling import LINEITEM, steps
@@ -124,7 +124,7 @@ def a7_deep(t):
     one = F.concat(F.lit('{"id":'), "c_custkey", F.lit(',"n":' + deep + '"'), "c_name", F.lit('"' + "}" * 41))
     two = F.lit('{"id":0,"n":' + deep + '"x"' + "}" * 41)
     text = F.concat(F.lit("{" + down + '"rows":['), one, F.lit(","), two, F.lit("]" + "}" * 13))
-    rows = J.unwrap(t.customer.select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
+    rows = J.unwrap(spread(t.customer).select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
     leaf = "n" + ".d" * 40
     return rows.select("doc_id", F.col("fields")["id"].alias("id"), F.col("fields")[leaf].alias("leaf"))
 
@@ -134,7 +134,7 @@ def a7_deep(t):
 def a7_repeated_header(t):
     """A list of lists under a header that names two columns alike: the last one counts."""
     text = F.concat(F.lit('{"head":["a","b","a"],"rows":[["x",2,"'), "c_name", F.lit('"],[1,4,"y"]]}'))
-    rows = J.unwrap(t.customer.select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
+    rows = J.unwrap(spread(t.customer).select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
     return rows.select("doc_id", F.col("fields")["a"].alias("a"), F.col("fields")["b"].alias("b"))
 
 

@@ -122,6 +122,18 @@ def is_container(v: Column) -> Column:
     return as_fields(v).isNotNull() | as_items(v).isNotNull()
 
 
+def may_hold_records(v: Column) -> Column:
+    """False where neither a node nor anything below it can be a record set, told by its type.
+
+    A list among them has lists or objects for items; a keyed collection is an object with two
+    objects in it. Names of keys that look like types only cost a search in vain.
+    """
+    return bind(
+        F.schema_of_variant(v),
+        lambda kind: kind.rlike("ARRAY<(?:OBJECT|ARRAY|VARIANT)") | (kind.contains(",") & (F.size(F.split(kind, "OBJECT<")) > 3)),
+    )
+
+
 def candidate(v: Column, skip_numeric: bool) -> Column:
     """Kind and score of a node, NULL when it is no record set."""
 
@@ -178,14 +190,20 @@ def search(v: Column, raw: Column, depth: int | None = None, skip_numeric: bool
     """Every record set of a document (down to ``depth``, if given), found inside its row.
 
     A fold over the levels carries the containers of one level and the record sets
-    met so far, so a document is walked once and nothing is shuffled. ``place`` is
-    the position path in fixed width: its text order is document order.
+    met so far, so a document is walked once and nothing is shuffled. Containers whose type rules
+    out a record set are not opened. ``place`` is the position path in fixed width: its
+    text order is document order.
     """
 
+    def opened(children: Column) -> Column:
+        # the type of an only child is as long as its parent's: it is opened rather than typed
+        return F.when(F.size(children) == 1, F.filter(children, lambda c: is_container(c["value"]))).otherwise(
+            F.filter(children, lambda c: may_hold_records(c["value"]))
+        )
+
     def below(n: Column) -> Column:
-        inner = F.filter(ordered_children(n["v"], n["raw"]), lambda c: is_container(c["value"]))
         return F.transform(
-            inner,
+            bind(ordered_children(n["v"], n["raw"]), opened),
             lambda c: F.struct(
                 c["value"].alias("v"), c["raw"].alias("raw"),
                 F.concat(n["path"], F.array(F.struct(c["key"].alias("key"), c["pos"].alias("pos")))).alias("path"),
@@ -212,7 +230,7 @@ def search(v: Column, raw: Column, depth: int | None = None, skip_numeric: bool
 
     root = F.struct(v.alias("v"), raw.alias("raw"), F.array().cast(PATH).alias("path"))
     start = F.struct(
-        F.when(is_container(v), F.array(root)).otherwise(F.array()).cast(FRONTIER).alias("frontier"),
+        F.when(may_hold_records(v), F.array(root)).otherwise(F.array()).cast(FRONTIER).alias("frontier"),
         F.array().cast(FOUND).alias("found"),
     )
     levels = F.lit(depth) if depth is not None else nesting(v)
@@ -240,15 +258,16 @@ def best_candidate(found: Column) -> Column:
     return F.array_min(ranked)
 
 
-def node_at(v: Column, path: Column) -> Column:
-    """Node of a document at a path of steps."""
+def child_at(node: Column, s: Column) -> Column:
+    """Child of a node at one step."""
+    return F.when(
+        s["key"].isNotNull(), F.try_element_at(as_fields(node), s["key"])
+    ).otherwise(F.try_element_at(as_items(node), s["pos"] + 1))
 
-    def down(node: Column, s: Column) -> Column:
-        return F.when(
-            s["key"].isNotNull(), F.try_element_at(as_fields(node), s["key"])
-        ).otherwise(F.try_element_at(as_items(node), s["pos"] + 1))
 
-    return F.aggregate(path, v, down)
+def node_at(v: Column, path: Column) -> Column:
+    """Node of a document at a path of steps."""
+    return F.aggregate(path, v, child_at)
 
 
 def raw_at(raw: Column, path: Column) -> Column:
@@ -320,12 +339,16 @@ def unwrap(
     rows = parsed(docs, key, text).where(as_fields(F.col("v")).isNotNull())
     chosen = rows.withColumn("best", best_candidate(search(F.col("v"), F.col("raw"), depth, skip_numeric)))
     path = F.coalesce(F.col("best.path"), F.array().cast(PATH))
-    up = F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0)))
-    located = chosen.select(
-        key, F.col("best.kind").alias("kind"), F.try_element_at(path, F.lit(-1))["key"].alias("own"),
-        node_at(F.col("v"), path).alias("node"), node_at(F.col("v"), up).alias("parent"),
-        F.when(F.col("best.kind") == "lists", raw_at(F.col("raw"), up)).alias("parent_raw"),
-        F.when(F.col("best.kind") == "objects", raw_items(node_at(F.col("v"), path), raw_at(F.col("raw"), path))).alias("raws"), "raw",
+    # one walk to the parent, one step from there; every later expression reads the columns
+    above = chosen.select(
+        key, F.col("best.kind").alias("kind"), path.alias("_path"), F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0))).alias("up"),
+        F.try_element_at(path, F.lit(-1)).alias("step"), "v", "raw",
+    ).withColumn("parent", node_at(F.col("v"), F.col("up")))
+    found = above.withColumn("node", F.when(F.col("step").isNull(), F.col("parent")).otherwise(child_at(F.col("parent"), F.col("step"))))
+    located = found.select(
+        key, "kind", F.col("step")["key"].alias("own"), "node", "parent", "raw",
+        F.when(F.col("kind") == "lists", raw_at(F.col("raw"), F.col("up"))).alias("parent_raw"),
+        F.when(F.col("kind") == "objects", raw_items(F.col("node"), raw_at(F.col("raw"), F.col("_path")))).alias("raws"),
     )
     node = F.col("node")
     width = F.size(as_items(as_items(node)[0]))

@@ -54,3 +54,9 @@ def test_written_runs_meet_without_a_shuffle_of_their_fields(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # one shuffle of half aggregated records, none below it
     assert text.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in text
+
+
+@pytest.mark.parametrize("name", ["a7_deep", "a7_repeated_header"])
+def test_heavy_rows_are_shared_out(spark, name):
+    """A file of one row group is one task: its rows go to all cores before they are worked on."""
+    assert "Exchange RoundRobinPartitioning" in plan(spark, name)

@@ -118,6 +118,15 @@ def test_unwrap_without_header(spark):
     ]
 
 
+def test_containers_that_cannot_hold_records_are_not_opened(spark):
+    """Told by the type: scalar lists, flat objects, chains; unlike lists and keyed objects are opened."""
+    texts = ['[1,2]', '{"a":1,"b":"x"}', '{"a":{"b":{"c":1}}}', '{"a,b":{"c":1}}', '[]', '3',
+             '[{"a":1}]', '[[1]]', '[1,[2]]', '{"a":{"x":1},"b":{"x":2}}', '{"n":{"a":{"x":1},"b":{}}}', '{"l":[{"a":1}],"m":2}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.select(J.may_hold_records(F.parse_json("t")), "i").orderBy("i").collect()]
+    assert got == [False] * 6 + [True] * 6
+
+
 def test_unwrap_first_of_equal_scores_in_written_order(spark):
     assert unwrap(spark, {"z": [{"a": 1}], "b": [{"c": 2}]}) == [{"a": "1"}]
 

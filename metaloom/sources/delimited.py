@@ -119,27 +119,50 @@ def named_dialects(dialects: DataFrame) -> DataFrame:
 
 # ── what the body of a file holds ────────────────────────────────────────────
 
-def range_state(data: bytes, before: bytes, mark: bytes) -> tuple[int, bool, bool, bool]:
-    """Quotes (mod 2), line breaks outside and inside of quotes counted from the range
-    start, and whether a quote opens a cell."""
-    raw = np.frombuffer(data, np.uint8)
-    quote = raw == 34
-    inside = np.cumsum(quote) & 1
-    breaks = raw == 10
-    previous = np.concatenate([np.frombuffer(before[-1:] or b"\n", np.uint8), raw[:-1]])
-    opens = bool((quote & ((previous == 10) | (previous == 13) | (previous == mark[0]))).any())
-    return int(quote.sum() & 1), bool((breaks & (inside == 0)).any()), bool((breaks & (inside == 1)).any()), opens
-
-
-def range_width(data: bytes, mark: bytes) -> int:
-    """Most cells of a line without quotes that lies inside the range."""
-    raw = np.frombuffer(data, np.uint8)
-    breaks = np.flatnonzero(raw == 10)
-    marks = np.concatenate([[0], np.cumsum(raw == mark[0])])
-    quotes = np.concatenate([[0], np.cumsum(raw == 34)])
-    starts, ends = np.concatenate([[0], breaks + 1]), np.append(breaks, len(raw))
-    plain = quotes[ends] == quotes[starts]
-    return int((marks[ends] - marks[starts])[plain].max(initial=0)) + 1
+class Body:
+    """What the bytes of a range hold, followed chunk by chunk, so that a range of any size costs the memory of a chunk.
+
+    ``odd`` counts quotes (mod 2), ``outer`` and ``inner`` tell of line breaks outside and inside of
+    quotes counted from the range start, ``opens`` whether a quote opens a cell, ``cells`` the most cells of
+    a line without quotes that begins in the range.
+    """
+
+    def __init__(self, before: bytes, mark: bytes):
+        self.mark, self.previous = mark[0], (before or b"\n")[0]
+        self.odd, self.outer, self.inner, self.opens, self.cells = 0, False, False, False, 1
+        #: The line under way: does it begin in the range, its delimiters and quotes so far.
+        self.own, self.marks, self.quotes = before in (b"", b"\n"), 0, 0
+
+    def read(self, data: bytes) -> None:
+        raw = np.frombuffer(data, np.uint8)
+        quote = raw == 34
+        breaks, quotes, marks = np.flatnonzero(raw == 10), np.flatnonzero(quote), np.flatnonzero(raw == self.mark)
+        if len(quotes):
+            ahead = np.where(quotes > 0, raw[quotes - 1], self.previous)
+            self.opens |= bool(np.isin(ahead, (10, 13, self.mark)).any())
+        if len(breaks):
+            inside = (np.cumsum(quote, dtype=np.uint8)[breaks] + self.odd) & 1
+            self.inner, self.outer = self.inner or bool(inside.any()), self.outer or not inside.all()
+            so_far = [np.searchsorted(found, breaks) for found in (marks, quotes)]
+            m, q = (np.diff(n, prepend=0) for n in so_far)
+            m[0], q[0] = m[0] + self.marks, q[0] + self.quotes
+            plain = q == 0
+            plain[0] &= self.own
+            self.cells = max(self.cells, int(m[plain].max(initial=0)) + 1)
+            self.own, self.marks, self.quotes = True, len(marks) - int(so_far[0][-1]), len(quotes) - int(so_far[1][-1])
+        else:
+            self.marks, self.quotes = self.marks + len(marks), self.quotes + len(quotes)
+        self.odd, self.previous = (self.odd + len(quotes)) & 1, raw[-1]
+
+    def finish(self, file) -> None:
+        """Follow the last line behind the range to its end."""
+        while self.own and self.previous != 10 and (more := file.read(65536)):
+            line, broken, _ = more.partition(b"\n")
+            self.marks, self.quotes = self.marks + line.count(self.mark), self.quotes + line.count(34)
+            if broken:
+                break
+        if self.own and not self.quotes:
+            self.cells = max(self.cells, self.marks + 1)
 
 
 def body_state(files: DataFrame, dialects: DataFrame) -> DataFrame:
@@ -153,7 +176,7 @@ def body_state(files: DataFrame, dialects: DataFrame) -> DataFrame:
     ranges = files.join(dialects.select("path", "delimiter"), "path").select(
         "path", "delimiter", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(RANGE_BYTES).cast("bigint"))).alias("start")
     )
-    state, width, size = range_state, range_width, RANGE_BYTES
+    body, size = Body, RANGE_BYTES
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -161,17 +184,12 @@ def body_state(files: DataFrame, dialects: DataFrame) -> DataFrame:
             for path, delimiter, start in zip(batch["path"], batch["delimiter"], batch["start"]):
                 with open_at(path) as file:
                     file.seek(max(0, start - 1))
-                    data = file.read(size + (start > 0))
-                    before, data = (data[:1], data[1:]) if start else (b"", data)
-                    tail = b""
-                    while data and b"\n" not in tail and (more := file.read(65536)):
-                        tail += more
-                mark = delimiter.encode()
-                # a line belongs to the range it starts in
-                whole = data + tail.split(b"\n")[0]
-                if start and before != b"\n":
-                    whole = whole.partition(b"\n")[2]
-                rows.append((path, start, *state(data, before, mark), width(whole, mark)))
+                    here, left = body(file.read(1) if start else b"", delimiter.encode()), size
+                    while left > 0 and (data := file.read(min(CHUNK_BYTES, left))):
+                        here.read(data)
+                        left -= len(data)
+                    here.finish(file)
+                rows.append((path, start, here.odd, here.outer, here.inner, here.opens, here.cells))
             yield pd.DataFrame(rows, columns=["path", "start", "odd", "outer", "inner", "opens", "cells"])
 
     found = ranges.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism), "path", "start").mapInPandas(

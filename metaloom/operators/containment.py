@@ -2,7 +2,8 @@
 
 A pattern that occurs in a text has each of its words inside some word of the text. So
 the search goes over the vocabulary of the texts, which is far smaller than they are: a word of
-a pattern is looked up by the one of its grams that the fewest vocabulary words have, and
+a pattern of up to ``GRAM`` characters is met as it is among the substrings of the vocabulary; a
+longer one is looked up by the one of its grams that the fewest vocabulary words have, and
 confirmed there. Texts come in only through their words; a pattern of several words asks for the
 word that fewest texts have and is confirmed on the text itself.
 
@@ -13,10 +14,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import bind
 from ..session import written
 
-GRAM = 4
+#: Characters of a gram. Patterns of up to that length meet no word in vain: with short grams the
+#: words to be confirmed would grow with the vocabulary times the dictionary.
+GRAM = 16
 
 
 def words_in(text: Column) -> Column:
@@ -27,20 +29,17 @@ def words_in(text: Column) -> Column:
 def grams(word: Column, sizes: list[int]) -> Column:
     """Distinct substrings of the given sizes."""
 
-    def of(chars: Column) -> Column:
-        n = F.size(chars)
+    n = F.length(word)
 
-        def of_size(size: int) -> Column:
-            at = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
-            return F.transform(at, lambda i: F.concat(*[F.get(chars, i + k) for k in range(size)]))
+    def of_size(size: int) -> Column:
+        at = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.substring(word, i, F.lit(size)))
 
-        return F.array_distinct(F.concat(*[of_size(size) for size in sizes]))
+    return F.array_distinct(F.concat(*[of_size(size) for size in sizes]))
 
-    return bind(F.split(word, ""), of)
 
-
-def words_holding(vocabulary: DataFrame, parts: DataFrame) -> DataFrame:
-    """``(part, token)``: the words of ``vocabulary(token)`` that hold a word of ``parts(part)``."""
+def words_met(vocabulary: DataFrame, parts: DataFrame) -> DataFrame:
+    """``(part, token)``: the words of ``vocabulary(token)`` that have the rarest gram of a word of ``parts(part)``."""
     size = F.least(F.length("part"), F.lit(GRAM))
     sizes = sorted(r["s"] for r in parts.select(size.alias("s")).distinct().collect())
     if not sizes:
@@ -51,7 +50,12 @@ def words_holding(vocabulary: DataFrame, parts: DataFrame) -> DataFrame:
     offered = written(offered.join(wanted.select("gram").distinct(), "gram", "left_semi"), "word-grams")
     counted = offered.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     keys = wanted.join(counted, "gram").groupBy("part").agg(F.min(F.struct("n", "gram")).alias("k")).select("part", F.col("k.gram").alias("gram"))
-    return offered.join(keys, "gram").where(F.contains("token", "part")).select("part", "token")
+    return offered.join(keys, "gram").select("part", "token")
+
+
+def words_holding(vocabulary: DataFrame, parts: DataFrame) -> DataFrame:
+    """``(part, token)``: the words of ``vocabulary(token)`` that hold a word of ``parts(part)``."""
+    return words_met(vocabulary, parts).where(F.contains("token", "part"))
 
 
 def contained(texts: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metaloom.operators import lookup as L, nearest as N, pivots as V
-from metaloom.operators.containment import contained
+from metaloom.operators.containment import contained, words_holding, words_met
 from metaloom.sources import delimited as D, files as FS, json_docs as J, json_stream as JS
 
 
@@ -187,3 +187,15 @@ def test_a_range_of_a_file_costs_the_memory_of_a_chunk():
     tracemalloc.stop()
     found = [(b.odd, b.outer, b.inner, b.opens, b.cells) for b in (whole, parts)]
     assert found[0] == found[1] == (1, True, True, True, 4) and peak < 4 << 20
+
+
+def test_short_patterns_meet_no_word_in_vain(spark):
+    """Keys of one form: few grams of four characters tell them apart, so nearly all words would be confirmed."""
+    words = [f"l{i}" for i in range(100, 3000, 7)] + ["é" * 20 + f"tail{i}" for i in range(5)]
+    parts = [f"l{i}" for i in range(1, 3000, 5)] + ["é" * 18 + "tail3", "é" * 21, "ail"]
+    vocabulary = spark.createDataFrame([(w,) for w in words], "token string")
+    asked = spark.createDataFrame([(p,) for p in parts], "part string")
+    expected = {(p, w) for p in parts for w in words if p in w}
+    assert {tuple(r) for r in words_holding(vocabulary, asked).collect()} == expected
+    short = words_met(vocabulary, asked.where("length(part) <= 16"))
+    assert short.count() == sum(len(p) <= 16 for p, _ in expected)

@@ -261,7 +261,7 @@ def l4_object(t):
         row(1, "hdab", none, F.lit('{"phone":"1","email":"old"}')), row(2, "hdab", F.lit("email"), F.col("c_name")),
         row(1, "publisher", F.lit("gone"), F.lit("x")), row(2, "publisher", none, F.lit('{"name":"p"}')), row(1, "title", none, F.lit('"t"')),
     )
-    return A.fold_changes(t.customer.select(F.col("c_custkey").alias("dataset_id"), F.inline(rows)))
+    return A.fold_changes(spread(t.customer).select(F.col("c_custkey").alias("dataset_id"), F.inline(rows)))
 
 
 @query("n7_strings_only", "select c_custkey, 'A|' || c_name as codes from customer")
@@ -333,7 +333,7 @@ def r2_written(t):
 def r3_values(t):
     """Vectors read back from their table: unit length, and as many words as cells add up to."""
     path = shared_dir(t.spark, "vectors")
-    entries = t.part.select(
+    entries = spread(t.part).select(
         F.col("p_brand").alias("feature"), F.col("p_partkey").cast("string").alias("code"), F.lit("u").alias("uri"),
         F.concat_ws(" ", "p_name", "p_type").alias("text"),
     )
@@ -417,10 +417,10 @@ def a5_split_array(t):
     """One array in ranges of 64 KB: brackets, quotes and commas in strings mark no end."""
     text = F.to_json(F.struct(F.concat(F.lit('{["'), "event_type", F.lit('\\",')).alias("kind")))
     value = F.concat(F.when(F.col("event_id") == 0, "[").otherwise(","), F.lit('{"id":'), "event_id", F.lit(',"p":'), "props", F.lit(',"q":'), text, F.lit("}"))
-    path = lines_file(t, t.events, F.col("event_id"), value)
-    whole = shared_dir(t.spark, "array")
-    t.spark.read.text(path, wholetext=True).select(F.concat("value", F.lit("]")).alias("value")).write.text(whole)
-    rows = J.read_json(t.spark, whole, range_bytes=1 << 16)
+    items = t.events.select(F.col("event_id").alias("o"), value.alias("value"))
+    last = items.agg((F.max("o") + 1).alias("o"), F.lit("]").alias("value"))
+    path = lines_file(t, items.unionByName(last), F.col("o"), F.col("value"))
+    rows = J.read_json(t.spark, path, range_bytes=1 << 16)
     at = lambda name: F.col("fields")[name]
     return rows.select("position", at("id").alias("id"), at("q.kind").alias("kind"), at("p.k").alias("k"))
 

@@ -191,10 +191,11 @@ def h14(t):
 @query("h14_written_runs", ORACLE["h14_record_diff"])
 def h14_written(t):
     """The same two runs, written as bucketed tables first."""
-    tables = []
-    for run in two_runs(t):
+    tables, runs = [], two_runs(t)
+    buckets = sinks.buckets_for(runs[0], 8)
+    for run in runs:
         path = shared_dir(t.spark, "run")
-        tables.append(sinks.write_run(run, path.rsplit("/", 1)[1].replace("-", "_"), path, 8))
+        tables.append(sinks.write_run(run, path.rsplit("/", 1)[1].replace("-", "_"), path, buckets))
     return A.record_diff(*tables, bucketed=True)
 
 
@@ -535,7 +536,7 @@ def n4(t):
     key = F.col("p_partkey").alias("dataset_id")
     fields = F.array(*[F.lit(f) for f in N.METADATA_FIELDS])
     all_but_one = F.when(F.col("p_size") % 3 == 0, fields).otherwise(F.slice(fields, 2, 20))
-    given = t.part.select(key, F.explode(all_but_one).alias("field")).withColumn("value", F.lit('"x"'))
+    given = spread(t.part).select(key, F.explode(all_but_one).alias("field")).withColumn("value", F.lit('"x"'))
     return N.open_answers(t.part.select(key, F.col("p_name").alias("raw")), given)
 
 

@@ -20,11 +20,20 @@ def record_json(values: DataFrame) -> DataFrame:
     return grouped.select("dataset_id", F.concat(F.lit("{"), F.concat_ws(",", "m"), F.lit("}")).alias("value"))
 
 
+#: Rows that a bucket of a run should hold.
+BUCKET_ROWS = 500_000
+
+
+def buckets_for(values: DataFrame, least: int = 64) -> int:
+    """Buckets for runs of this size, so that the task of a bucket does not grow with the run."""
+    return max(least, -(-values.count() // BUCKET_ROWS))
+
+
 def write_run(values: DataFrame, table: str, path: str, buckets: int = 64) -> DataFrame:
     """``(dataset_id, field, value)`` as a table bucketed by dataset and field.
 
     Tables of one number of buckets join and group by these columns without a shuffle. A
-    bucket should fit a task: take more for very many records. Rows without a dataset or a field are left out.
+    bucket should fit a task: ``buckets_for`` tells how many that takes. Rows without a dataset or a field are left out.
     """
     rows = values.where("dataset_id is not null and field is not null").select("dataset_id", "field", "value")
     keys = ["dataset_id", "field"]

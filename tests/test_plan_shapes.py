@@ -2,7 +2,9 @@
 
 import pytest
 
+from metaloom import session
 from metaloom.plans import catalog
+from metaloom.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,7 +58,24 @@ def test_written_runs_meet_without_a_shuffle_of_their_fields(spark):
     assert text.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in text
 
 
-@pytest.mark.parametrize("name", ["a7_deep", "a7_repeated_header"])
+@pytest.mark.parametrize("name", ["a7_deep", "a7_repeated_header", "l4_object_then_subfield", "n4_open_answers", "r3_vector_values"])
 def test_heavy_rows_are_shared_out(spark, name):
     """A file of one row group is one task: its rows go to all cores before they are worked on."""
     assert "Exchange RoundRobinPartitioning" in plan(spark, name)
+
+
+def test_shares_are_bounded_in_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "SHARE_ROWS", 100)
+    spark.range(5_000).write.parquet(str(tmp_path / "t"))
+    assert session.spread(spark.read.parquet(str(tmp_path / "t"))).rdd.getNumPartitions() == 50
+
+
+def test_defaults_are_written_out_behind_the_join(spark):
+    """A dataset meets its prefilled fields as one row, not as one for each default."""
+    text = plan(spark, "l2_static_defaults")
+    assert text.index("Generate inline(concat(") < text.index("Join")
+
+
+def test_buckets_grow_with_a_run(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "BUCKET_ROWS", 100)
+    assert [sinks.buckets_for(spark.range(n), 8) for n in (10, 1_001)] == [8, 11]

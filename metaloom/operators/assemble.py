@@ -110,14 +110,16 @@ def static_fields(datasets: DataFrame, overrides: DataFrame, run_time: str) -> D
     """
     stamp = f'"{run_time}"'
     defaults = {"issued": stamp, "modified": stamp, **STATIC_DEFAULTS}
-    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(v).alias("_default")) for f, v in defaults.items()])
-    given = overrides.where(F.col("field").isin(list(defaults)) & json_has_content(F.col("value"))).select(
-        "dataset_id", "field", F.col("value").alias("_given")
-    )
-    return (
-        datasets.select("dataset_id", F.inline(rows))
-        .join(given, ["dataset_id", "field"], "left")
-        .select("dataset_id", "field", F.coalesce("_given", "_default").alias("value"))
+    given = overrides.where(F.col("dataset_id").isNotNull() & F.col("field").isin(list(defaults)) & json_has_content(F.col("value")))
+    # one row per dataset meets another: the defaults are written out behind the join
+    given = given.groupBy("dataset_id").agg(F.collect_list(F.struct("field", "value")).alias("_given"))
+
+    def rows(field: str, value: str) -> Column:
+        own = F.filter("_given", lambda g: g["field"] == field)
+        return F.when(F.size(own) > 0, own).otherwise(F.array(F.struct(F.lit(field).alias("field"), F.lit(value).alias("value"))))
+
+    return datasets.select("dataset_id").join(given, "dataset_id", "left").select(
+        "dataset_id", F.inline(F.concat(*[rows(f, v) for f, v in defaults.items()]))
     )
 
 

@@ -199,3 +199,14 @@ def test_short_patterns_meet_no_word_in_vain(spark):
     assert {tuple(r) for r in words_holding(vocabulary, asked).collect()} == expected
     short = words_met(vocabulary, asked.where("length(part) <= 16"))
     assert short.count() == sum(len(p) <= 16 for p, _ in expected)
+
+
+def test_the_array_of_a_table_is_written_row_by_row(spark, monkeypatch):
+    """No task holds the whole file as one text, which the JVM bounds at 2 GB."""
+    from pyspark.sql import DataFrameReader
+
+    from metaloom.plans import catalog
+
+    texts, plain = [], DataFrameReader.text
+    monkeypatch.setattr(DataFrameReader, "text", lambda self, *a, **kw: texts.append(kw.get("wholetext", False)) or plain(self, *a, **kw))
+    assert catalog.QUERIES["a5_split_array"](spark, "/root/testdata/sf0.001").count() > 0 and True not in texts

@@ -411,18 +411,29 @@ def a5_broken_middle(t):
     return rows.select("position", F.col("fields")["name"].alias("name"), F.col("error").isNotNull().alias("broken"))
 
 
+#: Events in one array file of ``a5_split_array``.
+ARRAY_ROWS = 250_000
+
+
 @query("a5_split_array", """
     select event_id as position, event_id::varchar as id, '{["' || event_type || '\\",' as kind, props::json->>'k' as k from events""")
 def a5_split_array(t):
-    """One array in ranges of 64 KB: brackets, quotes and commas in strings mark no end."""
+    """Arrays in ranges of 64 KB: brackets, quotes and commas in strings mark no end.
+
+    A file is written by one task, so every ``ARRAY_ROWS`` events are an array of their own.
+    """
+    path, part = shared_dir(t.spark, "arrays"), F.expr(f"event_id div {ARRAY_ROWS}")
     text = F.to_json(F.struct(F.concat(F.lit('{["'), "event_type", F.lit('\\",')).alias("kind")))
-    value = F.concat(F.when(F.col("event_id") == 0, "[").otherwise(","), F.lit('{"id":'), "event_id", F.lit(',"p":'), "props", F.lit(',"q":'), text, F.lit("}"))
-    items = t.events.select(F.col("event_id").alias("o"), value.alias("value"))
-    last = items.agg((F.max("o") + 1).alias("o"), F.lit("]").alias("value"))
-    path = lines_file(t, items.unionByName(last), F.col("o"), F.col("value"))
+    start = F.when(F.col("event_id") % ARRAY_ROWS == 0, "[").otherwise(",")
+    value = F.concat(start, F.lit('{"id":'), "event_id", F.lit(',"p":'), "props", F.lit(',"q":'), text, F.lit("}"))
+    items = t.events.select(part.alias("part"), F.col("event_id").alias("o"), value.alias("value"))
+    ends = items.groupBy("part").agg((F.max("o") + 1).alias("o"), F.lit("]").alias("value"))
+    files = items.unionByName(ends).repartition(ends.count(), "part").sortWithinPartitions("part", "o")
+    files.select("part", "value").write.partitionBy("part").text(path)
     rows = J.read_json(t.spark, path, range_bytes=1 << 16)
+    first = F.regexp_extract("path", r"/part=(\d+)/[^/]*$", 1).cast("bigint") * ARRAY_ROWS
     at = lambda name: F.col("fields")[name]
-    return rows.select("position", at("id").alias("id"), at("q.kind").alias("kind"), at("p.k").alias("k"))
+    return rows.select((first + F.col("position")).alias("position"), at("id").alias("id"), at("q.kind").alias("kind"), at("p.k").alias("k"))
 
 
 @query("h7_knn_pivots", CENTROIDS + """

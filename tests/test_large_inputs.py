@@ -210,3 +210,17 @@ def test_the_array_of_a_table_is_written_row_by_row(spark, monkeypatch):
     texts, plain = [], DataFrameReader.text
     monkeypatch.setattr(DataFrameReader, "text", lambda self, *a, **kw: texts.append(kw.get("wholetext", False)) or plain(self, *a, **kw))
     assert catalog.QUERIES["a5_split_array"](spark, "/root/testdata/sf0.001").count() > 0 and True not in texts
+
+
+def test_no_file_of_arrays_grows_with_the_table(spark, monkeypatch):
+    """A task writes one file, so the events are many arrays; their items keep their places in the table."""
+    from metaloom.plans import catalog, edges
+
+    monkeypatch.setattr(edges, "ARRAY_ROWS", 300, raising=False)
+    places, plain = [], J.read_json
+    monkeypatch.setattr(J, "read_json", lambda spark, path, **kw: places.append(path) or plain(spark, path, **kw))
+    rows = catalog.QUERIES["a5_split_array"](spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    files = FS.list_files(spark, places[0]).where("length > 0")
+    assert n > 300 and files.count() == -(-n // 300)
+    assert rows.where("position = cast(id as bigint)").count() == rows.count() == n

@@ -79,3 +79,8 @@ def test_defaults_are_written_out_behind_the_join(spark):
 def test_buckets_grow_with_a_run(spark, monkeypatch):
     monkeypatch.setattr(sinks, "BUCKET_ROWS", 100)
     assert [sinks.buckets_for(spark.range(n), 8) for n in (10, 1_001)] == [8, 11]
+
+
+def test_a_share_is_a_few_seconds_of_work(spark, tmp_path):
+    spark.range(1_000_000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    assert session.spread(spark.read.parquet(str(tmp_path / "t"))).rdd.getNumPartitions() >= 20

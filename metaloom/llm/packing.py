@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .texts import blocks
+from .texts import BLOCK, blocks
 from .tokens import default_path, shared_encoder
 
 STEP = 32
@@ -39,7 +39,7 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def _tokenise(batches, path, keep):
     encoder = shared_encoder(path)
     for batch in batches:
-        for block in blocks(batch.column(1)):
+        for block in blocks(batch.column(1), BLOCK // 4):
             n, sums, all_ids = [], [], []
             for ids in encoder.encode(block):
                 ids = np.append(ids, np.uint32(END)).astype("<u4")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import carried
-from .texts import Block, blocks, byte_class, counts_of, span_hash, words
+from .texts import BLOCK, Block, blocks, byte_class, counts_of, span_hash, words
 
 BITS = 15
 WORDS = 1 << BITS
@@ -133,7 +133,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, batch:
 
 def _extract(batches):
     for batch in batches:
-        for block in blocks(batch.column(1)):
+        for block in blocks(batch.column(1), BLOCK // 4):
             owner, feature, value = features(block)
             at = np.searchsorted(owner, np.arange(block.rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
@@ -144,7 +144,7 @@ def _extract(batches):
 
 def _score(batches, machine: Machine):
     for batch in batches:
-        for block in blocks(batch.column(1)):
+        for block in blocks(batch.column(1), BLOCK // 4):
             owner, feature, value = features(block)
             logit = machine.logits(np.searchsorted(owner, np.arange(block.rows)), feature, value)
             score = 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -30, 30)))

@@ -16,9 +16,10 @@ import numpy as np
 
 from .texts import Block, byte_class, span_hash
 
-CACHE = 250_000
+#: Words that a worker process keeps; more only if one block has more.
+CACHE = 100_000
 #: Bits of the direct look-up in front of the cache: one place per word hash, the last word has it.
-PLACES = 20
+PLACES = 18
 _BLANK, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
 _CLASS = np.full(256, _OTHER, np.int8)
 _CLASS[byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))] = _LETTER
@@ -58,8 +59,6 @@ class Encoder:
         self.start, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
 
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        if len(self.slot) + len(texts) > CACHE:
-            self._clear()
         for h, ids in zip(hashes, self._ids_of_words(texts)):
             at = len(self.slot)
             if at >= len(self.start):
@@ -93,13 +92,12 @@ class Encoder:
             different, first, inverse = np.unique(hashes[missed], return_index=True, return_inverse=True)
             keys = different.tolist()
             at = missed[first]
-            before = self.slot
             new = [i for i, h in enumerate(keys) if h not in self.slot]
+            if self.slot and len(self.slot) + len(new) > CACHE:  # all words of the block anew, however many
+                self._clear()
+                return self._slots(hashes, low, starts, ends)
             if new:
                 self._learn([keys[i] for i in new], [low[starts[at[i]] : ends[at[i]]].tobytes().decode() for i in new])
-            if self.slot is not before:  # the cache was emptied on the way: all words of the block anew
-                self.place_hash[:] = 0
-                return self._slots(hashes, low, starts, ends)
             found = np.fromiter((self.slot[h] for h in keys), np.int64, len(keys))
             slots[missed] = found[inverse]
             where = (different >> np.uint64(64 - PLACES)).astype(np.int64)

@@ -17,7 +17,7 @@ import numpy as np
 from .texts import Block, byte_class, span_hash
 
 #: Words that a worker process keeps; more only if one block has more.
-CACHE = 100_000
+CACHE = 250_000
 #: Bits of the direct look-up in front of the cache: one place per word hash, the last word has it.
 PLACES = 18
 _BLANK, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
@@ -54,13 +54,12 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, the slot of each
         self.place_hash, self.place_slot = np.zeros(1 << PLACES, np.uint64), np.zeros(1 << PLACES, np.int64)
         self.start, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        for h, ids in zip(hashes, self._ids_of_words(texts)):
-            at = len(self.slot)
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        for at, ids in enumerate(self._ids_of_words(texts), len(self.known)):
             if at >= len(self.start):
                 self.start, self.size = np.resize(self.start, 2 * at), np.resize(self.size, 2 * at)
             while self.used + len(ids) > len(self.flat):
@@ -68,7 +67,8 @@ class Encoder:
             self.flat[self.used : self.used + len(ids)] = ids
             self.start[at], self.size[at] = self.used, len(ids)
             self.used += len(ids)
-            self.slot[h] = at
+        place, slots = np.searchsorted(self.known, hashes), np.arange(len(self.known), len(self.known) + len(hashes))
+        self.known, self.slot = np.insert(self.known, place, hashes), np.insert(self.slot, place, slots)
 
     def _ids_of_words(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each word: many words are encoded as one text, every word ends in an id that closes it."""
@@ -90,15 +90,14 @@ class Encoder:
         missed = np.flatnonzero(self.place_hash[place] != hashes)
         if len(missed):
             different, first, inverse = np.unique(hashes[missed], return_index=True, return_inverse=True)
-            keys = different.tolist()
             at = missed[first]
-            new = [i for i, h in enumerate(keys) if h not in self.slot]
-            if self.slot and len(self.slot) + len(new) > CACHE:  # all words of the block anew, however many
+            new = np.flatnonzero(self.known[np.searchsorted(self.known[:-1], different)] != different) if len(self.known) else np.arange(len(different))
+            if len(self.known) and len(self.known) + len(new) > CACHE:  # all words of the block anew, however many
                 self._clear()
                 return self._slots(hashes, low, starts, ends)
-            if new:
-                self._learn([keys[i] for i in new], [low[starts[at[i]] : ends[at[i]]].tobytes().decode() for i in new])
-            found = np.fromiter((self.slot[h] for h in keys), np.int64, len(keys))
+            if len(new):
+                self._learn(different[new], [low[starts[at[i]] : ends[at[i]]].tobytes().decode() for i in new])
+            found = self.slot[np.searchsorted(self.known, different)]
             slots[missed] = found[inverse]
             where = (different >> np.uint64(64 - PLACES)).astype(np.int64)
             self.place_hash[where], self.place_slot[where] = different, found

@@ -27,13 +27,14 @@ def test_words_that_a_worker_keeps_are_bounded(monkeypatch):
         ids = encoder.encode(block_of([text]))[0]
         assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
     encoder.encode(block_of([one]))
-    assert len(encoder.slot) == 60
+    assert len(encoder.known) == 60
 
 
 def test_look_up_takes_few_bytes():
     encoder = tokens.Encoder(tokens.default_path())
     assert encoder.place_hash.nbytes + encoder.place_slot.nbytes <= 4 << 20
-    assert tokens.CACHE <= 100_000
+    encoder.encode(block_of([" ".join(letters(n) for n in range(20_000))]))
+    assert len(encoder.known) == 20_000 and encoder.known.nbytes + encoder.slot.nbytes == 16 * 20_000
 
 
 def test_carried_text_is_sent_once(spark):

@@ -19,6 +19,8 @@ from ..session import written
 #: Characters of a gram. Patterns of up to that length meet no word in vain: with short grams the
 #: words to be confirmed would grow with the vocabulary times the dictionary.
 GRAM = 16
+#: Copies of a row that are made at once, and rows that a task makes about.
+COPIES, TASK_ROWS = 1_000, 20_000_000
 
 
 def words_in(text: Column) -> Column:
@@ -89,3 +91,17 @@ def contained(texts: DataFrame, patterns: DataFrame) -> DataFrame:
         tested = texts.withColumn("_blank", lists).select("id", F.explode(F.filter("_blank", lambda p: F.contains(F.col("body"), p))).alias("pattern"))
         found = found.unionByName(tested.distinct())
     return found
+
+
+def repeated(rows: DataFrame, times: str) -> DataFrame:
+    """Every row as often as its column ``times`` says, without that column.
+
+    The copies are dealt to tasks in shares of ``COPIES``: few rows, or one, can make most of the result.
+    """
+    kept = written(rows.where(F.col(times) > 0), "to-repeat")
+    total = kept.agg(F.sum(times)).first()[0] or 0
+    width = max(kept.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_ROWS))
+    last = F.floor((F.col(times) - 1) / COPIES).cast("long")
+    shares = kept.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition(width)
+    share = F.least(F.col(times) - F.col("_share") * COPIES, F.lit(COPIES)).cast("int")
+    return shares.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), share))).drop(times, "_share", "_copy")

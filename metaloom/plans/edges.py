@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dsl import compile_mapping
 from ..operators import answers as N, assemble as A, nearest, pivots, profile as P, shape, triples as X
-from ..operators.containment import contained
+from ..operators.containment import contained, repeated
 from ..operators.lake import merged_profile, profile_lake, refresh_partials
 from ..session import shared_dir, spread
 from ..sources import delimited as D, files as FS, json_docs as J, sinks, xml_docs as XM
@@ -455,5 +455,5 @@ def h5_large(t):
     labels = t.orders.select(F.concat(F.lit("l"), "o_orderkey").alias("pattern")).unionByName(t.part.select(F.col("p_name").alias("pattern")))
     texts = t.part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" l"), "p_partkey").alias("body"))
     many = t.part.groupBy(F.col("p_name").alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
-    found = contained(texts, labels).join(many, "pattern", "left")
-    return found.select(F.col("id").alias("p_partkey"), F.explode(F.array_repeat("pattern", F.coalesce("n", F.lit(1)).cast("int"))).alias("label"))
+    found = contained(texts, labels).join(many, "pattern", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    return repeated(found, "n").select(F.col("id").alias("p_partkey"), F.col("pattern").alias("label"))
